@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, dac, mixing, quality
-from tokenloom.llm.common import table
+from tokenloom.llm import bpe, dac, langid, mixing, oracles, quality, secrets
+from tokenloom.llm.common import crc32_of_id, table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -19,6 +19,20 @@ def op3_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
+    counts = [secrets.count_of(base, kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    return got.select("doc_id", *counts, F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc32_of_id() % 3 == 1, F.lit(False))
+    model = langid.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return langid.predict(docs, model, keep=["doc_id", held_out.alias("held_out")])
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -33,6 +47,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_dac_tokens, op7_source_mix, op9_bpe, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_dac_tokens, op4_secret_scan, op5_language_id, op7_source_mix, op9_bpe, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_secret_scan": oracles.secret_scan()}
