@@ -38,3 +38,29 @@ per_doc AS (
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per_doc USING (doc)
 """
+
+
+def near_vectors() -> str:
+    """All pairs of a label, and components by spreading the least id."""
+    return """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+),
+sound AS (
+  SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+),
+links AS MATERIALIZED (
+  SELECT a.r AS x, b.r AS y, b.vec_id AS other FROM sound a JOIN sound b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+),
+reach(r, x) AS (
+  SELECT r, r FROM sound UNION SELECT reach.r, links.y FROM reach JOIN links ON links.x = reach.x
+),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.x GROUP BY reach.r),
+n AS (SELECT x AS r, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  coalesce(vec_id = coalesce(component_id, vec_id), true) AS kept
+FROM v LEFT JOIN least USING (r) LEFT JOIN n USING (r)
+"""

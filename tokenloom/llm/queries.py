@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, dac, langid, mixing, oracles, quality, secrets
+from tokenloom.llm import bpe, caps, dac, langid, mixing, oracles, quality, secrets
 from tokenloom.llm.common import crc32_of_id, table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = dac.write_and_read(table(spark, sf_dir, "documents"), VOCAB, end_id=2)
     return got.select("doc_id", "start", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -47,6 +51,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_dac_tokens, op4_secret_scan, op5_language_id, op7_source_mix, op9_bpe, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_cap_filters, op3_dac_tokens, op4_secret_scan, op5_language_id, op7_source_mix, op9_bpe, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {"op4_secret_scan": oracles.secret_scan()}
+ORACLES: dict[str, str] = {"op2_cap_filters": oracles.near_vectors(), "op4_secret_scan": oracles.secret_scan()}
