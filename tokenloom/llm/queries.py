@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, caps, dac, langid, mixing, oracles, quality, secrets
+from tokenloom.llm import bagminhash, bpe, caps, dac, langid, mixing, oracles, quality, secrets
 from tokenloom.llm.common import crc32_of_id, table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +41,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.encode_documents(table(spark, sf_dir, "documents"), VOCAB)
     return got.select("doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -51,6 +55,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_cap_filters, op3_dac_tokens, op4_secret_scan, op5_language_id, op7_source_mix, op9_bpe, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_cap_filters, op3_dac_tokens, op4_secret_scan, op5_language_id, op7_source_mix, op8_bag_minhash, op9_bpe, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op2_cap_filters": oracles.near_vectors(), "op4_secret_scan": oracles.secret_scan()}
