@@ -127,20 +127,28 @@ class _Library:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.memory: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str, end: bytes) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for Python, not for the library
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
         pieces, memory = text.split(), self.memory
         if new := [p for p in dict.fromkeys(pieces) if p not in memory]:
+            old = self.old
+            fresh = [p for p in new if p not in old]
+            found = {p: old[p] for p in new if p in old}
+            if fresh:
+                for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                    ids = e.ids
+                    found[p] = struct.pack(f"<{len(ids)}I", *ids)
             if len(memory) > REMEMBERED:
-                memory.clear()
-                new = list(dict.fromkeys(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memory[p] = np.array(e.ids, "<u4").tobytes()
+                self.old, self.memory = memory, {}
+                memory = self.memory
+                memory.update((p, self.old[p]) for p in pieces if p in self.old)
+            memory.update(found)
         pieces.append("")
         memory[""] = end
-        out = b"".join([memory[p] for p in pieces])
+        out = b"".join(map(memory.__getitem__, pieces))
         for p in new:
             if len(p) > LONGEST:
                 del memory[p]
