@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bagminhash, bpe, caps, dac, langid, mixing, oracles, quality, secrets
+from tokenloom.llm import bagminhash, bpe, caps, dac, langid, mixing, oracles, quality, secrets, suffix_dedup
 from tokenloom.llm.common import crc32_of_id, table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", held_out.alias("held_out")])
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return got.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -55,6 +61,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_cap_filters, op3_dac_tokens, op4_secret_scan, op5_language_id, op7_source_mix, op8_bag_minhash, op9_bpe, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_cap_filters, op3_dac_tokens, op4_secret_scan, op5_language_id, op6_suffix_dedup, op7_source_mix, op8_bag_minhash, op9_bpe, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op2_cap_filters": oracles.near_vectors(), "op4_secret_scan": oracles.secret_scan()}
