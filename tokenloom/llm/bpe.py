@@ -1,12 +1,12 @@
 """BPE encoding and decoding with a given vocabulary (never trained here).
 
-Merging keeps a heap of (rank, place) over a doubly linked list of symbols; an entry whose symbols
-have meanwhile been merged is stale and skipped.  Decoding concatenates vocabulary strings.
+Merging keeps a heap of (rank, place), packed in one integer, over a doubly linked list of symbols;
+an entry whose symbols have meanwhile been merged is stale and skipped.  Decoding concatenates vocabulary strings.
 
 The vocabulary file is JSON as the public ``tokenizers`` library writes it: BPE with an end-of-word
 suffix, text normalised to NFC and lower case, white space dropped, words split by the pattern
 below, bytes shown as printable characters.  No token crosses white space, so encodings are kept
-by white-space-separated piece in a bounded table in each worker.
+by white-space-separated piece and by word in bounded tables in each worker.
 
 Defined results: null text is encoded as the empty text (no ids, decoded to ""); special tokens in
 a text are found before normalisation, as the library does; text of any length is encoded whole;
@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 #: Fixed values of the format: white space, the word pattern, the end-of-word suffix.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACES + r"\p{L}\p{N}]+"
-#: Pieces that a worker remembers, and the longest piece worth remembering.
-REMEMBERED, LONGEST = 400_000, 64
+#: Pieces (and words) of each of two generations that a worker remembers, and the longest worth remembering.
+REMEMBERED, LONGEST = 300_000, 64
 #: Characters of text after which a batch of results is handed on.
 BATCH_CHARS = 4_000_000
 
@@ -43,96 +44,101 @@ def byte_names() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
 
+class Memory(dict):
+    """``make(key)`` of the keys asked for lately: two generations of bounded size."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int = REMEMBERED):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.vocab: dict[str, int] = dict(model["vocab"])
+        suffix = model.get("end_of_word_suffix") or ""
+        vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.names = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
+        self.left, self.right, self.merged, self.ranks = [], [], [], {}
         for rank, (a, b) in enumerate(model["merges"]):
-            self.ranks.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
-        self.bytes = byte_names()
+            self.left.append(vocab[a])
+            self.right.append(vocab[b])
+            self.merged.append(vocab[a + b])
+            self.ranks.setdefault(vocab[a] << 32 | vocab[b], rank)
+        names = byte_names()
+        self.inner, self.final = [vocab.get(c, -1) for c in names], [vocab.get(c + suffix, -1) for c in names]
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.spaces = regex.compile(f"[{SPACES}]+")
         self.odd = regex.compile("[\x1c-\x1f]")
-        self.memory: dict[str, tuple[bytes, str]] = {}
+        self.word_ids, self.piece_ids = Memory(self.word), Memory(self.piece)
 
-    def merge(self, symbols: list[int]) -> list[int]:
+    def merge(self, s: list[int]) -> list[int]:
         """Apply merges in order of rank, leftmost first."""
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if found := self.ranks.get((symbols[i], symbols[j])):
-                heapq.heappush(heap, (found[0], i, symbols[i], symbols[j], found[1]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        n, rank_of = len(s), self.ranks.get
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        heap = [r << bits | i for i in range(n - 1) if (r := rank_of(s[i] << 32 | s[i + 1])) is not None]
+        if not heap:
+            return s
+        heapq.heapify(heap)
+        before, after = list(range(-1, n)), list(range(1, n + 1))
         while heap:
-            _, i, left, right, merged = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            i, r = entry & mask, entry >> bits
             j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
+            if s[i] != self.left[r] or j >= n or s[j] != self.right[r]:
                 continue  # stale
-            symbols[i], symbols[j], after[i] = merged, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                offer(i, after[j])
-            if before[i] >= 0:
-                offer(before[i], i)
-        return [s for s in symbols if s >= 0]
-
-    def word(self, word: str) -> list[int]:
-        chars = [self.bytes[b] for b in word.encode("utf-8")]
-        chars[-1] += self.suffix
-        return self.merge([i for c in chars if (i := self.vocab.get(c)) is not None])
-
-    def piece(self, piece: str) -> list[int]:
+            s[i], s[j] = self.merged[r], -1
+            after[i] = k = after[j]
+            before[k] = i
+            if k < n and (r := rank_of(s[i] << 32 | s[k])) is not None:
+                heapq.heappush(heap, r << bits | i)
+            if (h := before[i]) >= 0 and (r := rank_of(s[h] << 32 | s[i])) is not None:
+                heapq.heappush(heap, r << bits | h)
+        return [x for x in s if x >= 0]
+
+    def word(self, word: str) -> bytes:
+        data = word.encode("utf-8")
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.final[data[-1]]
+        got = self.merge([x for x in symbols if x >= 0])
+        return struct.pack(f"<{len(got)}I", *got)
+
+    def piece(self, piece: str) -> bytes:
         """Ids of a text without white space (or of any text: words never cross white space)."""
-        out: list[int] = []
-        for part in self.cut.split(piece) if self.cut else [piece]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for w in self.words.findall(part):
-                    out += self.word(w)
-        return out
+        if self.cut and (parts := self.cut.split(piece)) and len(parts) > 1:
+            return b"".join([struct.pack("<I", self.special[x]) if x in self.special else self.piece(x) for x in parts if x])
+        if not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+        return b"".join([self.word_ids[w] for w in self.words.findall(piece.lower())])
 
     def pieces(self, text: str) -> list[str]:
-        return [p for p in self.spaces.split(text) if p] if self.odd.search(text) else text.split()
-
-    def learn(self, pieces: list[str]) -> None:
-        for p in pieces:
-            ids = self.piece(p)
-            self.memory[p] = np.array(ids, "<u4").tobytes(), self.decode(ids)
-
-    def both(self, text: str) -> tuple[bytes, str]:
-        """Little-endian 32-bit ids of a text, and what they decode to."""
-        pieces, memory = self.pieces(text), self.memory
-        if new := [p for p in dict.fromkeys(pieces) if p not in memory]:
-            if len(memory) > REMEMBERED:
-                memory.clear()
-                new = list(dict.fromkeys(pieces))
-            self.learn(new)
-        got = [memory[p] for p in pieces]
-        out = b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
-        for p in new:
-            if len(p) > LONGEST:
-                del memory[p]
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.both(text)[0], "<u4")
-
-    def decode(self, ids: Sequence[int]) -> str:
+        return self.spaces.split(text) if self.odd.search(text) else text.split()
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        return b"".join(map(self.piece_ids.__getitem__, self.pieces(text)))
+
+    def decode(self, ids: bytes) -> str:
         """Vocabulary strings with a space between, as the library does for a file without a decoder; unknown ids are skipped."""
-        return " ".join(self.names[int(i)] for i in ids if int(i) in self.names)
+        got = np.frombuffer(ids, "<u4").tolist()
+        try:
+            return " ".join(map(self.names.__getitem__, got))
+        except KeyError:
+            return " ".join(self.names[i] for i in got if i in self.names)
 
 
 @lru_cache(4)
@@ -152,9 +158,8 @@ def encode_documents(docs: DataFrame, vocab_path: str, *, text_col: str = "text"
                 ids, decoded, chars, end = [], [], 0, at
                 while end < batch.num_rows and chars < BATCH_CHARS:
                     text = batch.column(n)[end].as_py() or ""
-                    a, b = bpe.both(text)
-                    ids.append(a)
-                    decoded.append(b)
+                    ids.append(bpe.encode(text))
+                    decoded.append(bpe.decode(ids[-1]))
                     chars += len(text)
                     end += 1
                 part = batch.slice(at, end - at)
