@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bagminhash, bpe, caps, dac, langid, mixing, oracles, quality, secrets, suffix_dedup
+from tokenloom.llm import bagminhash, bpe, caps, dac, hpyp, langid, mixing, oracles, quality, secrets, suffix_dedup
 from tokenloom.llm.common import crc32_of_id, table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_hpyp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc32_of_id() % 7 == 2, F.lit(False))
+    got = hpyp.score(table(spark, sf_dir, "documents"), ~held_out)
+    return got.select(F.col("id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -61,6 +67,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_cap_filters, op3_dac_tokens, op4_secret_scan, op5_language_id, op6_suffix_dedup, op7_source_mix, op8_bag_minhash, op9_bpe, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hpyp_score, op2_cap_filters, op3_dac_tokens, op4_secret_scan, op5_language_id, op6_suffix_dedup, op7_source_mix, op8_bag_minhash, op9_bpe, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op2_cap_filters": oracles.near_vectors(), "op4_secret_scan": oracles.secret_scan()}
