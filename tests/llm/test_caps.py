@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
-import oracle
+import llm_oracle as oracle
 from pyspark.sql import types as T
 
 from tokenloom.llm import caps, components, queries

@@ -1,6 +1,6 @@
 import re
 
-import oracle
+import llm_oracle as oracle
 from fixtures import no_documents, odd_documents, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
