@@ -11,7 +11,8 @@ share a filter and a label are compared by cosine in double precision.
 
 Equal vectors are merged before anything else and counted, so copies are never compared with each
 other.  Buckets are compared in pairs of bounded blocks; a pair that shares several filters counts
-in the first of them only.  Links of components are found by ``components``.
+in the first of them only.  A pair of blocks returns the number of links of each vector and a
+spanning forest of its links, so no list of all pairs is ever made; ``components`` joins the forests.
 
 Recall is that of the filters: see ``tests/llm/test_caps.py`` for pairs exactly at the threshold.
 
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import stash
 from tokenloom.llm.components import components, in_blocks, map_groups
 
-BLOCKS, WORDS = 4, 16  # blocks of a codeword, codewords of a block: 16**4 filters
-LISTED = 60  # filters of a vector
+BLOCKS, WORDS = 4, 32  # blocks of a codeword, codewords of a block: 32**4 filters
+LISTED = 64  # filters of a vector
 SEED = 7
 
 
@@ -90,12 +91,54 @@ def _unit(values: np.ndarray) -> np.ndarray:
 
 def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        vectors = [_unit(np.array(x.as_py(), float)) for x in batch.column("v")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("gid"), batch.column("label"), pa.array([len(v) for v in vectors], pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([decode(v) for v in vectors], pa.list_(pa.int64()))],
-            names=["gid", "label", "dim", "unit", "filters"],
+        lists = [decode(_unit(np.array(x.as_py(), float))) for x in batch.column("v")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lists, pa.list_(pa.int64()))], names=["node", "filters"])
+
+
+_OUT = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+
+
+def _verify(least: float, dtype: str):
+    """Of a pair of blocks: (node, links, null) per linked vector and (node, null, other) per edge of a spanning forest."""
+
+    def run(group: pa.RecordBatch) -> pa.RecordBatch | None:
+        own = group.column("own").to_numpy()
+        nodes, weights = group.column("node").to_numpy(), group.column("n").to_numpy()
+        x = np.frombuffer(b"".join(group.column("data").to_pylist()), dtype).reshape(len(nodes), -1).astype(float)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        i, j, f = group.column("block_i")[0].as_py(), group.column("block_j")[0].as_py(), group.column("filter")[0].as_py()
+        left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(nodes)),) * 2
+        close = x[left] @ x[right].T >= least
+        if i == j:
+            close &= np.arange(len(nodes))[:, None] < np.arange(len(nodes))
+        a, b = np.nonzero(close)
+        if not len(a):
+            return None
+        lists = group.column("filters").to_pylist()
+        sets = {k: set(lists[k]) for k in {*left[a].tolist(), *right[b].tolist()}}
+        links, up, edges = np.zeros(len(nodes), np.int64), list(range(len(nodes))), []
+
+        def find(k: int) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        for p, q in zip(left[a].tolist(), right[b].tolist(), strict=True):
+            if min(sets[p] & sets[q]) == f:
+                links[p] += weights[q]
+                links[q] += weights[p]
+                if (s := find(p)) != (t := find(q)):
+                    up[s] = t
+                    edges.append((p, q))
+        at = np.flatnonzero(links)
+        return pa.RecordBatch.from_pydict(
+            {"node": [*nodes[at].tolist(), *[int(nodes[p]) for p, _ in edges]], "links": [*links[at].tolist(), *[None] * len(edges)], "other": [*[None] * len(at), *[int(nodes[q]) for _, q in edges]]},
+            schema=_OUT,
         )
 
+    return run
+
 
 def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
@@ -107,36 +150,30 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound, F.col(label_col).cast("string")).alias("label"), F.when(sound, vector).alias("v"))
     gid = F.when(F.col("v").isNotNull(), F.concat(F.hex(F.xxhash64("label", "v")), F.lit("-"), F.hex(F.xxhash64(F.reverse("v"), "label"))))
     rows = stash(rows.withColumn("gid", gid), "vectors")
-    distinct = stash(rows.where("gid is not null").groupBy("gid", "label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")), "vectors-distinct")
-    codes = stash(distinct.select("gid", "label", "v").mapInArrow(_filters, "gid string, label string, dim int, unit binary, filters array<bigint>"), "filters")
-
-    entries = codes.select("gid", "label", "dim", F.explode("filters").alias("filter"))
-    shared = entries.join(entries.groupBy("label", "dim", "filter").agg(F.count("*").alias("c")).where("c > 1").drop("c"), ["label", "dim", "filter"])
-    lists = shared.groupBy("gid").agg(F.sort_array(F.collect_list("filter")).alias("filters"))  # bounded: the filters of one vector
-    full = stash(codes.drop("filters").join(lists, "gid"), "filters-shared")
-    dealt = in_blocks(full.withColumn("filter", F.explode("filters")), ["label", "dim", "filter"], "gid")
-
-    def verify(group: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, own = group.column("gid").to_pylist(), group.column("own").to_numpy()
-        x = np.frombuffer(b"".join(group.column("unit").to_pylist()), float).reshape(len(ids), -1)
-        i, j, f = group.column("block_i")[0].as_py(), group.column("block_j")[0].as_py(), group.column("filter")[0].as_py()
-        left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(ids)),) * 2
-        close = x[left] @ x[right].T >= least
-        if i == j:
-            close &= np.arange(len(ids))[:, None] < np.arange(len(ids))
-        a, b = np.nonzero(close)
-        if not len(a):
-            return None
-        sets = [set(y) for y in group.column("filters").to_pylist()]
-        pairs = [(ids[p], ids[q]) for p, q in zip(left[a].tolist(), right[b].tolist(), strict=True) if min(sets[p] & sets[q]) == f]
-        return pa.RecordBatch.from_pydict({"a": [p for p, _ in pairs], "b": [q for _, q in pairs]}, schema=pa.schema([("a", pa.string()), ("b", pa.string())]))
-
-    links = stash(map_groups(dealt, ["label", "dim", "filter", "block_i", "block_j"], verify, "a string, b string"), "vector-links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = distinct.select(F.col("gid").alias("b"), "n")
-    others = both.join(sizes, "b").groupBy(F.col("a").alias("gid")).agg(F.sum("n").alias("others"))
-    roots = components(links).withColumnRenamed("node", "gid")
-    groups = distinct.select("gid", "first", "n").join(roots, "gid", "left").withColumn("root", F.coalesce("root", "gid")).join(others, "gid", "left")
+    distinct = rows.where("gid is not null").groupBy("gid", "label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    distinct = stash(stash(distinct, "vectors-distinct").withColumn("node", F.monotonically_increasing_id()), "vectors-numbered")
+    codes = stash(distinct.select("node", "v").mapInArrow(_filters, "node bigint, filters array<bigint>"), "filters")
+
+    single = table.schema[vector_col].dataType.elementType.simpleString() == "float"
+    dtype = "<f4" if single else "<f8"  # the vector travels in its own precision
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.array(v.as_py(), dtype).tobytes() for v in batch.column("v")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(data, pa.binary())], names=["node", "n", "data"])
+
+    kinds = distinct.select("node", F.xxhash64("label", F.size("v")).alias("kind"))
+    entries = codes.join(kinds, "node").select("node", "kind", F.explode("filters").alias("filter"))
+    counted = entries.groupBy("kind", "filter").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    shared = entries.join(counted, ["kind", "filter"])
+    lists = shared.groupBy("node", "kind").agg(F.collect_list("filter").alias("filters"))  # bounded: the filters of one vector
+    full = stash(lists.join(distinct.select("node", "n", "v").mapInArrow(packed, "node bigint, n bigint, data binary"), "node"), "filters-shared")
+    dealt = in_blocks(full.withColumn("filter", F.explode("filters")), ["kind", "filter"], "node")
+    found = stash(map_groups(dealt, ["kind", "filter", "block_i", "block_j"], _verify(least, dtype), "node bigint, links bigint, other bigint"), "vector-links")
+
+    roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    others = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("others"))
+    groups = distinct.select("gid", "node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(others, "node", "left")
     leasts = groups.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = groups.join(leasts, "root").select("gid", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "gid").join(groups, "gid", "left")
