@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from tokenloom.llm.quality import ALPHA, DELTA
+from tokenloom.llm.quality import RULES as QUALITY_RULES
 from tokenloom.llm.secrets import BASE, RULES
 
+WORD = "'[^\\x20\\x09-\\x0D]+'"
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -64,3 +68,82 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) A
   coalesce(vec_id = coalesce(component_id, vec_id), true) AS kept
 FROM v LEFT JOIN least USING (r) LEFT JOIN n USING (r)
 """
+
+
+def suffix_dedup(length: int = 50) -> str:
+    """Every window of every text, as hexadecimal digits, with the least document that has it."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, length(h) // 2 AS n FROM d),
+w AS (SELECT r, doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), {2 * length}) AS s FROM n, range(n - {length - 1}) t(i) WHERE doc_id IS NOT NULL AND n >= {length}),
+least AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT r, i FROM w JOIN least USING (s) WHERE first < doc_id),
+island AS (SELECT *, sum(CASE WHEN i - p <= {length} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS nr FROM (SELECT *, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM hit)),
+span AS (SELECT r, min(i) AS a, max(i) + {length} AS z FROM island GROUP BY r, nr),
+piece AS (SELECT span.r, a, z, substr(h, CAST(2 * lag(z, 1, 0) OVER (PARTITION BY span.r ORDER BY a) + 1 AS BIGINT), CAST(2 * (a - lag(z, 1, 0) OVER (PARTITION BY span.r ORDER BY a)) AS BIGINT)) AS part FROM span JOIN n USING (r)),
+g AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(part, '' ORDER BY a) AS head, max(z) AS last FROM piece GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM n LEFT JOIN g USING (r)"""
+
+
+def source_mix() -> str:
+    """Targets by rising ratio of limit to weight; takings by running sums in the order of the keys."""
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {WORD})) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k, md5(coalesce(text, '')) AS m FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+o AS (SELECT *, ([3.0, 1.0, 2.0])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1]::DOUBLE AS w, row_number() OVER (ORDER BY source NULLS LAST) AS nr FROM s),
+q AS (SELECT *, 2.0::DOUBLE * source_size / w AS ratio, 2.0::DOUBLE * source_size AS most FROM o),
+lv AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY ratio, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ratio, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM q),
+fin AS (SELECT *, first_value(level) OVER (ORDER BY CASE WHEN ratio > level THEN 0 ELSE 1 END, ratio, nr) AS final, bool_or(ratio > level) OVER () AS bounded, bool_or(ratio > level) OVER (ORDER BY ratio, nr) AS is_open FROM lv),
+t AS (SELECT source, source_size, CASE WHEN bounded AND is_open THEN w * final ELSE most END AS target FROM fin),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 2) ELSE 0 END AS epochs FROM t),
+r AS (SELECT *, CASE WHEN epochs < 2 THEN CAST(floor(target - epochs * source_size) AS BIGINT) ELSE 0 END AS rest FROM e),
+run AS (SELECT d.*, r.source_size, r.target, r.epochs, r.rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id, m) - d.size AS before FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM run"""
+
+
+def near_copies(least: float = 0.8) -> str:
+    """Multiset overlap of all pairs that share a shingle, and components by spreading the least id."""
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), {WORD}) AS w FROM documents),
+c AS (SELECT r, doc_id, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') END AS content, w FROM d),
+u AS (SELECT content, any_value(w) AS w, row_number() OVER () AS k FROM c WHERE content IS NOT NULL GROUP BY content),
+sh AS MATERIALIZED (SELECT k, unnest(CASE WHEN len(w) < 5 THEN [content] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM u),
+n AS MATERIALIZED (SELECT k, s, count(*) AS n FROM sh GROUP BY ALL),
+size AS MATERIALIZED (SELECT k, sum(n) AS total FROM n GROUP BY k),
+pair AS (SELECT a.k AS x, b.k AS y, sum(least(a.n, b.n)) AS low FROM n a JOIN n b ON a.s = b.s AND a.k <> b.k GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM pair JOIN size p ON p.k = x JOIN size q ON q.k = y WHERE low >= {least} * (p.total + q.total - low)),
+reach(k, x) AS (SELECT k, k FROM u UNION SELECT reach.k, link.y FROM reach JOIN link ON link.x = reach.x),
+first AS (SELECT u.k, min(doc_id) AS first FROM u JOIN c USING (content) GROUP BY u.k),
+cls AS (SELECT reach.k, min(first) AS class_id FROM reach JOIN first ON first.k = reach.x GROUP BY reach.k)
+SELECT doc_id, CASE WHEN c.content IS NULL THEN doc_id ELSE class_id END AS class_id, c.content IS NULL OR doc_id = class_id AS kept
+FROM c LEFT JOIN u USING (content) LEFT JOIN cls USING (k)"""
+
+
+def quality_rules() -> str:
+    """The counts, the labelled holdout at each grid point, exact binomial tails, and the strictest cutoff before the first failure."""
+    points = [(i, k, f, c, r.endswith("_low")) for i, (r, (f, grid)) in enumerate(QUALITY_RULES.items()) for k, c in enumerate(grid)]
+    values = ", ".join(f"({i}, {k}, '{f}', {c}::DOUBLE, {low})" for i, k, f, c, low in points)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, {WORD}) AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD})) AS l FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS gram FROM w WHERE len(w) >= 3),
+twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, range(3) q(j) GROUP BY r),
+f AS (SELECT w.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM w LEFT JOIN covered ON covered.r = w.r),
+m AS (SELECT *, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_ratio, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
+  CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_ratio, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+p(rule, k, feature, cutoff, low) AS (VALUES {values}),
+x AS (SELECT m.r, m.doc_id, m.lang, p.rule, p.k, CASE feature WHEN 'symbol_ratio' THEN symbol_ratio WHEN 'dup_line_ratio' THEN dup_line_ratio WHEN 'repeat_ratio' THEN repeat_ratio ELSE word_length END AS v, cutoff, low FROM m, p),
+y AS (SELECT *, CASE WHEN low THEN v <= cutoff ELSE v >= cutoff END AS beyond FROM x),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1),
+held AS (SELECT lang, rule, k, count(*) AS n, count(*) FILTER (beyond) AS hits FROM y WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+lim AS (SELECT {DELTA} / (count(DISTINCT coalesce(lang, chr(1))) * {len(QUALITY_RULES)}) AS level FROM held),
+tail AS (SELECT *, list_sum(list_transform(range(hits + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) AS tail FROM held),
+passing AS (SELECT lang, rule, k FROM (SELECT *, bool_and(tail <= level) OVER (PARTITION BY lang, rule ORDER BY k) AS ok FROM tail, lim) WHERE ok),
+cut AS (SELECT lang, rule, max(k) AS k FROM passing GROUP BY ALL),
+failed AS (SELECT DISTINCT y.r FROM y JOIN cut ON y.lang IS NOT DISTINCT FROM cut.lang AND y.rule = cut.rule AND y.k = cut.k WHERE beyond)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed.r IS NULL AS kept FROM m LEFT JOIN failed USING (r)"""

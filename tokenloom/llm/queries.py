@@ -69,4 +69,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hpyp_score, op2_cap_filters, op3_dac_tokens, op4_secret_scan, op5_language_id, op6_suffix_dedup, op7_source_mix, op8_bag_minhash, op9_bpe, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {"op2_cap_filters": oracles.near_vectors(), "op4_secret_scan": oracles.secret_scan()}
+ORACLES: dict[str, str] = {
+    "op2_cap_filters": oracles.near_vectors(),
+    "op4_secret_scan": oracles.secret_scan(),
+    "op6_suffix_dedup": oracles.suffix_dedup(),
+    "op7_source_mix": oracles.source_mix(),
+    "op8_bag_minhash": oracles.near_copies(),
+    "op10_quality_rules": oracles.quality_rules(),
+}
