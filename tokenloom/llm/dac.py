@@ -31,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.bpe import LONGEST, REMEMBERED
+from tokenloom.llm.bpe import LONGEST
 from tokenloom.llm.common import fresh_path, stash, text_of
 
 MAGIC = b"DACIDS01"
 WIDTHS = (8, 8, 16)  # bits of the levels; 32 in all
 BLOCK = 512  # bits between two entries of a rank directory
 FILE_IDS = 4_000_000  # a file is closed after the document that reaches so many ids
+AT_ONCE = 16  # documents encoded together
+PIECES = 700_000  # pieces of each of two generations that a worker remembers
 
 _DTYPES = {8: "<u1", 16: "<u2", 32: "<u4"}
 
@@ -118,7 +120,12 @@ class DacFile:
 
 
 class _Library:
-    """The ``tokenizers`` library with a bounded memory of pieces."""
+    """The ``tokenizers`` library with a bounded memory of pieces between white space.
+
+    The vocabulary's pattern splits letters from all else, so a piece of letters with a full stop or
+    comma is its letters and that mark, and pieces of letters can be encoded many at a time: each
+    ends where a token with the end-of-word suffix does.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -126,33 +133,72 @@ class _Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.marks = dict(zip(("", ".", ","), self.ids(["", ".", ","]), strict=True))
         self.memory: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, text: str, end: bytes) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for Python, not for the library
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-        pieces, memory = text.split(), self.memory
-        if new := [p for p in dict.fromkeys(pieces) if p not in memory]:
-            old = self.old
-            fresh = [p for p in new if p not in old]
-            found = {p: old[p] for p in new if p in old}
-            if fresh:
-                for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                    ids = e.ids
-                    found[p] = struct.pack(f"<{len(ids)}I", *ids)
-            if len(memory) > REMEMBERED:
-                self.old, self.memory = memory, {}
-                memory = self.memory
-                memory.update((p, self.old[p]) for p in pieces if p in self.old)
-            memory.update(found)
-        pieces.append("")
-        memory[""] = end
-        out = b"".join(map(memory.__getitem__, pieces))
+    def ids(self, texts: list[str]) -> list[bytes]:
+        found = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        return [struct.pack(f"<{len(i)}I", *i) for i in found]
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only."""
+        (data,) = self.ids([" ".join(words)])
+        stops = ((np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4).tolist()
+        if len(stops) != len(words):
+            return self.ids(words)
+        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        old = self.old
+        if len(self.memory) > PIECES:
+            self.old, self.memory = self.memory, {}
+        memory = self.memory
+        words, others = {}, []
+        for p in pieces:
+            if (known := old.get(p)) is not None:
+                memory[p] = known
+                continue
+            mark = p[-1] if p[-1] in ".," else ""
+            word = p[:-1] if mark else p
+            if word.isalpha():
+                words.setdefault(word, []).append(mark)
+            else:
+                others.append(p)
+        if words:
+            for word, ids in zip(words, self.letters(list(words)), strict=True):
+                for mark in words[word]:
+                    memory[word + mark] = ids + self.marks[mark]
+        if others:
+            memory.update(zip(others, self.ids(others), strict=True))
+
+    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        """Ids of each text and the end id; what is new in any of them is encoded in one go."""
+        get, new, out = self.memory.get, set(), []
+        for text in texts:
+            if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for Python, not for the library
+                out.append(([], self.ids([text]), []))
+                continue
+            pieces = text.split()
+            got = list(map(get, pieces))
+            missing = [i for i, g in enumerate(got) if g is None] if None in got else []
+            new.update(pieces[i] for i in missing)
+            out.append((pieces, got, missing))
+        self.learn(new)
+        memory = self.memory
+        for pieces, got, missing in out:
+            for i in missing:
+                got[i] = memory[pieces[i]]
+            got.append(end)
         for p in new:
             if len(p) > LONGEST:
                 del memory[p]
-        return out
+        return [b"".join(got) for _, got, _ in out]
 
 
 @lru_cache(4)
@@ -187,13 +233,14 @@ def write_documents(docs: DataFrame, vocab_path: str, to: str, *, end_id: int, i
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = library.encode(text.as_py(), end)
-                doc_ids.append(doc_id)
-                held.append(got)
-                n += len(got) // 4
-                if n >= file_ids:
-                    yield close()
+            for a in range(0, batch.num_rows, AT_ONCE):
+                rows = batch.slice(a, AT_ONCE)
+                for doc_id, got in zip(rows.column(0).to_pylist(), library.encode(rows.column(1).to_pylist(), end), strict=True):
+                    doc_ids.append(doc_id)
+                    held.append(got)
+                    n += len(got) // 4
+                    if n >= file_ids:
+                        yield close()
         if doc_ids:
             yield close()
 
@@ -210,12 +257,15 @@ def read_documents(spark: SparkSession, listed: DataFrame, folder: str) -> DataF
                 dac, name = DacFile(content.as_buffer()), path.rsplit("/", 1)[1]
                 for a in range(0, dac.n_docs, 1000):
                     ks = range(a, min(a + 1000, dac.n_docs))
+                    first = int(dac.starts[a])
+                    run_of = dac.tokens(first, int(dac.starts[ks.stop])).astype("<u4").tobytes()
+                    cuts = ((dac.starts[a : ks.stop + 1] - first) * 4).tolist()
                     yield pa.RecordBatch.from_pydict(
                         {
                             "name": [name] * len(ks),
                             "doc_id": [None if dac.nulls[k] else int(dac.doc_ids[k]) for k in ks],
                             "inside": [int(dac.starts[k]) for k in ks],
-                            "ids": [dac.document(k).astype("<u4").tobytes() for k in ks],
+                            "ids": [run_of[x:y] for x, y in zip(cuts, cuts[1:], strict=False)],
                         },
                         schema=pa.schema([("name", pa.string()), ("doc_id", pa.int64()), ("inside", pa.int64()), ("ids", pa.binary())]),
                     )
