@@ -120,3 +120,56 @@ def test_incremental_decode(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     for s in range(2):
         assert np.allclose([got[s, p] for p in range(6)], attend(x[s], x[s], x[s], True))
+
+
+def test_images(spark):
+    flat = np.full((9, 13, 3), 77, np.uint8)
+    assert (K.resize_bicubic(flat, 4, 30) == 77).all()
+    ramp = np.arange(16, dtype=float)[:, None, None].repeat(16, axis=1)
+    assert np.allclose(K.resize_bicubic(ramp, 16, 16), ramp)
+    assert np.allclose(K.box_halvings(ramp, 4)[:, 0, 0], [1.5, 5.5, 9.5, 13.5])
+    rows = spark.createDataFrame([("a", 40, 20, 1, [5] * 800), ("b", 16, 16, 3, list(range(256)) * 3)], "img_id string, h int, w int, ch int, data array<int>")
+    got = {r["img_id"]: r for r in K.process_images(rows, "center", 16).collect()}
+    assert set(got["a"]["data"]) == {5} and len(got["a"]["data"]) == 256
+    assert got["b"]["data"] == list(range(256)) * 3
+    padded = {r["img_id"]: r["data"] for r in K.crop_images(rows, 16, crop=False).collect()}
+    assert padded["a"][0] == 0 and padded["a"][8] == 5
+    for mode, size, error in (("original", 16, NotImplementedError), ("other", 16, ValueError), ("center", None, ValueError), ("center", 20, ValueError)):
+        with pytest.raises(error):
+            K.process_images(rows, mode, size)
+
+
+def test_image_source(spark, tmp_path):
+    import struct
+    import zlib
+
+    from tokenloom.sources import files
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    raw = b"".join(b"\0" + bytes([10 * y, 20, 30 + x][i] for x in range(3) for i in range(3)) for y in range(2))
+    (tmp_path / "x.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    (r,) = files.decoded_images(spark, f"file://{tmp_path}").collect()
+    assert (r["h"], r["w"], r["ch"]) == (2, 3, 3)
+    assert r["data"] == [v for y in range(2) for x in range(3) for v in (10 * y, 20, 30 + x)]
+    assert files.binary_images(spark, f"file://{tmp_path}", "*.png").count() == 1
+
+
+def test_http_source(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    from tokenloom.sources import files
+
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(files.HttpFiles)
+        url = f"http://127.0.0.1:{server.server_port}/a.bin"
+        assert [(r["path"], bytes(r["content"])) for r in spark.read.format("http_files").option("urls", url).load().collect()] == [(url, b"abc")]
+    finally:
+        server.shutdown()
