@@ -7,9 +7,12 @@ never a wrong or missing block.
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +65,20 @@ def free_name(columns: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+def dump(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes."""
+    head = struct.pack("<I", len(arrays)) + b"".join(a.dtype.str.encode().ljust(4) + struct.pack("<Q", len(a)) for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+
+
+def load(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    (n,), at, out = struct.unpack_from("<I", raw), 4 + 12 * struct.unpack_from("<I", raw)[0], []
+    for k in range(n):
+        kind, size = raw[4 + 12 * k : 8 + 12 * k].decode().strip(), struct.unpack_from("<Q", raw, 8 + 12 * k)[0]
+        a = np.frombuffer(raw, kind, size, at)
+        at += a.nbytes
+        out.append(a)
+    return out
