@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import fresh_path, stash
@@ -42,7 +42,8 @@ LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 4_000_000
 CHUNK_BYTES = 4_000_000
-OFTEN = 5000  # documents and blocks with an anchor from which its windows travel one by one
+OFTEN = 100_000  # occurrences of an anchor beyond which its windows travel one by one (so a group has about 8 MB at most)
+KEPT_BITS = 48  # of an anchor's hash while anchors are counted: equal bits of unequal anchors only add candidates
 _U = np.uint64
 
 
@@ -177,15 +178,16 @@ def _occurrences(length: int):
                 a = Anchors(b.data, b.starts, length)
                 doc = a.documents()
                 use = b.known[doc] if len(doc) else np.zeros(0, bool)
-                h, d = a.hash[use], b.ids[doc[use]]
+                h, d = a.hash[use] >> _U(64 - KEPT_BITS), b.ids[doc[use]]
                 if not len(h):
                     continue
                 order = np.argsort(h, kind="stable")
                 h, d = h[order], d[order]
                 cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                low, high = np.minimum.reduceat(d, cut), np.maximum.reduceat(d, cut)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[cut].view(np.int64)), pa.array(np.full(len(cut), b.block)), pa.array(np.minimum.reduceat(d, cut)), pa.array(np.maximum.reduceat(d, cut)), pa.array(np.diff([*cut, len(h)]).astype(np.int32))],
-                    names=["h", "block", "low", "high", "n"],
+                    [pa.array(h[cut].view(np.int64)), pa.array(np.full(len(cut), b.block)), pa.array(low), pa.array(high - low), pa.array(np.diff([*cut, len(h)]).astype(np.int32))],
+                    names=["h", "block", "low", "reach", "n"],
                 )
 
     return run
@@ -202,10 +204,11 @@ def _pieces(length: int):
                 shared = np.array(batch.column("shared")[k].as_py(), np.int64).view(_U)
                 often = np.array(batch.column("often")[k].as_py(), np.int64).view(_U)
                 doc = a.documents()
-                at = np.flatnonzero(np.isin(a.hash, shared) & b.known[doc])
+                short = a.hash >> _U(64 - KEPT_BITS)
+                at = np.flatnonzero(np.isin(short, shared) & b.known[doc])
                 first, last = a.windows(at)
                 h, doc = a.hash[at].view(np.int64), b.ids[doc[at]]
-                single = np.isin(a.hash[at], often)
+                single = np.isin(short[at], often)
                 if single.any():
                     reps = np.where(single, last - first + 1, 1).clip(0)
                     begin = np.repeat(first, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
@@ -362,9 +365,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     packed.write.format("parquet").option("path", fresh_path(spark, "blocks")).option("compression", "uncompressed").bucketBy(n, "block").saveAsTable(name)
     blocks = spark.table(name)
 
-    occurrences = blocks.mapInArrow(_occurrences(length), "h bigint, block bigint, low bigint, high bigint, n int").repartition("h")
-    shared = occurrences.groupBy("h").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.sum("n").alias("c")).where("a < b").select("h", "c")
-    answers = occurrences.select("h", "block").join(shared, "h").groupBy("block").agg(F.collect_list("h").alias("shared"), F.collect_list(F.when(F.col("c") > OFTEN, F.col("h"))).alias("often"))
+    occurrences = blocks.mapInArrow(_occurrences(length), "h bigint, block bigint, low bigint, reach bigint, n int")
+    same = Window.partitionBy("h")  # a row per block that has the anchor
+    counted = occurrences.select("h", "block", F.min("low").over(same).alias("first"), F.max(F.col("low") + F.col("reach")).over(same).alias("last"), F.sum("n").over(same).alias("c"))
+    answers = counted.where("first < last").groupBy("block").agg(F.collect_list("h").alias("shared"), F.collect_list(F.when(F.col("c") > OFTEN, F.col("h"))).alias("often"))
     pieces = blocks.join(stash(answers, "anchors-shared"), "block").mapInArrow(_pieces(length), "h bigint, block bigint, start int, doc bigint, piece binary")
     masks = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_masks(length), "block bigint, start int, mask bigint")
     marks = stash(masks.groupBy("block").agg(F.collect_list(F.struct("start", "mask")).alias("marks")), "repeat-marks")
