@@ -7,6 +7,7 @@
 3. Around each anchor that occurs in two documents or more, the bytes of the windows that belong to
    it are sent to one place by its hash.  (An anchor that occurs very often sends its windows one
    by one, by their own hash, so that no group grows with a common line.)
+   What a block sends to a range of hashes is one packed row.
 4. There, equal pieces are merged, windows that cannot repeat (no other piece has their hash) are
    cut off, and the distinct rest is put into one suffix array, by linear grouping (``gsaca``).
    Neighbours in it that agree in ``length`` bytes are one string; its least document decides.
@@ -25,6 +26,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -32,16 +34,18 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import fresh_path, stash
+from tokenloom.llm.common import dump, fresh_path, load, stash
+from tokenloom.llm.components import map_groups
 from tokenloom.llm.gsaca import equal_runs, suffix_array
 
 LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 4_000_000
 CHUNK_BYTES = 4_000_000
+RANGE_CHARS = 16_000_000  # text for each range of hashes
 OFTEN = 100_000  # occurrences of an anchor beyond which its windows travel one by one (so a group has about 8 MB at most)
 KEPT_BITS = 48  # of an anchor's hash while anchors are counted: equal bits of unequal anchors only add candidates
 _U = np.uint64
@@ -170,60 +174,105 @@ class _Block:
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(col("data"), max(1, int(self.starts[-1]))), np.uint8)
 
 
-def _occurrences(length: int):
+def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of equal ranges of 48-bit numbers each (ascending) key falls in."""
+    return ((keys >> _U(16)) * _U(ranges) >> _U(32)).astype(np.int64)
+
+
+def _slices(which: np.ndarray) -> Iterator[tuple[int, slice]]:
+    cuts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else np.zeros(0, int)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(which)], strict=True):
+        yield int(which[a]), slice(a, b)
+
+
+def _counted(b: _Block, a: Anchors) -> tuple[np.ndarray, ...]:
+    """Short hashes of a block's anchors, ascending, with least and greatest document and number of each."""
+    doc = a.documents()
+    use = b.known[doc] if len(doc) else np.zeros(0, bool)
+    h, d = a.hash[use] >> _U(64 - KEPT_BITS), b.ids[doc[use]]
+    order = np.argsort(h, kind="stable")
+    h, d = h[order], d[order]
+    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+    if not len(cut):
+        return h, d, d, cut
+    return h[cut], np.minimum.reduceat(d, cut), np.maximum.reduceat(d, cut), np.diff([*cut, len(h)])
+
+
+_SENT = pa.schema([("span", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+
+
+def _sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_SENT.types)], schema=_SENT)
+
+
+def _occurrences(length: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 b = _Block(batch, k)
-                a = Anchors(b.data, b.starts, length)
-                doc = a.documents()
-                use = b.known[doc] if len(doc) else np.zeros(0, bool)
-                h, d = a.hash[use] >> _U(64 - KEPT_BITS), b.ids[doc[use]]
-                if not len(h):
-                    continue
-                order = np.argsort(h, kind="stable")
-                h, d = h[order], d[order]
-                cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                low, high = np.minimum.reduceat(d, cut), np.maximum.reduceat(d, cut)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[cut].view(np.int64)), pa.array(np.full(len(cut), b.block)), pa.array(low), pa.array(high - low), pa.array(np.diff([*cut, len(h)]).astype(np.int32))],
-                    names=["h", "block", "low", "reach", "n"],
-                )
+                h, low, high, n = _counted(b, Anchors(b.data, b.starts, length))
+                if len(h):
+                    base = low.min()
+                    yield _sent([(r, b.block, dump(np.diff(h[x], prepend=_U(0)), np.array([base]), (low[x] - base).astype(_U), (high[x] - low[x]).astype(_U), n[x].astype(np.uint32))) for r, x in _slices(_range(h, ranges))])
 
     return run
 
 
-def _pieces(length: int):
-    schema = pa.schema([("h", pa.int64()), ("block", pa.int64()), ("start", pa.int32()), ("doc", pa.int64()), ("piece", pa.binary())])
-
+def _answer(group: pa.RecordBatch) -> pa.RecordBatch:
+    """Of each block's anchors in a range, which occur in two documents or more, and which very often (as bits)."""
+    parts = [load(x) for x in group.column("data").to_pylist()]
+    sizes = np.array([len(p[0]) for p in parts])
+    h = np.concatenate([np.cumsum(p[0], dtype=_U) for p in parts])
+    low = np.concatenate([p[1][0] + p[2].astype(np.int64) for p in parts])
+    high = low + np.concatenate([p[3].astype(np.int64) for p in parts])
+    order = np.argsort(h, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    runs = np.diff([*cut, len(h)])
+    shared = np.minimum.reduceat(low[order], cut) < np.maximum.reduceat(high[order], cut)
+    often = shared & (np.add.reduceat(np.concatenate([p[4] for p in parts])[order].astype(np.int64), cut) > OFTEN)
+    flags = np.zeros((2, len(h)), bool)
+    flags[:, order] = np.repeat(np.stack([shared, often]), runs, axis=1)
+    rows = []
+    for block, end, n in zip(group.column("block").to_pylist(), np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+        own = flags[:, end - n : end]
+        if own[0].any():
+            rows.append((group.column("span")[0].as_py(), block, dump(np.packbits(own[0]), np.packbits(own[1]))))
+    return _sent(rows)
+
+
+def _pieces(length: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 b = _Block(batch, k)
                 a = Anchors(b.data, b.starts, length)
-                shared = np.array(batch.column("shared")[k].as_py(), np.int64).view(_U)
-                often = np.array(batch.column("often")[k].as_py(), np.int64).view(_U)
+                counted = _counted(b, a)[0]
+                place = dict(_slices(_range(counted, ranges)))
+                flags = np.zeros((2, len(counted)), bool)
+                for span, data in ((x["span"], x["data"]) for x in batch.column("answers")[k].as_py()):
+                    at = place[span]
+                    flags[:, at] = [np.unpackbits(bits, count=at.stop - at.start) for bits in load(data)]
                 doc = a.documents()
                 short = a.hash >> _U(64 - KEPT_BITS)
-                at = np.flatnonzero(np.isin(short, shared) & b.known[doc])
+                where = np.minimum(np.searchsorted(counted, short), len(counted) - 1)
+                at = np.flatnonzero(flags[0][where] & (counted[where] == short) & b.known[doc])
                 first, last = a.windows(at)
-                h, doc = a.hash[at].view(np.int64), b.ids[doc[at]]
-                single = np.isin(short[at], often)
+                h, doc, single = a.hash[at], b.ids[doc[at]], flags[1][where[at]]
                 if single.any():
                     reps = np.where(single, last - first + 1, 1).clip(0)
                     begin = np.repeat(first, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                    own = np.repeat(single, reps)
-                    end = np.where(own, begin, np.repeat(last, reps))
-                    key = np.repeat(h, reps)
-                    key[own] = _window_hashes(b.data, length)[begin[own]].view(np.int64)
-                    first, last, h, doc = begin, end, key, np.repeat(doc, reps)
+                    own, h = np.repeat(single, reps), np.repeat(h, reps)
+                    h[own] = _window_hashes(b.data, length)[begin[own]]
+                    first, last, doc = begin, np.where(own, begin, np.repeat(last, reps)), np.repeat(doc, reps)
                 keep = last >= first
-                first, last, h, doc = first[keep], last[keep], h[keep], doc[keep]
-                raw = b.data.tobytes()
-                for x in range(0, len(first), 50_000):
-                    y = slice(x, x + 50_000)
-                    pieces = [raw[s : e + length] for s, e in zip(first[y].tolist(), last[y].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[y]), pa.array(np.full(len(pieces), b.block)), pa.array(first[y].astype(np.int32)), pa.array(doc[y]), pa.array(pieces, pa.binary())], schema=schema)
+                order = np.flatnonzero(keep)[np.argsort(h[keep], kind="stable")]
+                first, last, h, doc = first[order], last[order], h[order], doc[order]
+                raw, rows = b.data.tobytes(), []
+                for span, x in _slices(_range(h >> _U(64 - KEPT_BITS), ranges)):
+                    text = b"".join([raw[s : e + length] for s, e in zip(first[x].tolist(), last[x].tolist(), strict=True)])
+                    rows.append((span, b.block, dump(np.diff(h[x], prepend=_U(0)), first[x].astype(np.uint32), np.array([doc[x].min()]), (doc[x] - doc[x].min()).astype(_U), (last[x] - first[x]).astype(np.uint8), np.frombuffer(text, np.uint8))))
+                if rows:
+                    yield _sent(rows)
 
     return run
 
@@ -288,34 +337,32 @@ def repeats(pieces: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
 
 
 def _masks(length: int):
-    schema = pa.schema([("block", pa.int64()), ("start", pa.int32()), ("mask", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if parts:
-                t = pa.Table.from_batches(parts)
-                mask = repeats(t.column("piece").to_pylist(), t.column("doc").to_numpy(), length)
-                at = np.flatnonzero(mask)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(t.column("block").to_numpy()[at]), pa.array(t.column("start").to_numpy()[at]), pa.array(mask[at].view(np.int64))], schema=schema)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.column("piece").nbytes
-            if size >= CHUNK_BYTES:
-                h = batch.column("h").to_numpy()
-                change = np.flatnonzero(h[1:] != h[:-1])
-                if len(change):  # up to the last change of hash: pieces of one hash stay together
-                    cut = int(change[-1]) + 1
-                    yield from done([*held[:-1], batch.slice(0, cut)])
-                    held = [batch.slice(cut)]
-                    size = held[0].column("piece").nbytes
-        yield from done(held)
+    """All pieces of a range -> for each block the windows to remove."""
+
+    def run(group: pa.RecordBatch) -> pa.RecordBatch | None:
+        parts = [load(x) for x in group.column("data").to_pylist()]
+        blocks = np.repeat(group.column("block").to_numpy(), [len(p[0]) for p in parts])
+        h = np.concatenate([np.cumsum(p[0], dtype=_U) for p in parts])
+        start = np.concatenate([p[1] for p in parts])
+        doc = np.concatenate([p[2][0] + p[3].astype(np.int64) for p in parts])
+        size = np.concatenate([p[4].astype(np.int64) for p in parts]) + length
+        text = b"".join(p[5].tobytes() for p in parts)
+        ends = np.cumsum(size)
+        order = np.argsort(h, kind="stable")
+        mask = np.zeros(len(h), _U)
+        # Chunks of bounded size; pieces of one hash stay together.
+        cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        chunk = np.cumsum(np.add.reduceat(size[order], cut)) // CHUNK_BYTES
+        for _, x in _slices(chunk):
+            own = order[cut[x.start] : cut[x.stop] if x.stop < len(cut) else len(order)]
+            pieces = [text[e - n : e] for e, n in zip(ends[own].tolist(), size[own].tolist(), strict=True)]
+            mask[own] = repeats(pieces, doc[own], length)
+        at = np.flatnonzero(mask)
+        if not len(at):
+            return None
+        at = at[np.argsort(blocks[at], kind="stable")]
+        rows = [(group.column("span")[0].as_py(), int(block), dump(start[at[x]], mask[at[x]])) for block, x in _slices(blocks[at])]
+        return _sent(rows)
 
     return run
 
@@ -327,16 +374,14 @@ def _apply(length: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 b = _Block(batch, k)
-                marks = batch.column("marks")[k]
                 drop = np.zeros(len(b.data) + 1, np.int64)
-                if marks.is_valid and len(marks):
-                    start = marks.values.field("start").to_numpy().astype(np.int64)
-                    mask = marks.values.field("mask").to_numpy().view(_U)
+                for data in batch.column("marks")[k].as_py() or []:
+                    start, mask = load(data)
                     for w in range(64):
-                        s = start[(mask >> _U(w) & _U(1)).astype(bool)] + w
-                        if len(s):
-                            np.add.at(drop, s, 1)
-                            np.add.at(drop, s + length, -1)
+                        at = start[(mask >> _U(w) & _U(1)).astype(bool)].astype(np.int64) + w
+                        if len(at):
+                            np.add.at(drop, at, 1)
+                            np.add.at(drop, at + length, -1)
                 gone = np.cumsum(drop)[:-1] > 0
                 rows: list[list] = [[], [], [], []]
                 for i in range(len(b.ids)):
@@ -361,15 +406,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 63}")
     spark = docs.sparkSession
     name, n = f"tokenloom_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = docs.agg(F.sum(F.length(text_col))).collect()[0][0] or 0
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_pack, "block bigint, ids binary, known binary, sizes binary, data binary")
     packed.write.format("parquet").option("path", fresh_path(spark, "blocks")).option("compression", "uncompressed").bucketBy(n, "block").saveAsTable(name)
     blocks = spark.table(name)
 
-    occurrences = blocks.mapInArrow(_occurrences(length), "h bigint, block bigint, low bigint, reach bigint, n int")
-    same = Window.partitionBy("h")  # a row per block that has the anchor
-    counted = occurrences.select("h", "block", F.min("low").over(same).alias("first"), F.max(F.col("low") + F.col("reach")).over(same).alias("last"), F.sum("n").over(same).alias("c"))
-    answers = counted.where("first < last").groupBy("block").agg(F.collect_list("h").alias("shared"), F.collect_list(F.when(F.col("c") > OFTEN, F.col("h"))).alias("often"))
-    pieces = blocks.join(stash(answers, "anchors-shared"), "block").mapInArrow(_pieces(length), "h bigint, block bigint, start int, doc bigint, piece binary")
-    masks = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_masks(length), "block bigint, start int, mask bigint")
-    marks = stash(masks.groupBy("block").agg(F.collect_list(F.struct("start", "mask")).alias("marks")), "repeat-marks")
+    ranges = max(n, math.ceil(chars / RANGE_CHARS))
+    row = "span bigint, block bigint, data binary"
+    counted = map_groups(blocks.mapInArrow(_occurrences(length, ranges), row), ["span"], _answer, row)
+    answers = stash(counted.groupBy("block").agg(F.collect_list(F.struct("span", "data")).alias("answers")), "anchors-shared")  # bounded: bits of a block's anchors
+    pieces = blocks.join(answers, "block").mapInArrow(_pieces(length, ranges), row)
+    masks = map_groups(pieces, ["span"], _masks(length), row)
+    marks = stash(masks.groupBy("block").agg(F.collect_list("data").alias("marks")), "repeat-marks")
     return blocks.join(marks, "block", "left").select("block", "ids", "known", "sizes", "data", "marks").mapInArrow(_apply(length), "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
