@@ -1,6 +1,6 @@
 """Removal of repeated passages: every byte covered by a string of ``length`` bytes that also starts in an earlier document.
 
-1. Documents are packed into blocks of a few megabytes, written once (bucketed by block).
+1. Documents are packed into blocks of a megabyte or two, written once (bucketed by block).
 2. Every window of ``length`` bytes has an anchor: the 16-byte gram in it with the least hash.  Equal
    windows have equal anchors, so a window can repeat only if its anchor's hash does: anchors are
    counted over all documents (least and greatest document per hash).
@@ -43,9 +43,9 @@ from tokenloom.llm.gsaca import equal_runs, suffix_array
 
 LENGTH = 50
 GRAM = 16
-BLOCK_BYTES = 4_000_000
-CHUNK_BYTES = 4_000_000
-RANGE_CHARS = 16_000_000  # text for each range of hashes
+BLOCK_BYTES = 1_500_000
+CHUNK_BYTES = 3_000_000
+RANGE_CHARS = 8_000_000  # text for each range of hashes
 OFTEN = 100_000  # occurrences of an anchor beyond which its windows travel one by one (so a group has about 8 MB at most)
 KEPT_BITS = 48  # of an anchor's hash while anchors are counted: equal bits of unequal anchors only add candidates
 _U = np.uint64
