@@ -55,8 +55,11 @@ def in_blocks(rows: DataFrame, keys: list[str], id_col: str, size: int = BLOCK_R
     return dealt.select(*rows.columns, "own", F.least("own", "other").alias("block_i"), F.greatest("own", "other").alias("block_j"))
 
 
-def map_groups(rows: DataFrame, keys: list[str], run: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``run`` to each group of ``keys``: dealt by hash, sorted, cut in a stream (thousands of small groups a task)."""
+def map_groups(rows: DataFrame, keys: list[str], run: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, partitions: int | None = None) -> DataFrame:
+    """Apply ``run`` to each group of ``keys``: dealt by hash, sorted, cut in a stream (thousands of small groups a task).
+
+    With ``partitions`` the groups stay dealt in so many; large groups are then not put together in one task.
+    """
     names = rows.columns
     at = [names.index(k) for k in keys]
 
@@ -86,4 +89,5 @@ def map_groups(rows: DataFrame, keys: list[str], run: Callable[[pa.RecordBatch],
                 held.append(batch.slice(a, b - a))
         yield from full()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+    dealt = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(stream, schema)

@@ -44,7 +44,7 @@ from tokenloom.llm.gsaca import equal_runs, suffix_array
 LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 1_500_000
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_000_000
 RANGE_CHARS = 8_000_000  # text for each range of hashes
 OFTEN = 100_000  # occurrences of an anchor beyond which its windows travel one by one (so a group has about 8 MB at most)
 KEPT_BITS = 48  # of an anchor's hash while anchors are counted: equal bits of unequal anchors only add candidates
@@ -413,9 +413,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     ranges = max(n, math.ceil(chars / RANGE_CHARS))
     row = "span bigint, block bigint, data binary"
-    counted = map_groups(blocks.mapInArrow(_occurrences(length, ranges), row), ["span"], _answer, row)
+    counted = map_groups(blocks.mapInArrow(_occurrences(length, ranges), row), ["span"], _answer, row, ranges)
     answers = stash(counted.groupBy("block").agg(F.collect_list(F.struct("span", "data")).alias("answers")), "anchors-shared")  # bounded: bits of a block's anchors
     pieces = blocks.join(answers, "block").mapInArrow(_pieces(length, ranges), row)
-    masks = map_groups(pieces, ["span"], _masks(length), row)
+    masks = map_groups(pieces, ["span"], _masks(length), row, ranges)
     marks = stash(masks.groupBy("block").agg(F.collect_list("data").alias("marks")), "repeat-marks")
     return blocks.join(marks, "block", "left").select("block", "ids", "known", "sizes", "data", "marks").mapInArrow(_apply(length), "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
