@@ -174,6 +174,15 @@ class _Block:
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(col("data"), max(1, int(self.starts[-1]))), np.uint8)
 
 
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of anchors are least ones, so small; this one-to-one map spreads them evenly."""
+    return hashes * _U(0x9E3779B97F4A7C15)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return _spread(hashes) >> _U(64 - KEPT_BITS)
+
+
 def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Which of equal ranges of 48-bit numbers each (ascending) key falls in."""
     return ((keys >> _U(16)) * _U(ranges) >> _U(32)).astype(np.int64)
@@ -189,7 +198,7 @@ def _counted(b: _Block, a: Anchors) -> tuple[np.ndarray, ...]:
     """Short hashes of a block's anchors, ascending, with least and greatest document and number of each."""
     doc = a.documents()
     use = b.known[doc] if len(doc) else np.zeros(0, bool)
-    h, d = a.hash[use] >> _U(64 - KEPT_BITS), b.ids[doc[use]]
+    h, d = _short(a.hash[use]), b.ids[doc[use]]
     order = np.argsort(h, kind="stable")
     h, d = h[order], d[order]
     cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
@@ -253,11 +262,11 @@ def _pieces(length: int, ranges: int):
                     at = place[span]
                     flags[:, at] = [np.unpackbits(bits, count=at.stop - at.start) for bits in load(data)]
                 doc = a.documents()
-                short = a.hash >> _U(64 - KEPT_BITS)
+                short = _short(a.hash)
                 where = np.minimum(np.searchsorted(counted, short), len(counted) - 1)
                 at = np.flatnonzero(flags[0][where] & (counted[where] == short) & b.known[doc])
                 first, last = a.windows(at)
-                h, doc, single = a.hash[at], b.ids[doc[at]], flags[1][where[at]]
+                h, doc, single = _spread(a.hash[at]), b.ids[doc[at]], flags[1][where[at]]
                 if single.any():
                     reps = np.where(single, last - first + 1, 1).clip(0)
                     begin = np.repeat(first, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
