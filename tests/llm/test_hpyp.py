@@ -116,3 +116,11 @@ def test_odd_rows(spark, monkeypatch):
     assert hpyp.score(no_documents(spark), learned).count() == 0
     nothing = hpyp.score(odd_documents(spark), F.lit(False)).collect()
     assert all((r["train_tokens"], r["n_known"], r["base_score"]) == (0, 0, 0) and abs(r["score"]) < 1e-12 for r in nothing)
+
+
+def test_context_is_the_token_before(spark):
+    """Two tokens that end alike are contexts of their own: what follows only the one is likely only after it."""
+    texts = ["bonation left"] * 30 + ["carnation right"] * 30 + ["bonation left", "bonation right", "carnation left", "carnation right"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["score"] for r in sorted(hpyp.score(docs, F.col("doc_id") < 60).collect(), key=lambda r: r["id"])][60:]
+    assert min(got[0], got[3]) > max(got[1], got[2]) + 1

@@ -1,10 +1,9 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
 Restaurants: one for each context, all sharing one parent, whose own base is uniform over the
-learned words and one place for all others.  The context of a token is the class of the token
-before it (a hash of its last bytes into ``CLASSES`` classes; the start of a text is a class of its
-own), so contexts stay bounded while words do not.  Every table of a context restaurant sends one
-customer to the parent.
+learned words and one place for all others.  The context of a token is the token before it (its
+hash; the start of a text is a context of its own), so contexts grow with the words.  Every table of
+a context restaurant sends one customer to the parent.
 
 Seating is sampled by Gibbs: customers are first seated one after another, then leave and are seated
 again, an old table with weight (customers - discount), a new one with weight (strength + discount *
@@ -15,13 +14,15 @@ the score, whose mean over tokens gives the perplexity.
 Distribution: documents are packed in blocks; each block sends the occurrences of its words to
 shards by word hash (packed, so a frequent word is a run of small numbers, not rows).  A shard holds
 everything about its words, seats them, and returns sums per document.  Only the numbers of
-customers and tables of each context (``CLASSES`` of each) pass between shards: the totals of a
-first round of seating steer the second, and those of the second normalise the scores.  The number
-of shards grows with the text, so a shard's memory does not.  A shard is further cut into cells by
+customers and tables of each context pass between shards: a shard sends those of its contexts to
+ranges of context hashes, which add them up and send each shard the totals of its own contexts, so
+nobody holds all contexts.  The totals of a first round of seating steer the second, and those of
+the second normalise the scores.  The number of shards and ranges grows with the text, so their
+memory does not.  A shard is further cut into cells by
 block, as many as there are gigabytes of text: occurrences stay in their cell, and only the cells'
 tables of distinct pairs are merged for seating, so a word that is a third of all tokens is spread too.
 
-Words are told apart by 56 bits of a hash.
+Words are told apart by 63 bits of a hash.
 
 Defined results
 ---------------
@@ -47,22 +48,19 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import dump, fresh_path, load, stash
 from tokenloom.llm.components import map_groups
 
-CLASSES = 256
-SUFFIX = 3  # bytes of the token before that make its class
+CLASSES = 256  # contexts are dealt to a multiple of so many ranges
 BLOCK_BYTES = 4_000_000
 SHARD_CHARS = 16_000_000  # text for each shard
 CELL_CHARS = 1_000_000_000  # text whose occurrences of a shard's words are held together
 STRENGTH = 1.0
 BURN_IN, SAMPLES, RESEATED = 2, 2, 16
 _U = np.uint64
-_END = 0xFF00  # hash of the end token, below all words' (their class bits aside)
+_START, _END = 0, 0xFF00  # the context at the start of a text and the hash of the end token, below all words'
 
 
 def _hash(word: bytes) -> int:
-    """56 bits of identity, 8 bits of class (1 to CLASSES - 1)."""
-    h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") | 1 << 63
-    c = int.from_bytes(hashlib.blake2b(word[-SUFFIX:], digest_size=4).digest(), "little") % (CLASSES - 1) + 1
-    return h & ~0xFF | c
+    """63 bits of identity below a set one."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") | 1 << 63
 
 
 class _Words(dict):
@@ -97,8 +95,8 @@ def _scatter(shards: int, cells: int):
             h = np.concatenate(hashes)
             lengths = np.array([len(x) for x in hashes])
             doc = np.repeat(np.arange(len(hashes), dtype=np.uint32), lengths)
-            context = np.concatenate([[0], h[:-1] & _U(0xFF)]).astype(np.uint8)
-            context[np.cumsum(lengths)[:-1]] = 0
+            context = np.concatenate([np.array([_START], _U), h[:-1]])
+            context[np.cumsum(lengths)[:-1]] = _START
             order = np.argsort(h, kind="stable")
             h, doc, context = h[order], doc[order], context[order]
             shard = ((h >> _U(32)) * _U(0x9E3779B1) % _U(1 << 32) * _U(shards) >> _U(32)).astype(np.int64)
@@ -110,7 +108,8 @@ def _scatter(shards: int, cells: int):
             for a, b in zip(cuts, cuts[1:], strict=False):
                 heads = np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]]))
                 runs = np.diff([*heads, b - a]).astype(np.uint32)
-                rows.append(dump(h[a:b][heads], runs, doc[a:b], context[a:b], seen[doc[a:b]]))
+                own, at = np.unique(context[a:b], return_inverse=True)
+                rows.append(dump(h[a:b][heads], runs, doc[a:b], own, at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32), seen[doc[a:b]]))
             block = part << 32 | n
             rows.append(dump(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids]), seen, lengths))
             to = np.append(shard[cuts[:-1]] * cells + hash(block) % cells, -1 - block)
@@ -133,8 +132,9 @@ def _scatter(shards: int, cells: int):
     return run
 
 
-#: Places of the sums that shards add up: tokens, words, pairs and words seen once and twice, then per context customers and pairs.
-_N, _V, _PAIR1, _PAIR2, _WORD1, _WORD2, _HEAD = 0, 1, 2, 3, 4, 5, 6
+#: Places of the sums that shards add up: tokens, words, pairs and words seen once and twice, pairs.
+_N, _V, _PAIR1, _PAIR2, _WORD1, _WORD2, _PAIRS = range(7)
+_HEAD = _PAIRS  # how many come before the pairs
 
 
 def _gather(cells: int):
@@ -148,9 +148,11 @@ def _gather(cells: int):
         parts = [load(x) for x in group.column("data").to_pylist()]
         words, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         word = np.repeat(number, np.concatenate([p[1] for p in parts]))
-        pairs, pair = np.unique(word * CLASSES + np.concatenate([p[3] for p in parts]), return_inverse=True)
-        count = np.bincount(pair, np.concatenate([p[4] for p in parts]), len(pairs)).astype(np.int64)
-        table = dump(words, (pairs // CLASSES).astype(np.int32), (pairs % CLASSES).astype(np.uint8), count)
+        contexts, number = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
+        context = np.concatenate([n[p[4]] for n, p in zip(np.split(number, np.cumsum([len(p[3]) for p in parts])[:-1]), parts, strict=True)])
+        pairs, pair = np.unique(word * len(contexts) + context, return_inverse=True)
+        count = np.bincount(pair, np.concatenate([p[5] for p in parts]), len(pairs)).astype(np.int64)
+        table = dump(words, (pairs // len(contexts)).astype(np.int32), (pairs % len(contexts)).astype(np.int32), count, contexts)
         data = dump(group.column("block").to_numpy(), np.array([len(p[2]) for p in parts]), np.concatenate([p[2] for p in parts]), pair.astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array([cell // cells]), pa.array([table], pa.binary()), pa.array([data], pa.binary())], schema=schema)
 
@@ -162,20 +164,64 @@ def _merge(group: pa.RecordBatch) -> pa.RecordBatch:
     parts = [load(x) for x in group.column("words").to_pylist()]
     words, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     of_part = np.split(number, np.cumsum([len(p[0]) for p in parts])[:-1])
-    pairs, at = np.unique(np.concatenate([n[p[1]] * CLASSES + p[2] for n, p in zip(of_part, parts, strict=True)]), return_inverse=True)
+    contexts, number = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True)
+    context_of = np.split(number, np.cumsum([len(p[4]) for p in parts])[:-1])
+    pairs, at = np.unique(np.concatenate([n[p[1]] * len(contexts) + c[p[2]] for n, c, p in zip(of_part, context_of, parts, strict=True)]), return_inverse=True)
     count = np.bincount(at, np.concatenate([p[3] for p in parts]), len(pairs)).astype(np.int64)
-    table = dump(words, (pairs // CLASSES).astype(np.int32), (pairs % CLASSES).astype(np.uint8), count)
+    table = dump(words, (pairs // len(contexts)).astype(np.int32), (pairs % len(contexts)).astype(np.int32), count, contexts)
     return pa.RecordBatch.from_arrays([group.column("shard").slice(0, 1), pa.array([table], pa.binary())], names=["shard", "words"])
 
 
 def table_sums(table: bytes) -> np.ndarray:
-    words, word, context, count = load(table)
+    words, word, _, count, _ = load(table)
     of_word = np.bincount(word, count, len(words))
-    sums = np.zeros(_HEAD + 2 * CLASSES)
-    sums[:_HEAD] = count.sum(), (of_word > 0).sum(), (count == 1).sum(), (count == 2).sum(), (of_word == 1).sum(), (of_word == 2).sum()
-    sums[_HEAD : _HEAD + CLASSES] = np.bincount(context, count, CLASSES)
-    sums[_HEAD + CLASSES :] = np.bincount(context, count > 0, CLASSES)
-    return sums
+    return np.array([count.sum(), (of_word > 0).sum(), (count == 1).sum(), (count == 2).sum(), (of_word == 1).sum(), (of_word == 2).sum(), (count > 0).sum()], float)
+
+
+def _send(ranges: int):
+    """Tables of shards (and seats, if there are) -> a row (range, shard, data) of sums by context for each range of context hashes.
+
+    The sums are those of customers and pairs, or, with seats, of tables in each sample.
+    """
+    schema = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seats = batch.column(2) if batch.num_columns > 2 else pa.nulls(batch.num_rows)
+            for shard, table, seat in zip(batch.column(0).to_pylist(), batch.column(1), seats, strict=True):
+                _, _, context, count, contexts = load(table.as_py())
+                values = load(seat.as_py())[::2] if seat.is_valid else [count, count > 0]
+                sums = [np.bincount(context, x, len(contexts)).astype(np.int64) for x in values]
+                of = ((contexts & _U((1 << 63) - 1)) >> _U(31)) * _U(ranges) >> _U(32)  # rises with the hash
+                cuts = [*np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist(), len(of)]
+                rows = [dump(contexts[a:b], *[x[a:b] for x in sums]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]].astype(np.int64)), pa.array(np.full(len(rows), shard, np.int64)), pa.array(rows, pa.binary())], schema=schema)
+
+    return run
+
+
+def _add(group: pa.RecordBatch) -> pa.RecordBatch:
+    """All shards' sums of a range -> for each shard the totals of its contexts, in its order."""
+    parts = [load(x) for x in group.column("data").to_pylist()]
+    contexts, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    totals = [np.bincount(number, np.concatenate(x), len(contexts)).astype(np.int64) for x in zip(*[p[1:] for p in parts], strict=True)]
+    rows = [dump(*[x[at] for x in totals]) for at in np.split(number, np.cumsum([len(p[0]) for p in parts])[:-1])]
+    return pa.RecordBatch.from_arrays([group.column("shard"), group.column("range"), pa.array(rows, pa.binary())], names=["shard", "range", "data"])
+
+
+def _join(group: pa.RecordBatch) -> pa.RecordBatch:
+    """The totals of a shard's contexts, of all ranges."""
+    order = np.argsort(group.column("range").to_numpy())
+    data = group.column("data").to_pylist()
+    rows = [dump(*map(np.concatenate, zip(*[load(data[i]) for i in order], strict=True)))]
+    return pa.RecordBatch.from_arrays([group.column("shard").slice(0, 1), pa.array(rows, pa.binary())], names=["shard", "totals"])
+
+
+def exchange(tables: DataFrame, ranges: int) -> DataFrame:
+    """shard, totals: of the contexts of each shard, summed over all shards.  ``tables``: shard, words and perhaps seats."""
+    sent = tables.mapInArrow(_send(ranges), "range bigint, shard bigint, data binary")
+    added = map_groups(sent, ["range"], _add, "shard bigint, range bigint, data binary")
+    return stash(map_groups(added, ["shard"], _join, "shard bigint, totals binary"), "context-totals")
 
 
 def _total(df: DataFrame, col: str, of: Callable[[bytes], np.ndarray] = lambda x: np.frombuffer(x, float)) -> np.ndarray | None:
@@ -271,11 +317,15 @@ def parent_probability(customers: np.ndarray, tables: np.ndarray, all_customers:
     return (customers - d * tables + (STRENGTH + d * all_tables) / (v + 1)) / (STRENGTH + all_customers)
 
 
-def seatings(shard: int, table: bytes, sums: np.ndarray, tables: np.ndarray, parent_tables: float, burn_in: int, samples: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Tables of each pair and, in the parent, of each word, in each sample.  ``tables``: of each context, from the last round."""
-    words, word, context, count = load(table)
+def seatings(shard: int, table: bytes, sums: np.ndarray, tables: np.ndarray, parent_tables: float, burn_in: int, samples: int, all_tables: float | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tables of each pair and, in the parent, of each word, in each sample.
+
+    ``tables``: of each of the shard's contexts, from the last round; ``all_tables``: of all contexts together (without it, these are all).
+    """
+    words, word, context, count = load(table)[:4]
     of_word = np.bincount(word, count, len(words)).astype(np.int64)
     d, d0, v = discount(sums[_PAIR1], sums[_PAIR2]), discount(sums[_WORD1], sums[_WORD2]), sums[_V]
+    all_tables = tables.sum() if all_tables is None else all_tables
     rng = np.random.default_rng([shard, burn_in, samples])
     below = Seating(count, rng)
     t = (count > 0).astype(np.int64)
@@ -284,7 +334,7 @@ def seatings(shard: int, table: bytes, sums: np.ndarray, tables: np.ndarray, par
     out = []
     for k in range(burn_in + samples + 1):
         customers = np.bincount(word, t, len(of_word))
-        p = parent_probability(customers, t0, tables.sum(), parent_tables, v, d0)
+        p = parent_probability(customers, t0, all_tables, parent_tables, v, d0)
         new = (STRENGTH + d * tables[context]) * p[word]
         if k == 0:
             below.seat(new, d)
@@ -302,40 +352,40 @@ def seatings(shard: int, table: bytes, sums: np.ndarray, tables: np.ndarray, par
     return out
 
 
-def _sample(sums: np.ndarray, tables: np.ndarray, parent_tables: float, burn_in: int, samples: int):
+def _sample(sums: np.ndarray, all_tables: float, parent_tables: float, burn_in: int, samples: int):
     schema = pa.schema([("shard", pa.int64()), ("seats", pa.binary()), ("totals", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, table in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = seatings(shard, table.as_py(), sums, tables, parent_tables, burn_in, samples)
-                context = load(table.as_py())[2]
-                totals = [np.append(np.bincount(context, t, CLASSES), t0.sum()) for t, t0 in got]
+            for shard, table, totals in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                tables = load(totals.as_py())[-1]
+                got = seatings(shard, table.as_py(), sums, tables, parent_tables, burn_in, samples, all_tables)
                 flat = [a.astype(np.int32) for pair in got for a in pair]
-                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([dump(*flat)], pa.binary()), pa.array([np.concatenate(totals).tobytes()], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([dump(*flat)], pa.binary()), pa.array([np.array([a.sum() for a in flat], float).tobytes()], pa.binary())], schema=schema)
 
     return run
 
 
 def _score(sums: np.ndarray, totals: np.ndarray):
+    """``totals``: of each sample, the tables of all contexts and of the parent."""
     schema = pa.schema([("block", pa.int64()), ("data", pa.binary())])
     n, v = sums[_N], sums[_V]
     d, d0 = discount(sums[_PAIR1], sums[_PAIR2]), discount(sums[_WORD1], sums[_WORD2])
-    customers = sums[_HEAD : _HEAD + CLASSES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for table, whole, data, seats in zip(*[batch.column(i) for i in range(4)], strict=True):
-                words, word, context, count = load(whole.as_py())
+            for table, whole, data, seats, held, sat in zip(*[batch.column(i) for i in range(6)], strict=True):
+                words, word, context, count, contexts = load(whole.as_py())
                 flat, p, of_word = load(seats.as_py()), np.zeros(len(word)), np.bincount(word, count, len(words))
-                for k, total in enumerate(totals):
-                    t, t0, tables, parent_tables = flat[2 * k], flat[2 * k + 1], total[:CLASSES], total[CLASSES]
-                    p0 = parent_probability(np.bincount(word, t, len(words)), t0, tables.sum(), parent_tables, v, d0)
+                customers = load(held.as_py())[0]
+                for k, (tables, (all_tables, parent_tables)) in enumerate(zip(load(sat.as_py()), totals, strict=True)):
+                    t, t0 = flat[2 * k], flat[2 * k + 1]
+                    p0 = parent_probability(np.bincount(word, t, len(words)), t0, all_tables, parent_tables, v, d0)
                     p += (count - d * t + (STRENGTH + d * tables[context]) * p0[word]) / (STRENGTH + customers[context])
                 blocks, runs, doc, pair = load(data.as_py())
-                own_words, own_word, own_context, _ = load(table.as_py())
-                at = np.searchsorted(word.astype(np.int64) * CLASSES + context, np.searchsorted(words, own_words)[own_word] * CLASSES + own_context)
-                pair = at[pair]
+                own_words, own_word, own_context, _, own_contexts = load(table.as_py())
+                key = np.searchsorted(words, own_words)[own_word] * len(contexts) + np.searchsorted(contexts, own_contexts)[own_context]
+                pair = np.searchsorted(word.astype(np.int64) * len(contexts) + context, key)[pair]
                 score = np.log10(p / len(totals))
                 base = np.log10((of_word + 1) / (n + v + 1))[word]
                 known = (of_word > 0)[word]
@@ -385,22 +435,25 @@ def score(docs: DataFrame, learned: Column, *, id_col: str = "doc_id", text_col:
         whole = stash(map_groups(whole, ["shard"], _merge, "shard bigint, words binary"), "shard-words")
 
     sums = _total(whole, "words", table_sums)
-    sums = np.zeros(_HEAD + 2 * CLASSES) if sums is None else sums
-    tables, parent_tables = sums[_HEAD + CLASSES :], sums[_V]
+    sums = np.zeros(_HEAD + 1) if sums is None else sums
+    ranges = math.ceil(shards / CLASSES) * CLASSES
 
-    def sampled(burn_in: int, samples: int) -> tuple[DataFrame, np.ndarray]:
-        got = stash(whole.mapInArrow(_sample(sums, tables, parent_tables, burn_in, samples), "shard bigint, seats binary, totals binary"), "seats")
+    def sampled(rows: DataFrame, all_tables: float, parent_tables: float, burn_in: int, samples: int) -> tuple[DataFrame, np.ndarray]:
+        got = stash(rows.mapInArrow(_sample(sums, all_tables, parent_tables, burn_in, samples), "shard bigint, seats binary, totals binary"), "seats")
         total = _total(got, "totals")
-        return got, np.zeros((samples, CLASSES + 1)) if total is None else total.reshape(samples, CLASSES + 1)
+        return got.select("shard", "seats"), np.zeros((samples, 2)) if total is None else total.reshape(samples, 2)
 
-    _, totals = sampled(0, 1)
-    tables, parent_tables = totals[0][:CLASSES], float(totals[0][CLASSES])
-    seats, totals = sampled(BURN_IN, SAMPLES)
+    held_by = exchange(whole, ranges)
+    seats, totals = sampled(whole.join(held_by, "shard"), sums[_PAIRS], sums[_V], 0, 1)
+    sat_by = exchange(whole.join(seats, "shard"), ranges)
+    seats, totals = sampled(whole.join(sat_by, "shard"), *totals[0], BURN_IN, SAMPLES)
+    sat_by = exchange(whole.join(seats, "shard"), ranges)
     if cells > 1:
-        scored = own.join(whole.withColumnRenamed("words", "whole").join(seats, "shard"), "shard")
+        scored = own.join(whole.withColumnRenamed("words", "whole"), "shard")
     else:
-        scored = own.withColumn("whole", F.col("words")).join(seats, "shard")
-    parts = scored.select("words", "whole", "data", "seats").mapInArrow(_score(sums, totals), "block bigint, data binary")
+        scored = own.withColumn("whole", F.col("words"))
+    scored = scored.join(seats, "shard").join(held_by.withColumnRenamed("totals", "held"), "shard").join(sat_by.withColumnRenamed("totals", "sat"), "shard")
+    parts = scored.select("words", "whole", "data", "seats", "held", "sat").mapInArrow(_score(sums, totals), "block bigint, data binary")
     parts = parts.groupBy("block").agg(F.collect_list("data").alias("parts"))  # bounded: one of each shard that the block has words for
     heads = held.where("shard < 0").select((-1 - F.col("shard")).alias("block"), F.col("data").alias("head"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, learned boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
