@@ -124,3 +124,35 @@ def test_context_is_the_token_before(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r["score"] for r in sorted(hpyp.score(docs, F.col("doc_id") < 60).collect(), key=lambda r: r["id"])][60:]
     assert min(got[0], got[3]) > max(got[1], got[2]) + 1
+
+
+def test_law_of_tables_of_frequent_words():
+    """Drawn numbers of tables against the law t ~ S(n, t) * new^t, counted by the full recursion, with n in the thousands."""
+    n, dishes = 3000, 4000
+    for d, new in ((0.3, 40.0), (0.6, 0.9), (0.6, 300.0), (0.8, 5000.0), (0.95, 2000.0)):
+        ways = np.full(n + 2, -np.inf)
+        ways[1] = 0
+        for k in range(1, n):
+            t = np.arange(1, k + 1)
+            old, ways = ways, np.full(n + 2, -np.inf)
+            ways[1 : k + 1] = old[1 : k + 1] + np.log(k - d * t)
+            ways[2 : k + 2] = np.logaddexp(ways[2 : k + 2], old[1 : k + 1])
+        t = np.arange(n + 2)
+        law = np.exp(ways + t * np.log(new) - (ways + t * np.log(new)).max())
+        law /= law.sum()
+        got = hpyp.draw_tables(np.full(dishes, n), np.full(dishes, new), d, np.random.default_rng(1))
+        steps = np.bincount(got, minlength=n + 2).cumsum() / dishes
+        assert np.abs(steps - law.cumsum()).max() < 0.035  # Kolmogorov: 1.63 / sqrt(4000) = 0.026 at 1 %
+
+
+def test_seating_goes_on_from_the_last_one():
+    """With totals of the last round, the first sweep's parent probability must come from the last round's tables too."""
+    word, count = np.arange(40, dtype=np.int32), np.full(40, 5000)
+    sums = np.array([count.sum(), 40, 30, 20, 30, 20, 40], float)
+    data = common.dump(np.arange(40, dtype=np.uint64), word, np.zeros(40, np.int32), count, np.zeros(1, np.uint64))
+    start = np.full(40, 50), np.full(40, 5)
+    ((t, _),) = hpyp.seatings(0, data, sums, np.array([2000.0]), 200.0, 0, 1, start=start)
+    p = hpyp.parent_probability(np.full(40, 50), np.full(40, 5), 2000.0, 200.0, 40, hpyp.discount(30, 20))
+    d = hpyp.discount(30, 20)
+    want = hpyp.draw_tables(np.full(4000, 5000), np.full(4000, (1 + d * 2000) * p[0]), d, np.random.default_rng(2)).mean()
+    assert abs(t.mean() - want) < 0.1 * want

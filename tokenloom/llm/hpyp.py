@@ -5,10 +5,10 @@ learned words and one place for all others.  The context of a token is the token
 hash; the start of a text is a context of its own), so contexts grow with the words.  Every table of
 a context restaurant sends one customer to the parent.
 
-Seating is sampled by Gibbs: customers are first seated one after another, then leave and are seated
-again, an old table with weight (customers - discount), a new one with weight (strength + discount *
-tables) * parent probability.  Frequent words have ``RESEATED`` random customers reseated in a
-sweep.  Predictive probabilities of ``SAMPLES`` seatings are averaged; their base-10 logarithms add up to
+Seating is sampled by Gibbs: in every sweep all customers of every word leave and are seated again, an
+old table with weight (customers - discount), a new one with weight (strength + discount * tables) *
+parent probability.  Scores need only the number of tables, which is drawn from its law for all of a
+word's customers together, however many they are (``draw_tables``).  Predictive probabilities of ``SAMPLES`` seatings are averaged; their base-10 logarithms add up to
 the score, whose mean over tokens gives the perplexity.
 
 Distribution: documents are packed in blocks; each block sends the occurrences of its words to
@@ -34,6 +34,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import uuid
@@ -53,7 +54,9 @@ BLOCK_BYTES = 4_000_000
 SHARD_CHARS = 16_000_000  # text for each shard
 CELL_CHARS = 1_000_000_000  # text whose occurrences of a shard's words are held together
 STRENGTH = 1.0
-BURN_IN, SAMPLES, RESEATED = 2, 2, 16
+BURN_IN, SAMPLES = 2, 2
+SMALL = 256  # customers up to which the law of tables is tabulated
+GRID = 500_000  # numbers of tables weighed at a time
 _U = np.uint64
 _START, _END = 0, 0xFF00  # the context at the start of a text and the hash of the end token, below all words'
 
@@ -76,6 +79,26 @@ class _Words(dict):
 _words = _Words()
 
 
+def _gaps(x: np.ndarray) -> np.ndarray:
+    """Differences modulo 2^32, of narrow numbers if they fit: documents rise within a word, so most are small."""
+    out = np.diff(x, prepend=x.dtype.type(0))
+    low = out.astype(np.int16)
+    return low if (low.astype(np.int64) == out.astype(np.int32)).all() else out
+
+
+def _ungapped(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x.astype(np.int64)).astype(np.uint32)
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Rising hashes as gaps, first bytes of all, then second bytes, and so on: the high ones are nearly all 0."""
+    return np.diff(x, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.ravel()
+
+
+def _hashes(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.reshape(8, -1).T).view(_U).ravel(), dtype=_U)
+
+
 def _scatter(shards: int, cells: int):
     """Blocks of documents -> a row (cell, block, data) for each shard that a block has words for, and one with its documents (cell -1 - block).
 
@@ -109,7 +132,7 @@ def _scatter(shards: int, cells: int):
                 heads = np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]]))
                 runs = np.diff([*heads, b - a]).astype(np.uint32)
                 own, at = np.unique(context[a:b], return_inverse=True)
-                rows.append(dump(h[a:b][heads], runs, doc[a:b], own, at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32), seen[doc[a:b]]))
+                rows.append(dump(h[a:b][heads], runs, _gaps(doc[a:b]), _planes(own), at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32), seen[doc[a:b]]))
             block = part << 32 | n
             rows.append(dump(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids]), seen, lengths))
             to = np.append(shard[cuts[:-1]] * cells + hash(block) % cells, -1 - block)
@@ -145,15 +168,28 @@ def _gather(cells: int):
         cell = group.column("cell")[0].as_py()
         if cell < 0:
             return pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([None], pa.binary()), group.column("data")], schema=schema)
-        parts = [load(x) for x in group.column("data").to_pylist()]
-        words, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        word = np.repeat(number, np.concatenate([p[1] for p in parts]))
-        contexts, number = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
-        context = np.concatenate([n[p[4]] for n, p in zip(np.split(number, np.cumsum([len(p[3]) for p in parts])[:-1]), parts, strict=True)])
-        pairs, pair = np.unique(word * len(contexts) + context, return_inverse=True)
-        count = np.bincount(pair, np.concatenate([p[5] for p in parts]), len(pairs)).astype(np.int64)
+        parts = [load(x.as_py()) for x in group.column("data")]
+        for p in parts:
+            p[3] = _hashes(p[3])
+        words, contexts = np.unique(np.concatenate([p[0] for p in parts])), np.unique(np.concatenate([p[3] for p in parts]))
+        # The largest arrays, of occurrences, are made once and in place: a shard of a frequent word has many.
+        ends = np.cumsum([len(p[2]) for p in parts])
+        key, doc, seen = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.uint32), np.empty(ends[-1], bool)
+        for i, b in enumerate(ends.tolist()):
+            head, runs, docs, own, at, learned = parts[i]
+            a, parts[i] = b - len(docs), None
+            key[a:b] = np.repeat(np.searchsorted(words, head) * len(contexts), runs)
+            key[a:b] += np.searchsorted(contexts, own)[at]
+            doc[a:b], seen[a:b] = _ungapped(docs), learned
+        pairs = np.unique(key)
+        pair = np.empty(len(key), np.int32)
+        for a in range(0, len(key), 1 << 18):
+            pair[a : a + (1 << 18)] = np.searchsorted(pairs, key[a : a + (1 << 18)])
+        del key
+        count = np.bincount(pair[seen], minlength=len(pairs)).astype(np.int64)
         table = dump(words, (pairs // len(contexts)).astype(np.int32), (pairs % len(contexts)).astype(np.int32), count, contexts)
-        data = dump(group.column("block").to_numpy(), np.array([len(p[2]) for p in parts]), np.concatenate([p[2] for p in parts]), pair.astype(np.int32))
+        del pairs, count, seen
+        data = dump(group.column("block").to_numpy(), np.diff(ends, prepend=0), doc, pair)
         return pa.RecordBatch.from_arrays([pa.array([cell // cells]), pa.array([table], pa.binary()), pa.array([data], pa.binary())], schema=schema)
 
     return run
@@ -194,7 +230,7 @@ def _send(ranges: int):
                 sums = [np.bincount(context, x, len(contexts)).astype(np.int64) for x in values]
                 of = ((contexts & _U((1 << 63) - 1)) >> _U(31)) * _U(ranges) >> _U(32)  # rises with the hash
                 cuts = [*np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist(), len(of)]
-                rows = [dump(contexts[a:b], *[x[a:b] for x in sums]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                rows = [dump(_planes(contexts[a:b]), *[x[a:b] for x in sums]) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]].astype(np.int64)), pa.array(np.full(len(rows), shard, np.int64)), pa.array(rows, pa.binary())], schema=schema)
 
     return run
@@ -203,6 +239,8 @@ def _send(ranges: int):
 def _add(group: pa.RecordBatch) -> pa.RecordBatch:
     """All shards' sums of a range -> for each shard the totals of its contexts, in its order."""
     parts = [load(x) for x in group.column("data").to_pylist()]
+    for p in parts:
+        p[0] = _hashes(p[0])
     contexts, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     totals = [np.bincount(number, np.concatenate(x), len(contexts)).astype(np.int64) for x in zip(*[p[1:] for p in parts], strict=True)]
     rows = [dump(*[x[at] for x in totals]) for at in np.split(number, np.cumsum([len(p[0]) for p in parts])[:-1])]
@@ -247,8 +285,118 @@ def discount(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once + twice else 0.5
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers."""
+    shift = sum(np.log(x + i) for i in range(8))
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+@functools.lru_cache(4)
+def _small_ways(d: float) -> np.ndarray:
+    """log of the weight of all seatings of n customers at t tables, by n and t - 1, up to SMALL customers, exactly."""
+    out = np.full((SMALL + 1, SMALL), -np.inf)
+    out[1, 0] = 0
+    for n in range(1, SMALL):
+        t = np.arange(1, n + 1)
+        out[n + 1, :n] = out[n, :n] + np.log(n - d * t)
+        out[n + 1, 1 : n + 1] = np.logaddexp(out[n + 1, 1 : n + 1], out[n, :n])
+    return out
+
+
+def log_ways(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The same for n > SMALL in the rows and t (1 to n) in their columns, less log n!.
+
+    It is (coefficient of z^n in (1 - (1 - z)^d)^t) / (t! d^t): where t is small against n^d by its
+    binomial expansion, else by its saddle point with the correction of Stirling's formula for n - t.
+    """
+    n = np.broadcast_to(n[:, None], t.shape).astype(float)
+    t = t.astype(float)
+    out = np.full(t.shape, np.nan)
+    near = np.nonzero((t * n**-d < 3).any(axis=1))[0]
+    if len(near):
+        nn, tt = n[near], t[near]
+        total, most, ways, term = np.zeros(tt.shape), np.zeros(tt.shape), np.ones(tt.shape), np.zeros(tt.shape)
+        for j in range(1, 61):
+            ways = ways * np.maximum(tt - j + 1, 0) / -j
+            whole = log_gamma(nn[:, :1] - j * d) - log_gamma(nn[:, :1] + 1) - (log_gamma(nn[:, :1] - d) - log_gamma(nn[:, :1] + 1))
+            term = ways * np.exp(whole + math.lgamma(1 + j * d)) / math.pi
+            total, most = total - term * math.sin(math.pi * j * d), np.maximum(most, np.abs(term))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            fine = (total > most * 1e-6) & (np.abs(term) < total * 1e-9)
+            out[near] = np.where(fine, np.log(total) + log_gamma(nn - d) - log_gamma(nn + 1), np.nan)
+    todo = np.nonzero(np.isnan(out) & (t < n))
+    if len(todo[0]):
+        nn, tt = n[todo], t[todo]
+        ratio = np.log(nn / tt)
+        a = 2 * ratio / (1 - d)  # 1 - z is exp(-a); Newton from above, of a convex function
+        for _ in range(12):
+            e, f = -np.expm1(-a), -np.expm1(-d * a)
+            a = a - (math.log(d) + np.log(e) + a * (1 - d) - np.log(f) - ratio) / ((1 - e) / e + (1 - d) - d * (1 - f) / f)
+        e, f, k = -np.expm1(-a), -np.expm1(-d * a), nn - tt
+        spread = nn * (1 + (1 - d) * np.expm1(a) - nn / tt)
+        late = log_gamma(k + 1) - (k * np.log(k) - k + 0.5 * np.log(2 * math.pi * k))
+        out[todo] = tt * np.log(f) - nn * np.log(e) - 0.5 * np.log(2 * math.pi * np.maximum(spread, 1e-9)) - late
+    out[t == n] = n[t == n] * math.log(d)
+    return out - log_gamma(t + 1) - t * math.log(d)
+
+
+def _window(n: np.ndarray, new: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least and most tables that can be told from impossible."""
+    low, high = np.full(len(n), math.log(1e-15)), np.log((np.maximum(np.log(n / new), 0) + 5) / (1 - d) + 5)
+    for _ in range(50):
+        mid = (low + high) / 2
+        a = np.exp(mid)
+        under = np.log(new) + np.log(-np.expm1(-a)) + a * (1 - d) < np.log(n)
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    a = np.exp(low)
+    mean = np.clip(new / d * -np.expm1(-d * a), 1, n)
+    reach = 10 * np.sqrt(np.maximum(mean - n / (1 + (1 - d) * np.expm1(np.minimum(a, 600))), 1)) + 20
+    return np.maximum(np.floor(mean - reach), 1).astype(np.int64), np.minimum(np.ceil(mean + reach), n).astype(np.int64)
+
+
+def draw_tables(n: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes whose n customers all leave and are seated anew, from their joint law; ``new``: weight of a new table.
+
+    P(t) is as new^t times the weight of all seatings of n customers at t tables; sizes of tables matter no further.
+    """
+    out = np.minimum(n, 1).astype(np.int64)
+
+    def choose(at: np.ndarray, first: np.ndarray, weight: np.ndarray) -> None:
+        total = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+        out[at] = first + (total < rng.random(len(at))[:, None] * total[:, -1:]).sum(axis=1)
+
+    many = np.flatnonzero((n > 1) & (n <= SMALL))
+    many = many[np.argsort(n[many], kind="stable")]
+    ways = _small_ways(d)
+    for group in np.split(many, np.flatnonzero(np.diff(n[many])) + 1) if len(many) else []:
+        k = int(n[group[0]])
+        for a in range(0, len(group), max(1, GRID // k)):
+            at = group[a : a + max(1, GRID // k)]
+            choose(at, np.int64(1), ways[k, :k] + np.log(new[at])[:, None] * np.arange(1, k + 1))
+    large = np.flatnonzero(n > SMALL)
+    low, high = _window(n[large], new[large], d)
+    order = np.argsort(high - low, kind="stable")
+    a = 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b - a + 1) * (high[order[b]] - low[order[b]] + 1) <= GRID:
+            b += 1
+        own = order[a:b]
+        t = low[own][:, None] + np.arange(int((high[own] - low[own]).max()) + 1)
+        inside = t <= high[own][:, None]
+        at = large[own]
+        t = np.minimum(t, high[own][:, None])
+        choose(at, low[own], np.where(inside, t * np.log(new[at])[:, None] + log_ways(n[at], t, d), -np.inf))
+        a = b
+    return out
+
+
 class Seating:
-    """Customers of many dishes at tables; each dish's restaurant is given by its weights."""
+    """Customers of many dishes at tables, one by one; ``draw_tables`` gives their tables without places.
+
+    Slow for frequent words; the tests compare.
+    """
 
     def __init__(self, customers: np.ndarray, rng: np.random.Generator):
         self.n, self.rng = customers.astype(np.int64), rng
@@ -317,37 +465,25 @@ def parent_probability(customers: np.ndarray, tables: np.ndarray, all_customers:
     return (customers - d * tables + (STRENGTH + d * all_tables) / (v + 1)) / (STRENGTH + all_customers)
 
 
-def seatings(shard: int, table: bytes, sums: np.ndarray, tables: np.ndarray, parent_tables: float, burn_in: int, samples: int, all_tables: float | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+def seatings(shard: int, table: bytes, sums: np.ndarray, tables: np.ndarray, parent_tables: float, burn_in: int, samples: int, all_tables: float | None = None, start: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Tables of each pair and, in the parent, of each word, in each sample.
 
     ``tables``: of each of the shard's contexts, from the last round; ``all_tables``: of all contexts together (without it, these are all).
+    ``start``: the last seating.
     """
     words, word, context, count = load(table)[:4]
     of_word = np.bincount(word, count, len(words)).astype(np.int64)
     d, d0, v = discount(sums[_PAIR1], sums[_PAIR2]), discount(sums[_WORD1], sums[_WORD2]), sums[_V]
     all_tables = tables.sum() if all_tables is None else all_tables
     rng = np.random.default_rng([shard, burn_in, samples])
-    below = Seating(count, rng)
-    t = (count > 0).astype(np.int64)
-    t0 = (of_word > 0).astype(np.int64)
-    above: Seating | None = None
+    t, t0 = ((count > 0).astype(np.int64), (of_word > 0).astype(np.int64)) if start is None else start
+    base = np.full(len(of_word), (STRENGTH + d0 * parent_tables) / (v + 1))
     out = []
-    for k in range(burn_in + samples + 1):
-        customers = np.bincount(word, t, len(of_word))
-        p = parent_probability(customers, t0, all_tables, parent_tables, v, d0)
-        new = (STRENGTH + d * tables[context]) * p[word]
-        if k == 0:
-            below.seat(new, d)
-        else:
-            below.sweep(new, d, RESEATED)
-        t = below.tables()
-        customers = np.bincount(word, t, len(of_word)).astype(np.int64)
-        base = np.full(len(of_word), (STRENGTH + d0 * parent_tables) / (v + 1))
-        above = Seating(customers, rng)  # tables come and go below, so the parent is seated anew and then reseated
-        above.seat(base, d0)
-        above.sweep(base, d0, RESEATED)
-        t0 = above.tables()
-        if k > burn_in:
+    for k in range(burn_in + samples):
+        p = parent_probability(np.bincount(word, t, len(of_word)), t0, all_tables, parent_tables, v, d0)
+        t = draw_tables(count, (STRENGTH + d * tables[context]) * p[word], d, rng)
+        t0 = draw_tables(np.bincount(word, t, len(of_word)).astype(np.int64), base, d0, rng)
+        if k >= burn_in:
             out.append((t, t0))
     return out
 
@@ -357,9 +493,11 @@ def _sample(sums: np.ndarray, all_tables: float, parent_tables: float, burn_in:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, table, totals in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            last = batch.column(3) if batch.num_columns > 3 else pa.nulls(batch.num_rows)
+            for shard, table, totals, seat in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), last, strict=True):
                 tables = load(totals.as_py())[-1]
-                got = seatings(shard, table.as_py(), sums, tables, parent_tables, burn_in, samples, all_tables)
+                start = [x.astype(np.int64) for x in load(seat.as_py())[-2:]] if seat.is_valid else None
+                got = seatings(shard, table.as_py(), sums, tables, parent_tables, burn_in, samples, all_tables, start)
                 flat = [a.astype(np.int32) for pair in got for a in pair]
                 yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([dump(*flat)], pa.binary()), pa.array([np.array([a.sum() for a in flat], float).tobytes()], pa.binary())], schema=schema)
 
@@ -375,7 +513,7 @@ def _score(sums: np.ndarray, totals: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for table, whole, data, seats, held, sat in zip(*[batch.column(i) for i in range(6)], strict=True):
-                words, word, context, count, contexts = load(whole.as_py())
+                words, word, context, count, contexts = load((whole if whole.is_valid else table).as_py())
                 flat, p, of_word = load(seats.as_py()), np.zeros(len(word)), np.bincount(word, count, len(words))
                 customers = load(held.as_py())[0]
                 for k, (tables, (all_tables, parent_tables)) in enumerate(zip(load(sat.as_py()), totals, strict=True)):
@@ -383,9 +521,10 @@ def _score(sums: np.ndarray, totals: np.ndarray):
                     p0 = parent_probability(np.bincount(word, t, len(words)), t0, all_tables, parent_tables, v, d0)
                     p += (count - d * t + (STRENGTH + d * tables[context]) * p0[word]) / (STRENGTH + customers[context])
                 blocks, runs, doc, pair = load(data.as_py())
-                own_words, own_word, own_context, _, own_contexts = load(table.as_py())
-                key = np.searchsorted(words, own_words)[own_word] * len(contexts) + np.searchsorted(contexts, own_contexts)[own_context]
-                pair = np.searchsorted(word.astype(np.int64) * len(contexts) + context, key)[pair]
+                if whole.is_valid:
+                    own_words, own_word, own_context, _, own_contexts = load(table.as_py())
+                    key = np.searchsorted(words, own_words)[own_word] * len(contexts) + np.searchsorted(contexts, own_contexts)[own_context]
+                    pair = np.searchsorted(word.astype(np.int64) * len(contexts) + context, key)[pair]
                 score = np.log10(p / len(totals))
                 base = np.log10((of_word + 1) / (n + v + 1))[word]
                 known = (of_word > 0)[word]
@@ -444,14 +583,14 @@ def score(docs: DataFrame, learned: Column, *, id_col: str = "doc_id", text_col:
         return got.select("shard", "seats"), np.zeros((samples, 2)) if total is None else total.reshape(samples, 2)
 
     held_by = exchange(whole, ranges)
-    seats, totals = sampled(whole.join(held_by, "shard"), sums[_PAIRS], sums[_V], 0, 1)
+    seats, totals = sampled(whole.join(held_by, "shard"), sums[_PAIRS], sums[_V], BURN_IN, 1)
     sat_by = exchange(whole.join(seats, "shard"), ranges)
-    seats, totals = sampled(whole.join(sat_by, "shard"), *totals[0], BURN_IN, SAMPLES)
+    seats, totals = sampled(whole.join(sat_by, "shard").join(seats, "shard"), *totals[0], BURN_IN, SAMPLES)
     sat_by = exchange(whole.join(seats, "shard"), ranges)
     if cells > 1:
         scored = own.join(whole.withColumnRenamed("words", "whole"), "shard")
     else:
-        scored = own.withColumn("whole", F.col("words"))
+        scored = own.withColumn("whole", F.lit(None).cast("binary"))  # the same
     scored = scored.join(seats, "shard").join(held_by.withColumnRenamed("totals", "held"), "shard").join(sat_by.withColumnRenamed("totals", "sat"), "shard")
     parts = scored.select("words", "whole", "data", "seats", "held", "sat").mapInArrow(_score(sums, totals), "block bigint, data binary")
     parts = parts.groupBy("block").agg(F.collect_list("data").alias("parts"))  # bounded: one of each shard that the block has words for
