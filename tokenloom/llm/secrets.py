@@ -46,6 +46,13 @@ class Rule:
     least: int = 0
 
 
+#: A private key: to its END line, with no other line of five hyphens between; without one, header
+#: lines and a base64 run of 16 characters or more; else the BEGIN line.  Repeated groups are bounded, since the JVM recurses on them.
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,50}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:[\x20\x09\x0A\x0D]*[A-Za-z0-9-]+:[^\x0A]*\x0A){0,10}[\x20\x09\x0A\x0D\\nr]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\x20\x09\x0A\x0D\\]*)?"
+)
 #: The base rules, then those added.
 RULES = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
@@ -56,8 +63,8 @@ RULES = (
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{24,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/@]{3,100}@"),
+    Rule("pem", _PEM),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/@]{3,}@"),
 )
 BASE = ("assign", "access", "hex")
 
