@@ -156,3 +156,18 @@ def test_seating_goes_on_from_the_last_one():
     d = hpyp.discount(30, 20)
     want = hpyp.draw_tables(np.full(4000, 5000), np.full(4000, (1 + d * 2000) * p[0]), d, np.random.default_rng(2)).mean()
     assert abs(t.mean() - want) < 0.1 * want
+
+
+def test_shards_send_scores_in_double_precision():
+    import pyarrow as pa
+
+    one = lambda *x: common.dump(*[np.array([i], kind) for i, kind in x])
+    table = one((1, np.uint64), (0, np.int32), (0, np.int32), (3, np.int64), (0, np.uint64))
+    row = [table, table, one((7, np.int64), (1, np.int64), (0, np.uint32), (0, np.int32)), one((2, np.int32), (1, np.int32)), one((3, np.int64), (1, np.int64)), one((2, np.int64))]
+    sums = np.array([3, 1, 0, 0, 0, 0, 1], float)
+    batch = pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=list("abcdef"))
+    (out,) = hpyp._score(sums, np.array([[2.0, 1.0]]))(iter([batch]))
+    d = hpyp.discount(0, 0)
+    p0 = hpyp.parent_probability(np.array([2]), np.array([1]), 2.0, 1.0, 1.0, d)[0]
+    want = math.log10((3 - d * 2 + (1 + d * 2) * p0) / (1 + 3))
+    assert math.isclose(common.load(out.column("data")[0].as_py())[3][0], want, rel_tol=1e-14)

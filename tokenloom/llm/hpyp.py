@@ -533,7 +533,7 @@ def _score(sums: np.ndarray, totals: np.ndarray):
                     x, y = doc[a:b], pair[a:b]
                     at = np.flatnonzero(np.bincount(x))
                     n_known, own_base, own_score = (np.bincount(x, w[y])[at] for w in (known, base, score))
-                    part = dump(np.diff(at, prepend=0).astype(np.uint32), n_known.astype(np.uint32), own_base, own_score.astype(np.float32))
+                    part = dump(np.diff(at, prepend=0).astype(np.uint32), n_known.astype(np.uint32), own_base, own_score)
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part], pa.binary())], schema=schema)
 
     return run
