@@ -19,7 +19,9 @@ Defined results
 * extra columns pass through; feature names that clash replace nothing (``features`` returns only
   the listed columns, ``reject`` keeps the columns of its input).
 
-The driver gathers one row per stratum with the counts at each grid point (a few dozen numbers).
+The promise holds per rule; all five rules together reject at most 5 x ``alpha`` of a stratum's good
+documents (union bound).  The driver gathers one row for each stratum that has enough labelled good
+documents for a cutoff to pass at all (``least_labels``), with the counts at each grid point.
 """
 
 from __future__ import annotations
@@ -112,13 +114,19 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(term(i) for i in range(min(k, n) + 1)))
 
 
+def least_labels(level: float, alpha: float) -> int:
+    """With fewer good documents no cutoff can pass, even one that rejects none of them."""
+    return math.floor(math.log(level) / math.log1p(-alpha))
+
+
 def fit(measured: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str | None, str], float]:
     """(stratum, rule) -> cutoff.  ``measured``: the rows of ``features`` with id and stratum."""
     good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_good")).where("_good = 1")
     held = measured.join(good, F.col(id_col) == F.col("_id"), "left_semi")
     points = [(r, c) for r, (_, grid) in RULES.items() for c in grid]
-    rows = held.groupBy(F.col(stratum_col).alias("_s")).agg(F.count("*").alias("_n"), *[F.count_if(_beyond(r, c)).alias(f"_{i}") for i, (r, c) in enumerate(points)]).collect()
-    level, found = delta / max(1, len(rows) * len(RULES)), {}
+    counted = stash(held.groupBy(F.col(stratum_col).alias("_s")).agg(F.count("*").alias("_n"), *[F.count_if(_beyond(r, c)).alias(f"_{i}") for i, (r, c) in enumerate(points)]), "quality-strata")
+    level, found = delta / max(1, counted.count() * len(RULES)), {}
+    rows = counted.where(F.col("_n") >= least_labels(level, alpha)).collect()  # only strata with enough good documents come to the driver
     for row in rows:
         passing = dict.fromkeys(RULES, True)
         for i, (rule, cutoff) in enumerate(points):
@@ -144,8 +152,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum_col: str = "lang", text_col: str = "text", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns."""
-    cutoffs = fit(stash(features(docs, [id_col, stratum_col], text_col), "quality"), labels, id_col=id_col, stratum_col=stratum_col, alpha=alpha, delta=delta)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(stratum_col).alias("_s"), F.col(text_col).alias("_text"))
-    passing = features(rows, ["row", "_s"], "_text").where(~base_failed() & ~learned_failed(cutoffs, "_s"))
-    return passing.select("row.*")
+    """The rows of ``docs`` that pass, with their columns.  Rows are written once with their counts, so no text is measured twice."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_key"), F.col(stratum_col).alias("_s"), F.col(text_col).alias("_text"))
+    measured = stash(features(rows, ["row", "_key", "_s"], "_text"), "quality-rows")
+    cutoffs = fit(measured.drop("row"), labels.withColumnRenamed(id_col, "_key"), id_col="_key", stratum_col="_s", alpha=alpha, delta=delta)
+    return measured.where(~base_failed() & ~learned_failed(cutoffs, "_s")).select("row.*")
