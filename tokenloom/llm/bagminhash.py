@@ -11,9 +11,10 @@ nearly all signatures, then further for those with empty places.
 Equal contents (sequence of words) are merged first and never compared with each other.  Signatures
 are banded; in every band bucket all contents are verified (exact multiset overlap) against a few
 hubs, drawn by different hash orders, which joins almost all true groups with a number of pairs
-linear in the bucket.  What is then still in different components is compared pair by pair inside
-bounded blocks of the buckets, skipping what is joined meanwhile, so no link between different
-texts that share a band is lost and no bucket is ever expanded into all pairs.
+linear in the bucket.  What is then still outside its hub's component is compared pair by pair with
+the bucket inside bounded blocks, skipping what is joined meanwhile, so no link between different
+texts that share a band is lost and no bucket is ever expanded into all pairs.  Frequent buckets
+and hubs with many members are dealt to many tasks.
 
 Defined results
 ---------------
@@ -36,9 +37,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tokenloom.llm.common import stash, text_of
-from tokenloom.llm.components import BLOCK_ROWS, components, in_blocks, map_groups
+from tokenloom.llm.components import BLOCK_ROWS, components, join_by_key, map_groups
 
 SHINGLE = 5
 PLACES, ROWS = 96, 4  # signature places, places of a band
@@ -55,19 +57,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_words = _Words()
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -77,7 +66,7 @@ def shingles(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     if not n:
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, words), _U, n)
+    h = np.fromiter(map(xxh3_64_intdigest, words), _U, n)
     width = min(n, SHINGLE)
     s = np.full(n - width + 1, width, _U)
     for k in range(width):
@@ -245,27 +234,53 @@ def _best(id_col: str = "id") -> Column:
     return F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col("digest"))
 
 
-def _links(contents: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """Links (a, b) between contents that connect all contents of similarity ``least`` or more."""
+def _deal(rows: DataFrame, total: int) -> DataFrame:
+    """Rows of buckets (bucket, node, root, root0, ...) that hold several roots, dealt to pairs of blocks.
+
+    Rows of the hub's component (root0) are apart from the others at most, so only pairs with one of the others are made:
+    blocks of those (0, 1, ...) with each other and with blocks of the component (-1, -2, ...).
+    """
+    other = F.col("root") != F.col("root0")
+    sizes = rows.groupBy("bucket").agg(F.count_if(other).alias("others"), F.count("*").alias("c")).where("others > 0")
+    blocks = lambda n: F.ceil(n / (BLOCK_ROWS // 4)).cast("int")
+    sizes = stash(sizes.select("bucket", "c", blocks(F.col("others")).alias("m"), blocks(F.col("c") - F.col("others")).alias("k")), "bucket-parts", total // 2)
+    dealt = join_by_key(rows, sizes, ["bucket"], "c", total)
+    own = F.when(other, F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(-1 - F.pmod(F.xxhash64("node"), F.col("k"))).cast("int")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+    partners = F.when(other, F.concat(upto(F.col("m")), F.transform(upto(F.col("k")), lambda x: -1 - x))).otherwise(upto(F.col("m")))
+    dealt = dealt.withColumn("own", own).withColumn("partner", F.explode(partners))
+    both = (F.col("own") >= 0) & (F.col("partner") >= 0)
+    first = F.when(both, F.least("own", "partner")).otherwise(F.greatest("own", "partner"))
+    second = F.when(both, F.greatest("own", "partner")).otherwise(F.least("own", "partner"))
+    return dealt.select("bucket", "node", "root", "own", first.alias("block_i"), second.alias("block_j"))
+
+
+def _links(contents: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float, rows: int) -> DataFrame:
+    """Links (a, b) between contents that connect all contents of similarity ``least`` or more; ``rows``: contents at most."""
+    bands = PLACES // ROWS
     entries = contents.select("content", F.explode("bands").alias("bucket"))
     hubs = [F.min_by("content", F.xxhash64(F.lit(k), "content")).alias(f"h{k}") for k in range(HUBS)]
-    buckets = entries.groupBy("bucket").agg(*hubs, F.count("*").alias("c")).where("c > 1").drop("c")
-    members = stash(entries.join(buckets, "bucket"), "bucket-members")
+    buckets = stash(entries.groupBy("bucket").agg(*hubs, F.count("*").alias("c")).where("c > 1"), "buckets", rows)
+    members = stash(join_by_key(entries, buckets, ["bucket"], "c", bands * rows), "bucket-members", rows)
     wanted = contents.select("content", "best").join(members.select("content").distinct(), "content", "left_semi")
     keyed = docs.select(F.col(id_col).alias("id"), F.md5(text_of(text_col).cast("binary")).alias("digest"), F.col(text_col).alias("text"))
     same = F.col("best.digest").eqNullSafe(F.col("digest")) & F.col("best.id").eqNullSafe(F.col("id"))
-    texts = stash(keyed.join(wanted, same).groupBy("content").agg(F.first("text").alias("text")), "bucket-texts")
-
-    pairs = members.select("content", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hub")).where("content <> hub").distinct()
-    with_text = pairs.join(texts.withColumnRenamed("text", "ta"), "content").join(texts.select(F.col("content").alias("hub"), F.col("text").alias("tb")), "hub")
+    texts = stash(keyed.join(wanted, same).groupBy("content").agg(F.first("text").alias("text")), "bucket-texts", rows)
+
+    # A hub of many members goes to several tasks, each with some of them.
+    pairs = members.select("content", "c", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hub")).where("content <> hub")
+    pairs = pairs.groupBy("content", "hub").agg(F.max("c").alias("c")).withColumn("part", F.pmod(F.xxhash64("content"), F.ceil(F.col("c") / BLOCK_ROWS)))
+    parts = pairs.groupBy("hub").agg(F.max("c").alias("c")).select("hub", F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / BLOCK_ROWS) - 1)).alias("part"))
+    hub_texts = parts.join(texts.select(F.col("content").alias("hub"), F.col("text").alias("tb")), "hub")
+    with_text = pairs.select("content", "hub", "part").join(texts.withColumnRenamed("text", "ta"), "content").join(hub_texts, ["hub", "part"])
     links = stash(with_text.select("content", "hub", "ta", "tb").mapInArrow(_verify(least), "a string, b string"), "links")
 
-    roots = components(links).withColumnRenamed("node", "content")
-    placed = stash(members.select("content", "bucket").join(roots, "content", "left").select(F.col("content").alias("node"), "bucket", F.coalesce("root", "content").alias("root")), "placed")
-    split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    roots = components(links)
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    placed = members.select("bucket", F.col("content").alias("node"), "h0").join(root_of("node"), "node", "left").join(root_of("h0"), "h0", "left")
+    placed = placed.select("bucket", "node", F.coalesce("root_node", "node").alias("root"), F.coalesce("root_h0", "h0").alias("root0"))
     known = contents.select(F.col("content").alias("node"), "bands").join(texts.withColumnRenamed("content", "node"), "node")
-    apart = placed.join(split, "bucket", "left_semi").join(known, "node").select("bucket", "node", "root", "bands", "text")
-    dealt = in_blocks(apart, ["bucket"], "node", BLOCK_ROWS // 4)
+    dealt = _deal(placed, bands * rows).join(known, "node")
     more = stash(map_groups(dealt, ["bucket", "block_i", "block_j"], _rest(least), "a string, b string"), "more-links")
     return links.unionByName(more)
 
@@ -276,9 +291,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.col(id_col).alias("id"), F.md5(text_of(text_col).cast("binary")).alias("digest"), F.col(text_col).alias("text"))
     signed = stash(keyed.mapInArrow(_sign, f"id {kind}, digest string, content string, bands array<bigint>"), "signatures")
     contents = signed.where("content is not null").groupBy("content").agg(F.first("bands").alias("bands"), F.min(_best()).alias("best"))
-    contents = stash(contents, "contents")
-    roots = components(_links(contents, docs, id_col, text_col, least)).withColumnRenamed("node", "content")
-    groups = stash(contents.select("content", "best").join(roots, "content", "left").withColumn("root", F.coalesce("root", "content")), "groups")
+    rows = signed.count()
+    contents = stash(contents, "contents", rows)
+    roots = components(_links(contents, docs, id_col, text_col, least, rows)).withColumnRenamed("node", "content")
+    groups = contents.select("content", "best").join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
     bests = groups.groupBy("root").agg(F.min("best").alias("best"))
     groups = groups.select("content", "root").join(bests, "root").drop("root")
     out = signed.select("id", "digest", "content").join(groups, "content", "left")
@@ -293,12 +309,12 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row of each class (and all without words), with the columns of ``docs``."""
-    got = stash(classes(docs, id_col=id_col, text_col=text_col, least=least), "classes")
+    got = classes(docs, id_col=id_col, text_col=text_col, least=least)
     staying = got.where(F.col("best").isNull() | (_best() == F.col("best")))
     staying = staying.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("twins"), F.first("best").alias("_best"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.md5(text_of(text_col).cast("binary")).alias("digest"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
-    kept = keyed.join(staying.hint("shuffle_hash"), same)
+    kept = keyed.join(staying, same)
     one = (F.col("twins") == 1) | F.col("_best").isNull()
     repeated = kept.where(~one).groupBy("id", "digest").agg(F.first("row").alias("row"))
     return kept.where(one).select("row").unionByName(repeated.select("row")).select("row.*")

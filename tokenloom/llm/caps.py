@@ -168,7 +168,7 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     shared = entries.join(counted, ["kind", "filter"])
     lists = shared.groupBy("node", "kind").agg(F.collect_list("filter").alias("filters"))  # bounded: the filters of one vector
     full = stash(lists.join(distinct.select("node", "n", "v").mapInArrow(packed, "node bigint, n bigint, data binary"), "node"), "filters-shared")
-    dealt = in_blocks(full.withColumn("filter", F.explode("filters")), ["kind", "filter"], "node")
+    dealt = in_blocks(full.withColumn("filter", F.explode("filters")), ["kind", "filter"], "node", LISTED * full.count())
     found = stash(map_groups(dealt, ["kind", "filter", "block_i", "block_j"], _verify(least, dtype), "node bigint, links bigint, other bigint"), "vector-links")
 
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))

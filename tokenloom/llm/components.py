@@ -13,6 +13,10 @@ from tokenloom.llm.common import stash
 
 #: Rows of a bucket that one task compares with as many others.
 BLOCK_ROWS = 1024
+#: Keys that hold more than one in so many of all rows, so there are fewer of them than this, are joined by broadcast.
+FREQUENT = 100_000
+#: Rows of a key that never make it frequent.
+FEW = 1000
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -26,30 +30,44 @@ def components(edges: DataFrame) -> DataFrame:
     Neighbours are never gathered: each step takes a minimum per node (partial sums first) and
     joins it back, so a hub with very many neighbours is a skewed join that can be split.
     """
-    edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    n = edges.count()
+    edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", n)
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > u and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stash(large, "large-star")
+        large = stash(large, "large-star", 2 * state[0])
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         moved = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stash(moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "small-star")
+        edges = stash(moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "small-star", 2 * state[0])
         before, state = state, _state(edges)
         if state == before:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def in_blocks(rows: DataFrame, keys: list[str], id_col: str, size: int = BLOCK_ROWS) -> DataFrame:
-    """Rows of buckets with two or more, dealt to pairs of blocks (block_i <= block_j, own: the row's block).
+def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with a table of one row a key, in which ``count`` is the number of rows of the key; ``total``: of all keys.
+
+    A key with over ``total`` / FREQUENT rows (and over FEW) would fill a task of the shuffled join, but there are fewer than
+    FREQUENT such keys, so they are sent to all tasks instead.
+    """
+    most = max(FEW, total // FREQUENT)
+    often = F.broadcast(per_key.where(F.col(count) > most).withColumn("_often", F.lit(True)))
+    marked = rows.join(often, keys, "left")
+    rest = marked.where("_often is null").select(*rows.columns).join(per_key.where(F.col(count) <= most), keys)
+    return marked.where("_often").drop("_often").unionByName(rest)
+
+
+def in_blocks(rows: DataFrame, keys: list[str], id_col: str, total: int, size: int = BLOCK_ROWS) -> DataFrame:
+    """Rows of buckets with two or more, dealt to pairs of blocks (block_i <= block_j, own: the row's block); ``total``: their number at most.
 
     A bucket of n rows is cut into n / size blocks; each pair of blocks is a group of its own, so no
     group holds over about twice ``size`` rows however large the bucket is.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1")
-    dealt = rows.join(sizes, keys).withColumn("blocks", F.ceil(F.col("bucket_rows") / size).cast("int"))
+    sizes = stash(rows.groupBy(*keys).agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1"), "bucket-sizes", total // 2)
+    dealt = join_by_key(rows, sizes, keys, "bucket_rows", total).withColumn("blocks", F.ceil(F.col("bucket_rows") / size).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select(*rows.columns, "own", F.least("own", "other").alias("block_i"), F.greatest("own", "other").alias("block_j"))
