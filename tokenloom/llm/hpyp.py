@@ -7,20 +7,28 @@ a context restaurant sends one customer to the parent.
 
 Seating is sampled by Gibbs: in every sweep all customers of every word leave and are seated again, an
 old table with weight (customers - discount), a new one with weight (strength + discount * tables) *
-parent probability.  Scores need only the number of tables, which is drawn from its law for all of a
-word's customers together, however many they are (``draw_tables``).  Predictive probabilities of ``SAMPLES`` seatings are averaged; their base-10 logarithms add up to
+parent probability.  The contexts of a word are dealt to ``GROUPS`` groups by hash; one group at a time
+leaves, together with the customers that its tables sent to the parent, and is seated again given what
+stayed, over all seatings of the parent (``parent_weights``).  Scores need only the number of tables, which is drawn from its law
+for all customers of a word in a context together, however many they are (``draw_tables``).
+Predictive probabilities of ``SAMPLES`` seatings are averaged; their base-10 logarithms add up to
 the score, whose mean over tokens gives the perplexity.
 
+Every draw takes its random number from a hash of word, context and sweep, and all sums that pass
+between tasks are of integers, so scores do not depend on partitions, shards or executors (but for
+the order in which a document's logarithms are added, which follows from the size of the input alone).
+
 Distribution: documents are packed in blocks; each block sends the occurrences of its words to
 shards by word hash (packed, so a frequent word is a run of small numbers, not rows).  A shard holds
 everything about its words, seats them, and returns sums per document.  Only the numbers of
 customers and tables of each context pass between shards: a shard sends those of its contexts to
 ranges of context hashes, which add them up and send each shard the totals of its own contexts, so
-nobody holds all contexts.  The totals of a first round of seating steer the second, and those of
-the second normalise the scores.  The number of shards and ranges grows with the text, so their
-memory does not.  A shard is further cut into cells by
-block, as many as there are gigabytes of text: occurrences stay in their cell, and only the cells'
-tables of distinct pairs are merged for seating, so a word that is a third of all tokens is spread too.
+nobody holds all contexts; the ranges also number the contexts, and later exchanges send small
+numbers in place of hashes.  The totals of a first round of seating steer the second, and those of
+the second normalise the scores.  The numbers of shards and ranges follow the text, so their
+memory does not.  A block that holds more of a shard's words than a task should gather from all
+blocks sends them to one of several cells of the shard; only the cells' tables of distinct pairs are
+then merged for seating, so a word that is a third of all tokens is spread too.
 
 Words are told apart by 63 bits of a hash.
 
@@ -35,9 +43,7 @@ Defined results
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,14 +52,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import dump, fresh_path, load, stash
+from xxhash import xxh3_64_intdigest
+
+from tokenloom.llm.common import bucketed, dump, load, narrow, stash
 from tokenloom.llm.components import map_groups
 
-CLASSES = 256  # contexts are dealt to a multiple of so many ranges
-BLOCK_BYTES = 4_000_000
-SHARD_CHARS = 16_000_000  # text for each shard
-CELL_CHARS = 1_000_000_000  # text whose occurrences of a shard's words are held together
-STRENGTH = 1.0
+BLOCK_BYTES = 8_000_000
+SHARD_CHARS = 12_000_000  # text for each shard
+CELL_CHARS = 64_000_000  # text whose occurrences of a shard's words are held together
+CELLS = 1 << 20  # most cells of a shard
+GROUPS = 4
+STRENGTH = 0.3
 BURN_IN, SAMPLES = 2, 2
 SMALL = 256  # customers up to which the law of tables is tabulated
 GRID = 500_000  # numbers of tables weighed at a time
@@ -61,22 +70,18 @@ _U = np.uint64
 _START, _END = 0, 0xFF00  # the context at the start of a text and the hash of the end token, below all words'
 
 
-def _hash(word: bytes) -> int:
-    """63 bits of identity below a set one."""
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") | 1 << 63
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = _hash(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """63 bits of identity below a set one, and the end token."""
+    out = np.fromiter(map(xxh3_64_intdigest, words), _U, len(words)) | _U(1 << 63)
+    return np.append(out, _U(_END))
 
 
-_words = _Words()
+def uniform(words: np.ndarray, contexts: np.ndarray | int, sweep: int) -> np.ndarray:
+    """Numbers between 0 and 1 that depend on word, context and sweep only."""
+    x = words ^ (np.asarray(contexts, _U) * _U(0xD1342543DE82EF95)) ^ _U((sweep + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (32, 0xD6E8FEB86659FD93)):
+        x = (x ^ (x >> _U(shift))) * _U(odd)
+    return ((x ^ (x >> _U(31))) >> _U(11)).astype(float) * 2.0**-53
 
 
 def _gaps(x: np.ndarray) -> np.ndarray:
@@ -99,10 +104,10 @@ def _hashes(x: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(x.reshape(8, -1).T).view(_U).ravel(), dtype=_U)
 
 
-def _scatter(shards: int, cells: int):
+def _scatter(shards: int, chars: int):
     """Blocks of documents -> a row (cell, block, data) for each shard that a block has words for, and one with its documents (cell -1 - block).
 
-    Cell c belongs to shard c div ``cells``.
+    Cell c belongs to shard c div CELLS.
     """
     schema = pa.schema([("cell", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
 
@@ -135,15 +140,16 @@ def _scatter(shards: int, cells: int):
                 rows.append(dump(h[a:b][heads], runs, _gaps(doc[a:b]), _planes(own), at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32), seen[doc[a:b]]))
             block = part << 32 | n
             rows.append(dump(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids]), seen, lengths))
-            to = np.append(shard[cuts[:-1]] * cells + hash(block) % cells, -1 - block)
+            # By its own share of these words, a block tells how many cells they need.
+            need = np.ceil(np.diff(cuts) / len(h) * chars / CELL_CHARS).clip(1, CELLS).astype(np.int64)
+            to = np.append(shard[cuts[:-1]] * CELLS + (block * 0x9E3779B97F4A7C15 % 2**64 >> 32) % need, -1 - block)
             hashes, learned, ids, size, n = [], [], [], 0, n + 1
             return pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(rows), block)), pa.array(rows, pa.binary())], schema=schema)
 
         for batch in batches:
             for i, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                x = np.fromiter(map(_words.__getitem__, words), _U, len(words))
-                hashes.append(np.append(x, _U(_END)))
+                hashes.append(_hashed(words))
                 learned.append(own)
                 ids.append(i)
                 size += sum(map(len, words)) + len(words)
@@ -160,7 +166,7 @@ _N, _V, _PAIR1, _PAIR2, _WORD1, _WORD2, _PAIRS = range(7)
 _HEAD = _PAIRS  # how many come before the pairs
 
 
-def _gather(cells: int):
+def _gather():
     """All blocks' words of a cell -> its table of words and pairs (word, context) with counts, and the occurrences by block."""
     schema = pa.schema([("shard", pa.int64()), ("words", pa.binary()), ("data", pa.binary())])
 
@@ -189,8 +195,8 @@ def _gather(cells: int):
         count = np.bincount(pair[seen], minlength=len(pairs)).astype(np.int64)
         table = dump(words, (pairs // len(contexts)).astype(np.int32), (pairs % len(contexts)).astype(np.int32), count, contexts)
         del pairs, count, seen
-        data = dump(group.column("block").to_numpy(), np.diff(ends, prepend=0), doc, pair)
-        return pa.RecordBatch.from_arrays([pa.array([cell // cells]), pa.array([table], pa.binary()), pa.array([data], pa.binary())], schema=schema)
+        data = dump(group.column("block").to_numpy(), np.diff(ends, prepend=0), _gaps(doc), pair)
+        return pa.RecordBatch.from_arrays([pa.array([cell // CELLS]), pa.array([table], pa.binary()), pa.array([data], pa.binary())], schema=schema)
 
     return run
 
@@ -215,51 +221,84 @@ def table_sums(table: bytes) -> np.ndarray:
 
 
 def _send(ranges: int):
-    """Tables of shards (and seats, if there are) -> a row (range, shard, data) of sums by context for each range of context hashes.
-
-    The sums are those of customers and pairs, or, with seats, of tables in each sample.
-    """
-    schema = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("data", pa.binary())])
+    """Tables of shards -> a row (range, shard, data) of customers and pairs by context for each range of context hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seats = batch.column(2) if batch.num_columns > 2 else pa.nulls(batch.num_rows)
-            for shard, table, seat in zip(batch.column(0).to_pylist(), batch.column(1), seats, strict=True):
+            for shard, table in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, _, context, count, contexts = load(table.as_py())
-                values = load(seat.as_py())[::2] if seat.is_valid else [count, count > 0]
-                sums = [np.bincount(context, x, len(contexts)).astype(np.int64) for x in values]
+                sums = [narrow(np.bincount(context, x, len(contexts)).astype(np.int64)) for x in (count, count > 0)]
                 of = ((contexts & _U((1 << 63) - 1)) >> _U(31)) * _U(ranges) >> _U(32)  # rises with the hash
                 cuts = [*np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist(), len(of)]
                 rows = [dump(_planes(contexts[a:b]), *[x[a:b] for x in sums]) for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]].astype(np.int64)), pa.array(np.full(len(rows), shard, np.int64)), pa.array(rows, pa.binary())], schema=schema)
+                yield _sent(of[cuts[:-1]], shard, rows)
 
     return run
 
 
-def _add(group: pa.RecordBatch) -> pa.RecordBatch:
-    """All shards' sums of a range -> for each shard the totals of its contexts, in its order."""
-    parts = [load(x) for x in group.column("data").to_pylist()]
-    for p in parts:
-        p[0] = _hashes(p[0])
-    contexts, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    totals = [np.bincount(number, np.concatenate(x), len(contexts)).astype(np.int64) for x in zip(*[p[1:] for p in parts], strict=True)]
-    rows = [dump(*[x[at] for x in totals]) for at in np.split(number, np.cumsum([len(p[0]) for p in parts])[:-1])]
-    return pa.RecordBatch.from_arrays([group.column("shard"), group.column("range"), pa.array(rows, pa.binary())], names=["shard", "range", "data"])
+_TO_RANGE = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("data", pa.binary())])
+
+
+def _sent(to: np.ndarray, shard: int, rows: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), pa.array(np.full(len(rows), shard, np.int64)), pa.array(rows, pa.binary())], schema=_TO_RANGE)
 
 
-def _join(group: pa.RecordBatch) -> pa.RecordBatch:
-    """The totals of a shard's contexts, of all ranges."""
-    order = np.argsort(group.column("range").to_numpy())
-    data = group.column("data").to_pylist()
-    rows = [dump(*map(np.concatenate, zip(*[load(data[i]) for i in order], strict=True)))]
-    return pa.RecordBatch.from_arrays([group.column("shard").slice(0, 1), pa.array(rows, pa.binary())], names=["shard", "totals"])
+def _send_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, words, held, seats) -> the tables of each sample by context, under the numbers that the ranges gave the contexts."""
+    for batch in batches:
+        for shard, table, held, seats in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in (1, 2, 3)], strict=True):
+            _, _, context, _, contexts = load(table.as_py())
+            _, _, gaps, to, lengths = load(held.as_py())
+            sums = [narrow(np.bincount(context, x, len(contexts)).astype(np.int64)) for x in load(seats.as_py())[::2]]
+            ends = np.cumsum(lengths.astype(np.int64)).tolist()
+            yield _sent(to, shard, [dump(gaps[a:b], *[x[a:b] for x in sums]) for a, b in zip([0, *ends], ends, strict=False)])
 
 
-def exchange(tables: DataFrame, ranges: int) -> DataFrame:
-    """shard, totals: of the contexts of each shard, summed over all shards.  ``tables``: shard, words and perhaps seats."""
-    sent = tables.mapInArrow(_send(ranges), "range bigint, shard bigint, data binary")
-    added = map_groups(sent, ["range"], _add, "shard bigint, range bigint, data binary")
-    return stash(map_groups(added, ["shard"], _join, "shard bigint, totals binary"), "context-totals")
+def _add(first: bool):
+    """All shards' sums of a range -> for each shard the totals of its contexts, in its order (at first with the gaps between their numbers)."""
+
+    def run(group: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [load(x) for x in group.column("data").to_pylist()]
+        if first:
+            contexts, number = np.unique(np.concatenate([_hashes(p[0]) for p in parts]), return_inverse=True)
+            n = len(contexts)
+        else:
+            number = np.concatenate([np.cumsum(p[0].astype(np.int64)) for p in parts])
+            n = int(number.max()) + 1
+        totals = [np.bincount(number, np.concatenate(x), n).astype(np.int64) for x in zip(*[p[1:] for p in parts], strict=True)]
+        rows = [dump(*[narrow(x[at]) for x in totals], *([narrow(np.diff(at, prepend=0))] if first else [])) for at in np.split(number, np.cumsum([len(p[1]) for p in parts])[:-1])]
+        return pa.RecordBatch.from_arrays([group.column("shard"), group.column("range"), pa.array(rows, pa.binary())], names=["shard", "range", "data"])
+
+    return run
+
+
+def _join(first: bool):
+    """The totals of a shard's contexts, of all ranges (at first also the gaps, the ranges and how many contexts are in each)."""
+
+    def run(group: pa.RecordBatch) -> pa.RecordBatch:
+        to, data = group.column("range").to_numpy(), group.column("data").to_pylist()
+        order = np.argsort(to)
+        parts = [load(data[i]) for i in order]
+        more = [narrow(to[order]), narrow(np.array([len(p[0]) for p in parts]))] if first else []
+        rows = [dump(*map(np.concatenate, zip(*parts, strict=True)), *more)]
+        return pa.RecordBatch.from_arrays([group.column("shard").slice(0, 1), pa.array(rows, pa.binary())], names=["shard", "totals"])
+
+    return run
+
+
+def _exchanged(sent: DataFrame, first: bool) -> DataFrame:
+    added = map_groups(sent, ["range"], _add(first), "shard bigint, range bigint, data binary")
+    return stash(map_groups(added, ["shard"], _join(first), "shard bigint, totals binary"), "context-totals")
+
+
+def count_contexts(tables: DataFrame, ranges: int) -> DataFrame:
+    """shard, totals: customers and pairs of the contexts of each shard (shard, words), summed over all shards, and their numbers."""
+    return _exchanged(tables.mapInArrow(_send(ranges), "range bigint, shard bigint, data binary"), True)
+
+
+def count_tables(seated: DataFrame) -> DataFrame:
+    """shard, totals: tables of the contexts of each shard, summed over all shards, for each sample.  ``seated``: shard, words, held, seats."""
+    return _exchanged(seated.select("shard", "words", "held", "seats").mapInArrow(_send_tables, "range bigint, shard bigint, data binary"), False)
 
 
 def _total(df: DataFrame, col: str, of: Callable[[bytes], np.ndarray] = lambda x: np.frombuffer(x, float)) -> np.ndarray | None:
@@ -355,16 +394,37 @@ def _window(n: np.ndarray, new: np.ndarray, d: float) -> tuple[np.ndarray, np.nd
     return np.maximum(np.floor(mean - reach), 1).astype(np.int64), np.minimum(np.ceil(mean + reach), n).astype(np.int64)
 
 
-def draw_tables(n: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes whose n customers all leave and are seated anew, from their joint law; ``new``: weight of a new table.
+def parent_weights(base: float, d: float, most: int) -> np.ndarray:
+    """log of the weight of all seatings of n customers of one dish together, for n = 0 to ``most``; ``base``: weight of a new table.
+
+    Exact up to SMALL customers; beyond, each customer's weight follows from the mean number of tables.
+    """
+    out, ways, t = np.zeros(max(most, SMALL) + 1), _small_ways(d), np.arange(1, SMALL + 1) * math.log(base)
+    for n in range(1, SMALL + 1):
+        x = ways[n, :n] + t[:n]
+        out[n] = x.max() + math.log(np.exp(x - x.max()).sum())
+    x = np.exp(ways[SMALL] + t - out[SMALL])
+    tables, steps = float((x * np.arange(1, SMALL + 1)).sum() / x.sum()), []
+    for n in range(SMALL, most):
+        w = n - d * tables + base
+        tables += base / w
+        steps.append(w)
+    out[SMALL + 1 :] = out[SMALL] + np.cumsum(np.log(steps))
+    return out
+
+
+def draw_tables(n: np.ndarray, new: np.ndarray, d: float, at_random: np.ndarray, parent: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Tables of dishes whose n customers all leave and are seated anew, from their joint law; ``new``: weight of a new table; ``at_random``: uniform numbers.
 
     P(t) is as new^t times the weight of all seatings of n customers at t tables; sizes of tables matter no further.
+    ``parent``: ``parent_weights``, the customers of the dish that stay in the parent, and its tables before.  Every table then
+    also weighs what its customer does in the parent, where they come one after the other.
     """
     out = np.minimum(n, 1).astype(np.int64)
 
     def choose(at: np.ndarray, first: np.ndarray, weight: np.ndarray) -> None:
         total = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-        out[at] = first + (total < rng.random(len(at))[:, None] * total[:, -1:]).sum(axis=1)
+        out[at] = first + (total < at_random[at][:, None] * total[:, -1:]).sum(axis=1)
 
     many = np.flatnonzero((n > 1) & (n <= SMALL))
     many = many[np.argsort(n[many], kind="stable")]
@@ -372,9 +432,14 @@ def draw_tables(n: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generat
     for group in np.split(many, np.flatnonzero(np.diff(n[many])) + 1) if len(many) else []:
         k = int(n[group[0]])
         for a in range(0, len(group), max(1, GRID // k)):
-            at = group[a : a + max(1, GRID // k)]
-            choose(at, np.int64(1), ways[k, :k] + np.log(new[at])[:, None] * np.arange(1, k + 1))
+            at, t = group[a : a + max(1, GRID // k)], np.arange(1, k + 1)
+            weight = ways[k, :k] + np.log(new[at])[:, None] * t
+            choose(at, np.int64(1), weight if parent is None else weight + parent[0][parent[1][at][:, None] + t])
     large = np.flatnonzero(n > SMALL)
+    if parent is not None and len(large):  # a mean weight for all of its customers in the parent
+        stay, last = parent[1][large], parent[2][large]
+        new = new.copy()
+        new[large] *= np.exp((parent[0][stay + last] - parent[0][stay]) / last)
     low, high = _window(n[large], new[large], d)
     order = np.argsort(high - low, kind="stable")
     a = 0
@@ -465,41 +530,46 @@ def parent_probability(customers: np.ndarray, tables: np.ndarray, all_customers:
     return (customers - d * tables + (STRENGTH + d * all_tables) / (v + 1)) / (STRENGTH + all_customers)
 
 
-def seatings(shard: int, table: bytes, sums: np.ndarray, tables: np.ndarray, parent_tables: float, burn_in: int, samples: int, all_tables: float | None = None, start: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+def seatings(table: bytes, sums: np.ndarray, tables: np.ndarray, parent_tables: float, burn_in: int, samples: int, all_tables: float | None = None, start: tuple[np.ndarray, np.ndarray] | None = None, sweep: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
     """Tables of each pair and, in the parent, of each word, in each sample.
 
     ``tables``: of each of the shard's contexts, from the last round; ``all_tables``: of all contexts together (without it, these are all).
-    ``start``: the last seating.
+    ``start``: the last seating; ``sweep``: how many sweeps came before.
     """
-    words, word, context, count = load(table)[:4]
-    of_word = np.bincount(word, count, len(words)).astype(np.int64)
+    words, word, context, count, contexts = load(table)
     d, d0, v = discount(sums[_PAIR1], sums[_PAIR2]), discount(sums[_WORD1], sums[_WORD2]), sums[_V]
     all_tables = tables.sum() if all_tables is None else all_tables
-    rng = np.random.default_rng([shard, burn_in, samples])
-    t, t0 = ((count > 0).astype(np.int64), (of_word > 0).astype(np.int64)) if start is None else start
-    base = np.full(len(of_word), (STRENGTH + d0 * parent_tables) / (v + 1))
+    t, n = (start[0] if start is not None else count > 0).astype(np.int64), len(words)
+    base = (STRENGTH + d0 * parent_tables) / (v + 1)
+    new = (STRENGTH + d * tables[context]) / (STRENGTH + all_tables)
+    customers = np.bincount(word, t, n).astype(np.int64)
+    weights = parent_weights(base, d0, int(np.bincount(word, count, n).max(initial=0)) + SMALL)
+    many = np.flatnonzero(count > 1)  # a single customer has a single table
+    of = uniform(words[word[many]], contexts[context[many]], -1) * GROUPS // 1
+    groups = [many[of == g] for g in range(GROUPS)]
     out = []
-    for k in range(burn_in + samples):
-        p = parent_probability(np.bincount(word, t, len(of_word)), t0, all_tables, parent_tables, v, d0)
-        t = draw_tables(count, (STRENGTH + d * tables[context]) * p[word], d, rng)
-        t0 = draw_tables(np.bincount(word, t, len(of_word)).astype(np.int64), base, d0, rng)
-        if k >= burn_in:
-            out.append((t, t0))
+    for k in range(sweep, sweep + burn_in + samples):
+        for at in groups:
+            customers -= np.bincount(word[at], t[at], n).astype(np.int64)
+            t[at] = draw_tables(count[at], new[at], d, uniform(words[word[at]], contexts[context[at]], k), (weights, customers[word[at]], t[at]))
+            customers += np.bincount(word[at], t[at], n).astype(np.int64)
+        if k >= sweep + burn_in:
+            out.append((t.copy(), draw_tables(customers, np.full(n, base), d0, uniform(words, 0, k))))
     return out
 
 
-def _sample(sums: np.ndarray, all_tables: float, parent_tables: float, burn_in: int, samples: int):
+def _sample(sums: np.ndarray, all_tables: float, parent_tables: float, burn_in: int, samples: int, sweep: int):
     schema = pa.schema([("shard", pa.int64()), ("seats", pa.binary()), ("totals", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last = batch.column(3) if batch.num_columns > 3 else pa.nulls(batch.num_rows)
             for shard, table, totals, seat in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), last, strict=True):
-                tables = load(totals.as_py())[-1]
+                tables = load(totals.as_py())[0 if seat.is_valid else 1].astype(np.int64)
                 start = [x.astype(np.int64) for x in load(seat.as_py())[-2:]] if seat.is_valid else None
-                got = seatings(shard, table.as_py(), sums, tables, parent_tables, burn_in, samples, all_tables, start)
-                flat = [a.astype(np.int32) for pair in got for a in pair]
-                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([dump(*flat)], pa.binary()), pa.array([np.array([a.sum() for a in flat], float).tobytes()], pa.binary())], schema=schema)
+                got = seatings(table.as_py(), sums, tables, parent_tables, burn_in, samples, all_tables, start, sweep)
+                flat = [narrow(a) for pair in got for a in pair]
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([dump(*flat)], pa.binary()), pa.array([np.array([a.sum() for pair in got for a in pair], float).tobytes()], pa.binary())], schema=schema)
 
     return run
 
@@ -514,13 +584,15 @@ def _score(sums: np.ndarray, totals: np.ndarray):
         for batch in batches:
             for table, whole, data, seats, held, sat in zip(*[batch.column(i) for i in range(6)], strict=True):
                 words, word, context, count, contexts = load((whole if whole.is_valid else table).as_py())
-                flat, p, of_word = load(seats.as_py()), np.zeros(len(word)), np.bincount(word, count, len(words))
-                customers = load(held.as_py())[0]
+                flat, p, of_word = [x.astype(np.int64) for x in load(seats.as_py())], np.zeros(len(word)), np.bincount(word, count, len(words))
+                customers = load(held.as_py())[0].astype(np.int64)
                 for k, (tables, (all_tables, parent_tables)) in enumerate(zip(load(sat.as_py()), totals, strict=True)):
                     t, t0 = flat[2 * k], flat[2 * k + 1]
                     p0 = parent_probability(np.bincount(word, t, len(words)), t0, all_tables, parent_tables, v, d0)
+                    tables = tables.astype(np.int64)
                     p += (count - d * t + (STRENGTH + d * tables[context]) * p0[word]) / (STRENGTH + customers[context])
-                blocks, runs, doc, pair = load(data.as_py())
+                blocks, runs, gaps, pair = load(data.as_py())
+                doc = _ungapped(gaps)
                 if whole.is_valid:
                     own_words, own_word, own_context, _, own_contexts = load(table.as_py())
                     key = np.searchsorted(words, own_words)[own_word] * len(contexts) + np.searchsorted(contexts, own_contexts)[own_context]
@@ -562,36 +634,37 @@ def score(docs: DataFrame, learned: Column, *, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(learned, F.lit(False)).alias("learned"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).collect()[0][0] or 0
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, cells = max(n, math.ceil(chars / SHARD_CHARS)), max(1, math.ceil(chars / CELL_CHARS))
-    gathered = map_groups(rows.mapInArrow(_scatter(shards, cells), "cell bigint, block bigint, data binary"), ["cell"], _gather(cells), "shard bigint, words binary, data binary")
-    name = f"tokenloom_shards_{uuid.uuid4().hex}"
-    gathered.write.format("parquet").option("path", fresh_path(spark, "shards")).option("compression", "uncompressed").bucketBy(n, "shard").saveAsTable(name)
-    held = spark.table(name)
+    shards = max(1, math.ceil(chars / SHARD_CHARS))
+    gathered = map_groups(rows.mapInArrow(_scatter(shards, chars), "cell bigint, block bigint, data binary"), ["cell"], _gather(), "shard bigint, words binary, data binary")
+    held = bucketed(gathered, "shard", shards)
     own = held.where("shard >= 0")
+    cells = own.groupBy("shard").agg(F.count("*").alias("cells")).where("cells > 1").select("shard")
+    several = cells.limit(1).count() > 0
     whole = own.select("shard", "words")
-    if cells > 1:  # a single cell's table is the shard's
-        whole = stash(map_groups(whole, ["shard"], _merge, "shard bigint, words binary"), "shard-words")
+    if several:  # a single cell's table is the shard's
+        cells = stash(cells, "shard-cells")
+        merged = stash(map_groups(whole.join(cells, "shard", "left_semi"), ["shard"], _merge, "shard bigint, words binary"), "shard-words")
+        whole = whole.join(cells, "shard", "left_anti").unionByName(merged)
 
     sums = _total(whole, "words", table_sums)
     sums = np.zeros(_HEAD + 1) if sums is None else sums
-    ranges = math.ceil(shards / CLASSES) * CLASSES
 
-    def sampled(rows: DataFrame, all_tables: float, parent_tables: float, burn_in: int, samples: int) -> tuple[DataFrame, np.ndarray]:
-        got = stash(rows.mapInArrow(_sample(sums, all_tables, parent_tables, burn_in, samples), "shard bigint, seats binary, totals binary"), "seats")
+    def sampled(rows: DataFrame, all_tables: float, parent_tables: float, burn_in: int, samples: int, sweep: int) -> tuple[DataFrame, np.ndarray]:
+        got = stash(rows.mapInArrow(_sample(sums, all_tables, parent_tables, burn_in, samples, sweep), "shard bigint, seats binary, totals binary"), "seats")
         total = _total(got, "totals")
         return got.select("shard", "seats"), np.zeros((samples, 2)) if total is None else total.reshape(samples, 2)
 
-    held_by = exchange(whole, ranges)
-    seats, totals = sampled(whole.join(held_by, "shard"), sums[_PAIRS], sums[_V], BURN_IN, 1)
-    sat_by = exchange(whole.join(seats, "shard"), ranges)
-    seats, totals = sampled(whole.join(sat_by, "shard").join(seats, "shard"), *totals[0], BURN_IN, SAMPLES)
-    sat_by = exchange(whole.join(seats, "shard"), ranges)
-    if cells > 1:
-        scored = own.join(whole.withColumnRenamed("words", "whole"), "shard")
+    counts = count_contexts(whole, shards)
+    held_by = counts.withColumnRenamed("totals", "held")
+    seats, totals = sampled(whole.join(counts, "shard"), sums[_PAIRS], sums[_V], BURN_IN, 1, 0)
+    sat_by = count_tables(whole.join(held_by, "shard").join(seats, "shard"))
+    seats, totals = sampled(whole.join(sat_by, "shard").join(seats, "shard"), *totals[0], BURN_IN, SAMPLES, BURN_IN + 1)
+    sat_by = count_tables(whole.join(held_by, "shard").join(seats, "shard"))
+    if several:
+        scored = own.join(merged.withColumnRenamed("words", "whole"), "shard", "left")
     else:
         scored = own.withColumn("whole", F.lit(None).cast("binary"))  # the same
-    scored = scored.join(seats, "shard").join(held_by.withColumnRenamed("totals", "held"), "shard").join(sat_by.withColumnRenamed("totals", "sat"), "shard")
+    scored = scored.join(seats, "shard").join(held_by, "shard").join(sat_by.withColumnRenamed("totals", "sat"), "shard")
     parts = scored.select("words", "whole", "data", "seats", "held", "sat").mapInArrow(_score(sums, totals), "block bigint, data binary")
     parts = parts.groupBy("block").agg(F.collect_list("data").alias("parts"))  # bounded: one of each shard that the block has words for
     heads = held.where("shard < 0").select((-1 - F.col("shard")).alias("block"), F.col("data").alias("head"))
