@@ -7,6 +7,7 @@ never a wrong or missing block.
 
 from __future__ import annotations
 
+import gc
 import struct
 import tempfile
 import uuid
@@ -57,6 +58,12 @@ def stash(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the files of shuffles that nothing refers to: Spark removes them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Like ``stash``, dealt to buckets by ``key``, so that joins on it do not move the rows again.  The catalog keeps no entry."""
     spark, name = df.sparkSession, f"tokenloom_{uuid.uuid4().hex}"
@@ -65,6 +72,8 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     out = spark.table(name)
     out.schema  # resolved before the entry goes; the files stay, since the table is external
     spark.sql(f"DROP TABLE {name}")
+    del df, writer
+    free_shuffles(spark)
     return out
 
 

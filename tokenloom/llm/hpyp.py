@@ -54,12 +54,12 @@ from pyspark.sql import functions as F
 
 from xxhash import xxh3_64_intdigest
 
-from tokenloom.llm.common import bucketed, dump, load, narrow, stash
+from tokenloom.llm.common import bucketed, dump, free_shuffles, load, narrow, stash
 from tokenloom.llm.components import map_groups
 
 BLOCK_BYTES = 8_000_000
 SHARD_CHARS = 12_000_000  # text for each shard
-CELL_CHARS = 64_000_000  # text whose occurrences of a shard's words are held together
+CELL_CHARS = 20_000_000  # text whose occurrences of a shard's words are held together
 CELLS = 1 << 20  # most cells of a shard
 GROUPS = 4
 STRENGTH = 0.3
@@ -187,10 +187,8 @@ def _gather():
             key[a:b] = np.repeat(np.searchsorted(words, head) * len(contexts), runs)
             key[a:b] += np.searchsorted(contexts, own)[at]
             doc[a:b], seen[a:b] = _ungapped(docs), learned
-        pairs = np.unique(key)
-        pair = np.empty(len(key), np.int32)
-        for a in range(0, len(key), 1 << 18):
-            pair[a : a + (1 << 18)] = np.searchsorted(pairs, key[a : a + (1 << 18)])
+        pairs, pair = np.unique(key, return_inverse=True)
+        pair = pair.astype(np.int32)
         del key
         count = np.bincount(pair[seen], minlength=len(pairs)).astype(np.int64)
         table = dump(words, (pairs // len(contexts)).astype(np.int32), (pairs % len(contexts)).astype(np.int32), count, contexts)
@@ -635,8 +633,7 @@ def score(docs: DataFrame, learned: Column, *, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(learned, F.lit(False)).alias("learned"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     shards = max(1, math.ceil(chars / SHARD_CHARS))
-    gathered = map_groups(rows.mapInArrow(_scatter(shards, chars), "cell bigint, block bigint, data binary"), ["cell"], _gather(), "shard bigint, words binary, data binary")
-    held = bucketed(gathered, "shard", shards)
+    held = bucketed(map_groups(rows.mapInArrow(_scatter(shards, chars), "cell bigint, block bigint, data binary"), ["cell"], _gather(), "shard bigint, words binary, data binary"), "shard", shards)
     own = held.where("shard >= 0")
     cells = own.groupBy("shard").agg(F.count("*").alias("cells")).where("cells > 1").select("shard")
     several = cells.limit(1).count() > 0
@@ -660,11 +657,14 @@ def score(docs: DataFrame, learned: Column, *, id_col: str = "doc_id", text_col:
     sat_by = count_tables(whole.join(held_by, "shard").join(seats, "shard"))
     seats, totals = sampled(whole.join(sat_by, "shard").join(seats, "shard"), *totals[0], BURN_IN, SAMPLES, BURN_IN + 1)
     sat_by = count_tables(whole.join(held_by, "shard").join(seats, "shard"))
+    # Everything small is joined first: the occurrences go through a single join.
+    known = seats.join(held_by, "shard").join(sat_by.withColumnRenamed("totals", "sat"), "shard")
     if several:
-        scored = own.join(merged.withColumnRenamed("words", "whole"), "shard", "left")
+        known = known.join(merged.withColumnRenamed("words", "whole"), "shard", "left")
     else:
-        scored = own.withColumn("whole", F.lit(None).cast("binary"))  # the same
-    scored = scored.join(seats, "shard").join(held_by, "shard").join(sat_by.withColumnRenamed("totals", "sat"), "shard")
+        known = known.withColumn("whole", F.lit(None).cast("binary"))  # the same
+    scored = own.select("shard", "words", "data").join(known, "shard")
+    free_shuffles(spark)
     parts = scored.select("words", "whole", "data", "seats", "held", "sat").mapInArrow(_score(sums, totals), "block bigint, data binary")
     parts = parts.groupBy("block").agg(F.collect_list("data").alias("parts"))  # bounded: one of each shard that the block has words for
     heads = held.where("shard < 0").select((-1 - F.col("shard")).alias("block"), F.col("data").alias("head"))
