@@ -1,9 +1,10 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 Filters are the codewords of structured random product codes: the (randomly rotated) vector is cut
-into blocks, each block has its own random codewords, and a filter is one codeword per block.  A
+into blocks, each block has its own random codewords, and a filter is one codeword per block.  Their
+number grows with that of the vectors, so that a filter holds as many of unrelated ones at any size.  A
 vector belongs to every filter whose inner product with it reaches the vector's own threshold, set
-so that it reaches ``LISTED`` filters (a fixed threshold leaves vectors with uneven blocks in few
+so that it reaches ``listed`` filters (a fixed threshold leaves vectors with uneven blocks in few
 filters or none: measured recall 0.52 for pairs at cosine 0.93, against 0.99 and more this way).
 The list is decoded from the two sorted halves of the code: the sum of the i-th best and the j-th
 best can be among the best n only if i * j <= n, so all others are never visited.  Vectors that
@@ -18,8 +19,9 @@ Recall is that of the filters: see ``tests/llm/test_caps.py`` for pairs exactly
 
 Defined results
 ---------------
-* null, empty or zero vectors, vectors with null or non-finite entries, null labels and null ids:
-  no links, their own component; vectors of different length are never compared;
+* null, empty or zero vectors, vectors with null or non-finite entries, null labels: no links, their
+  own component; vectors of different length are never compared;
+* a null id links like others, but names no component: the least known id does (null if there is none);
 * repeated rows are vectors of their own (links count rows); equal ids with different vectors are
   told apart;
 * empty table: empty result; other columns pass through untouched (only id, vector and label are read).
@@ -27,6 +29,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,35 +41,52 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import stash
 from tokenloom.llm.components import components, in_blocks, map_groups
 
-BLOCKS, WORDS = 4, 32  # blocks of a codeword, codewords of a block: 32**4 filters
-LISTED = 64  # filters of a vector
+BLOCKS = 4  # blocks of a codeword
+LEAST_WORDS = 32  # codewords of a block, for few vectors
+LISTED = 64  # filters of a vector with LEAST_WORDS; the finer the code, the more
+LOAD = 0.25  # vectors to a filter, on average, from which the number of codewords follows
 SEED = 7
 
 
+def listed(words: int) -> int:
+    """Filters of a vector: two near ones share one with nearly the same probability at any fineness."""
+    return round(LISTED * math.sqrt(words / LEAST_WORDS))
+
+
+def words_for(vectors: int, dim: int) -> int:
+    """Codewords of a block, so many that filters hold LOAD of ``vectors`` on average: words ** BLOCKS filters in all.
+
+    A block of few dimensions has no room for more than 2 ** (dimensions + 1) that near vectors would still share.
+    """
+    words = LEAST_WORDS
+    while words**BLOCKS * LOAD < vectors * listed(words) and words < 2 ** (dim // BLOCKS + 1):
+        words += 1
+    return words
+
+
 @lru_cache(16)
-def _code(dim: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _code(dim: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Rotation, and the codewords of each block."""
     rng = np.random.default_rng(SEED + dim)
     rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
     parts = []
     for piece in np.array_split(np.arange(dim), BLOCKS):
-        c = rng.normal(size=(len(piece), WORDS))
-        parts.append(c / np.linalg.norm(c, axis=0) / np.sqrt(BLOCKS) if len(piece) else np.zeros((0, WORDS)))
+        c = rng.normal(size=(len(piece), words))
+        parts.append(c / np.linalg.norm(c, axis=0) / np.sqrt(BLOCKS) if len(piece) else np.zeros((0, words)))
     return rotation, parts
 
 
-@lru_cache(1)
-def _ladder() -> tuple[np.ndarray, np.ndarray]:
-    """Ranks (i, j), from 0, with (i + 1) * (j + 1) <= LISTED."""
-    n = min(LISTED, WORDS ** (BLOCKS // 2))
+@lru_cache(16)
+def _ladder(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks (i, j), from 0, with (i + 1) * (j + 1) <= n."""
     i, j = np.divmod(np.arange(n * n), n)
-    fits = (i + 1) * (j + 1) <= LISTED
+    fits = (i + 1) * (j + 1) <= n
     return i[fits], j[fits]
 
 
-def scores(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scores(v: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Inner products of a unit vector with all codewords of the first and of the second half of the blocks."""
-    rotation, parts = _code(len(v))
+    rotation, parts = _code(len(v), words)
     r, sums, at = rotation @ v, [np.zeros(1), np.zeros(1)], 0
     for k, c in enumerate(parts):
         half = int(k >= BLOCKS // 2)
@@ -75,12 +95,19 @@ def scores(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums[0], sums[1]
 
 
-def decode(v: np.ndarray) -> np.ndarray:
+def _best(x: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n largest, largest first."""
+    top = np.argpartition(-x, n)[:n]
+    return top[np.lexsort((top, -x[top]))]
+
+
+def decode(v: np.ndarray, words: int) -> np.ndarray:
     """Numbers of the filters that a unit vector reaches, ascending."""
-    a, b = scores(v)
-    best_a, best_b = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-    i, j = _ladder()
-    top = np.argsort(-(a[best_a[i]] + b[best_b[j]]), kind="stable")[:LISTED]
+    a, b = scores(v, words)
+    n = listed(words)
+    best_a, best_b = _best(a, n), _best(b, n)
+    i, j = _ladder(n)
+    top = np.argsort(-(a[best_a[i]] + b[best_b[j]]), kind="stable")[:n]
     return np.sort(best_a[i[top]] * len(b) + best_b[j[top]])
 
 
@@ -89,10 +116,45 @@ def _unit(values: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum())
 
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = [decode(_unit(np.array(x.as_py(), float))) for x in batch.column("v")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lists, pa.list_(pa.int64()))], names=["node", "filters"])
+def _filters(vectors: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [decode(_unit(np.array(x.as_py(), float)), words_for(vectors, len(x))) for x in batch.column("v")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lists, pa.list_(pa.int64()))], names=["node", "filters"])
+
+    return run
+
+
+def _shared_before(lists: list[list[int]], f: int) -> np.ndarray:
+    """Whether two rows share a filter with a number below ``f``."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    every = np.concatenate([np.array(x, np.int64) for x in lists])
+    owner, every = owner[every < f], every[every < f]
+    filters, at, n = np.unique(every, return_inverse=True, return_counts=True)
+    owner, at = owner[n[at] > 1], at[n[at] > 1]
+    shared = np.zeros((len(lists), len(lists)), bool)
+    at = np.unique(at, return_inverse=True)[1]
+    for first in range(0, int(at.max(initial=-1)) + 1, 2048):
+        now = (at >= first) & (at < first + 2048)
+        has = np.zeros((len(lists), 2048), np.float32)
+        has[owner[now], at[now] - first] = 1
+        shared |= has @ has.T > 0
+    return shared
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix of links, breadth first."""
+    seen, edges = np.zeros(len(linked), bool), []
+    for s in np.flatnonzero(linked.any(axis=1)).tolist():
+        front = np.array([] if seen[s] else [s], int)
+        seen[s] = True
+        while len(front):
+            reached = linked[front]
+            new = np.flatnonzero(reached.any(axis=0) & ~seen)
+            edges += zip(front[reached[:, new].argmax(axis=0)].tolist(), new.tolist(), strict=True)
+            seen[new] = True
+            front = new
+    return edges
 
 
 _OUT = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
@@ -108,29 +170,14 @@ def _verify(least: float, dtype: str):
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         i, j, f = group.column("block_i")[0].as_py(), group.column("block_j")[0].as_py(), group.column("filter")[0].as_py()
-        left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(nodes)),) * 2
-        close = x[left] @ x[right].T >= least
-        if i == j:
-            close &= np.arange(len(nodes))[:, None] < np.arange(len(nodes))
-        a, b = np.nonzero(close)
-        if not len(a):
+        close = x @ x.T >= least
+        # Only pairs between the two blocks, each once, in the first filter that both reach.
+        close &= (own[:, None] == i) & (own == j) | (own[:, None] == j) & (own == i)
+        np.fill_diagonal(close, False)
+        if not close.any():
             return None
-        lists = group.column("filters").to_pylist()
-        sets = {k: set(lists[k]) for k in {*left[a].tolist(), *right[b].tolist()}}
-        links, up, edges = np.zeros(len(nodes), np.int64), list(range(len(nodes))), []
-
-        def find(k: int) -> int:
-            while up[k] != k:
-                up[k] = k = up[up[k]]
-            return k
-
-        for p, q in zip(left[a].tolist(), right[b].tolist(), strict=True):
-            if min(sets[p] & sets[q]) == f:
-                links[p] += weights[q]
-                links[q] += weights[p]
-                if (s := find(p)) != (t := find(q)):
-                    up[s] = t
-                    edges.append((p, q))
+        linked = close & ~_shared_before(group.column("filters").to_pylist(), f)
+        links, edges = linked @ weights, _forest(linked)
         at = np.flatnonzero(links)
         return pa.RecordBatch.from_pydict(
             {"node": [*nodes[at].tolist(), *[int(nodes[p]) for p, _ in edges]], "links": [*links[at].tolist(), *[None] * len(edges)], "other": [*[None] * len(at), *[int(nodes[q]) for _, q in edges]]},
@@ -144,7 +191,7 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     """vec_id, n_links, component_id, kept of every row."""
     vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     sound = (
-        F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(F.size(vector) > 0, F.lit(False))
+        F.col(label_col).isNotNull() & F.coalesce(F.size(vector) > 0, F.lit(False))
         & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
     )
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound, F.col(label_col).cast("string")).alias("label"), F.when(sound, vector).alias("v"))
@@ -152,7 +199,7 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     rows = stash(rows.withColumn("gid", gid), "vectors")
     distinct = rows.where("gid is not null").groupBy("gid", "label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     distinct = stash(stash(distinct, "vectors-distinct").withColumn("node", F.monotonically_increasing_id()), "vectors-numbered")
-    codes = stash(distinct.select("node", "v").mapInArrow(_filters, "node bigint, filters array<bigint>"), "filters")
+    codes = stash(distinct.select("node", "v").mapInArrow(_filters(distinct.count()), "node bigint, filters array<bigint>"), "filters")
 
     single = table.schema[vector_col].dataType.elementType.simpleString() == "float"
     dtype = "<f4" if single else "<f8"  # the vector travels in its own precision
@@ -168,7 +215,7 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     shared = entries.join(counted, ["kind", "filter"])
     lists = shared.groupBy("node", "kind").agg(F.collect_list("filter").alias("filters"))  # bounded: the filters of one vector
     full = stash(lists.join(distinct.select("node", "n", "v").mapInArrow(packed, "node bigint, n bigint, data binary"), "node"), "filters-shared")
-    dealt = in_blocks(full.withColumn("filter", F.explode("filters")), ["kind", "filter"], "node", LISTED * full.count())
+    dealt = in_blocks(full.withColumn("filter", F.explode("filters")), ["kind", "filter"], "node", full.select(F.sum(F.size("filters"))).first()[0] or 0)
     found = stash(map_groups(dealt, ["kind", "filter", "block_i", "block_j"], _verify(least, dtype), "node bigint, links bigint, other bigint"), "vector-links")
 
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -178,4 +225,4 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     groups = groups.join(leasts, "root").select("gid", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "gid").join(groups, "gid", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -52,7 +52,7 @@ WITH RECURSIVE v AS (
 ),
 sound AS (
   SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+  WHERE label IS NOT NULL AND len(e) > 0
     AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ),
 links AS MATERIALIZED (
@@ -65,7 +65,7 @@ reach(r, x) AS (
 least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.x GROUP BY reach.r),
 n AS (SELECT x AS r, count(*) AS n_links FROM links GROUP BY x)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
-  coalesce(vec_id = coalesce(component_id, vec_id), true) AS kept
+  vec_id IS NOT DISTINCT FROM coalesce(component_id, vec_id) AS kept
 FROM v LEFT JOIN least USING (r) LEFT JOIN n USING (r)
 """
 
