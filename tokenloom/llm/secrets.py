@@ -13,9 +13,10 @@ matches, end exclusive, leftmost non-overlapping within a kind.
 Defined results
 ---------------
 * null text: no spans (``redact`` keeps the null); empty text: none;
-* postings hold hashes of ids: rows of equal (or null) id share candidates, and every row is
-  verified on its own text, so repeated ids and hash collisions change nothing;
+* postings hold hashes of id and text: repeated rows share candidates, and every row is verified on
+  its own text, so null and repeated ids and hash collisions change nothing;
 * ties of spans are ordered by kind as listed;
+* texts of any length are scanned whole;
 * empty tables give empty results; other columns pass through, whatever their names.
 """
 
@@ -33,6 +34,8 @@ from tokenloom.llm.common import free_name, stash, text_of
 
 #: Rows of a segment of the index, about.
 SEGMENT_ROWS = 20_000
+#: Candidates that are sent to all tasks (two numbers each); if there are more, rows are dealt by hash to meet theirs.
+BROADCAST_ROWS = 500_000
 #: Strings that an exact set may hold before its trigrams are taken.
 EXACT = 128
 MARK = "[SECRET]"
@@ -144,7 +147,7 @@ GRAMS = sorted({g for q in QUERIES.values() for c in q for s in c for g in s})
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, segments: int) -> DataFrame:
     """segment, gram, docs (hashes of ids): postings of the trigrams that the rules ask for."""
-    low = docs.select(F.xxhash64(id_col).alias("doc"), F.lower(text_of(text_col)).alias("low"))
+    low = docs.select(F.xxhash64(id_col, text_col).alias("doc"), F.lower(text_of(text_col)).alias("low"))
     found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), i) for i, g in enumerate(GRAMS)]))
     rows = low.select("doc", F.explode(found).alias("gram"))
     return rows.groupBy(F.pmod("doc", F.lit(segments)).alias("segment"), "gram").agg(F.collect_set("doc").alias("docs"))
@@ -200,17 +203,22 @@ def _spans(rule: Rule, rank: int, text: Column) -> Column:
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", out_col: str = "spans") -> DataFrame:
-    """``docs`` with a column of spans: array of (start, rank, end, kind), ordered by start and kind."""
+    """``docs`` with a column of spans: array of (start, rank, end, kind), ordered by start and kind.
+
+    The column is ``out_col``, with underscores in front if ``docs`` has one of that name.
+    """
     n = docs.count()
     index = stash(build_index(docs, id_col, text_col, max(1, -(-n // SEGMENT_ROWS))), "secrets-index")
-    found = candidates(index).select(F.col("doc").alias("_doc"), "rules").hint("shuffle_hash")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(id_col).alias("doc"), text_of(text_col).alias("body"))
+    found = stash(candidates(index).select(F.col("doc").alias("_doc"), "rules"), "secrets-candidates")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(id_col, text_col).alias("doc"), text_of(text_col).alias("body"))
     rows = keyed.join(found, F.col("doc") == F.col("_doc"), "left").select("row", "body", F.coalesce("rules", F.lit(0)).alias("rules"))
     none, parts = F.array().cast(f"array<{_SPAN}>"), []
     for i, rule in enumerate(RULES):
         candidate = F.col("rules").bitwiseAND(1 << i) != 0 if QUERIES[rule.kind] else F.lit(True)
         parts.append(F.when(candidate & F.col("body").rlike(rule.pattern), _spans(rule, i, F.col("body"))).otherwise(none))
-    return rows.select("row.*", F.sort_array(F.concat(*parts)).alias(out_col))
+    return rows.select("row.*", F.sort_array(F.concat(*parts)).alias(free_name(docs.columns, out_col)))
 
 
 def listed(spans: Column) -> Column:
