@@ -5,9 +5,10 @@ weighted by count and inverse document frequency over *all* training documents,
 length.  The weights are trained with follow-the-regularised-leader (per-coordinate steps, L1 and
 L2 penalties) on a bounded sample, a fifth of which is set aside to calibrate a temperature.
 
-The sample is bounded in rows (``sample_docs`` over all languages, by hash of the id) and in
-numbers per row (at most ``2**hash_bits`` features of whole texts), so the driver trains in bounded
-memory.  Document frequencies and class counts cover all training rows.
+The sample is bounded: ``sample_docs`` different rows over all languages, those of least hash of id and
+text in each, and of these, in order of hash, as many as have ``SAMPLE_NUMBERS`` features together, so
+the driver trains in bounded memory whatever the ids are.  Rows of equal id and text count as one there.
+The ``MOST_LABELS`` most frequent labels are learned.  Document frequencies cover all training rows.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; rows without a
 label are not learned from; without training rows everything is ``und``; ties go to the first
@@ -22,13 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import stash
 
 HASH_BITS = 15
 SAMPLE_DOCS = 8000
+SAMPLE_NUMBERS = 12_000_000  # features of the sampled rows together
+MOST_LABELS = 500
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
@@ -121,24 +124,25 @@ def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> N
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bits: int = HASH_BITS, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from all rows of ``docs`` with a label."""
-    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    per_lang = known.groupBy("lang").agg(F.count("*").alias("n"))
+    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    per_lang = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LABELS)
     sizes = {r["lang"]: r["n"] for r in per_lang.collect()}  # a row a language
-    each = sample_docs // max(1, len(sizes))
+    each = max(1, sample_docs // max(1, len(sizes)))
     span = 1 << 30
-    limits = docs.sparkSession.createDataFrame([(k, min(span, each * span // n)) for k, n in sizes.items()], "lang string, most long")
+    limits = docs.sparkSession.createDataFrame([(k, min(span, 2 * each * span // n + 64)) for k, n in sizes.items()], "lang string, most long")
     chosen = known.join(F.broadcast(limits), "lang", "left").select("lang", "h", (F.pmod("h", F.lit(span)) < F.col("most")).alias("chosen"), "text")
     schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("docs", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(1 << bits, np.int64), 0
+        df, n, seen = np.zeros(1 << bits, np.int64), 0, set()
         for batch in batches:
             rows: list[tuple] = []
             for lang, h, own, text in zip(*[batch.column(i) for i in range(4)], strict=True):
                 if (got := ngram_counts(text.as_py(), bits)) is not None:
                     df[got[0]] += 1
                     n += 1
-                    if own.as_py():
+                    if own.as_py() and (lang.as_py(), h.as_py()) not in seen:
+                        seen.add((lang.as_py(), h.as_py()))
                         rows.append((lang.as_py(), h.as_py(), got[0].astype("<u4").tobytes(), got[1].astype("<u4").tobytes(), None))
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema=schema)
@@ -150,7 +154,14 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     for r in got.where("docs is not null").toLocalIterator():  # a row a task
         df[np.frombuffer(bytes(r["at"]), "<u4")] += np.frombuffer(bytes(r["n"]), "<u8")
         total += r["docs"]
-    sample = got.where("docs is null").select("lang", "h", "at", "n").collect()
+    place = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(span)), "h")
+    once = got.where("docs is null").dropDuplicates(["lang", "h"]).withColumn("place", F.row_number().over(place))
+    sample, numbers = [], 0
+    for r in once.where(F.col("place") <= each).orderBy("place", "lang").select("lang", "h", "at", "n").toLocalIterator():  # sample_docs rows at most
+        numbers += len(r["at"]) // 4
+        if numbers > SAMPLE_NUMBERS and sample:
+            break
+        sample.append(r)
     languages = sorted({r["lang"] for r in sample}, key=str.encode)
     model = Model(languages, np.zeros((1 << bits, len(languages))), np.zeros(len(languages)), np.log((1 + total) / (1 + df)) + 1, 1.0, bits)
     rows = []
