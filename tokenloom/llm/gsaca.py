@@ -19,7 +19,8 @@ import numpy as np
 
 def suffix_array(text: list[int]) -> list[int]:
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
+    symbols = np.array(text, np.int64)
+    order = np.argsort(symbols.astype(np.uint16) if n and symbols.min() >= 0 and symbols.max() < 1 << 16 else symbols, kind="stable").tolist()  # radix sort of small symbols
     group, size, at = [0] * n, [0] * n, [0] * n
     for x, i in enumerate(order):
         group[i] = group[order[x - 1]] if x and text[order[x - 1]] == text[i] else x

@@ -27,7 +27,6 @@ Defined results
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import dump, fresh_path, load, stash
+from tokenloom.llm.common import bucketed, dump, load, stash
 from tokenloom.llm.components import map_groups
 from tokenloom.llm.gsaca import equal_runs, suffix_array
 
@@ -45,6 +44,7 @@ LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 1_500_000
 CHUNK_BYTES = 1_000_000
+BUCKET_CHARS = 32_000_000  # text whose blocks are joined in one task
 RANGE_CHARS = 8_000_000  # text for each range of hashes
 OFTEN = 100_000  # occurrences of an anchor beyond which its windows travel one by one (so a group has about 8 MB at most)
 KEPT_BITS = 48  # of an anchor's hash while anchors are counted: equal bits of unequal anchors only add candidates
@@ -414,11 +414,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if not GRAM + 1 <= length <= GRAM + 63:
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 63}")
     spark = docs.sparkSession
-    name, n = f"tokenloom_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chars = docs.agg(F.sum(F.length(text_col))).collect()[0][0] or 0
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_pack, "block bigint, ids binary, known binary, sizes binary, data binary")
-    packed.write.format("parquet").option("path", fresh_path(spark, "blocks")).option("compression", "uncompressed").bucketBy(n, "block").saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = bucketed(packed, "block", max(n, math.ceil(chars / BUCKET_CHARS)))
 
     ranges = max(n, math.ceil(chars / RANGE_CHARS))
     row = "span bigint, block bigint, data binary"
