@@ -14,7 +14,8 @@ more files each.  Files are written under a hidden name and renamed, so a repeat
 its files by equal ones.
 
 Defined results: null text is the empty text (only the end id); rows of equal id are ordered by
-text; null ids come first; an empty table gives no files and no rows.
+text; null ids come first; texts of any length are encoded whole, a document is never cut between
+files; an empty table gives no files and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -209,11 +210,16 @@ def _library(path: str) -> _Library:
     return _Library(path)
 
 
+def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Of a folder; what Spark's configuration calls s3a is s3 here."""
+    return pafs.FileSystem.from_uri("s3://" + uri.split("://", 1)[1] if uri.startswith(("s3a://", "s3n://")) else uri)
+
+
 def write_documents(docs: DataFrame, vocab_path: str, to: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Write the files to the folder ``to`` (a URI); returns their list: part, file, name, n_docs, n_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = pafs.FileSystem.from_uri(to)
+        fs, folder = _file_system(to)
         fs.create_dir(folder, recursive=True)
         library, end = _library(vocab_path), struct.pack("<I", end_id)
         context = TaskContext.get()
@@ -281,7 +287,7 @@ def read_documents(spark: SparkSession, listed: DataFrame, folder: str) -> DataF
 def write_and_read(docs: DataFrame, vocab_path: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     spark = docs.sparkSession
     folder = fresh_path(spark, "dac")
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = _file_system(folder)
     fs.create_dir(path, recursive=True)
     listed = write_documents(docs, vocab_path, folder, end_id=end_id, id_col=id_col, text_col=text_col, file_ids=file_ids)
     return read_documents(spark, listed, folder)
