@@ -128,6 +128,8 @@ def test_images(spark):
     ramp = np.arange(16, dtype=float)[:, None, None].repeat(16, axis=1)
     assert np.allclose(K.resize_bicubic(ramp, 16, 16), ramp)
     assert np.allclose(K.box_halvings(ramp, 4)[:, 0, 0], [1.5, 5.5, 9.5, 13.5])
+    odd = np.array([0.0, 10, 50, 100, 200])[:, None, None] * np.ones((5, 5, 1))
+    assert np.allclose(K.box_halvings(odd, 2)[:, 0, 0], [20, 150])
     rows = spark.createDataFrame([("a", 40, 20, 1, [5] * 800), ("b", 16, 16, 3, list(range(256)) * 3)], "img_id string, h int, w int, ch int, data array<int>")
     got = {r["img_id"]: r for r in K.process_images(rows, "center", 16).collect()}
     assert set(got["a"]["data"]) == {5} and len(got["a"]["data"]) == 256

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.functions import positions, text, vectors
-from tokenloom.functions.ordering import global_index, hex_bucket, quantile_bucket
+from tokenloom.functions.ordering import global_index, running_before
 from tokenloom.operators import attention, images, layout, losses, params, partition, prompts, sampler
 from tokenloom.sources import files
 
@@ -67,12 +67,30 @@ def test_global_index(spark):
     rng = random.Random(0)
     rows = [(rng.randrange(40), i) for i in range(500)]
     df = spark.createDataFrame(rows, "k long, i long").withColumn("d", F.md5(F.col("i").cast("string").cast("binary")))
-    got = global_index(df, ["k", "i"], quantile_bucket(df, "k", 8)).orderBy("idx").collect()
+    got = global_index(df, ["k", "i"]).orderBy("idx").collect()
     assert [(x["k"], x["i"]) for x in got] == sorted(rows) and [x["idx"] for x in got] == list(range(500))
-    got = global_index(df, ["d"], hex_bucket("d")).orderBy("idx").collect()
+    got = global_index(df, ["d"]).orderBy("idx").collect()
     assert [x["d"] for x in got] == sorted(x["d"] for x in got) and [x["idx"] for x in got] == list(range(500))
     empty = df.limit(0)
-    assert global_index(empty, ["k"], quantile_bucket(empty, "k")).count() == 0
+    assert global_index(empty, ["k"]).count() == 0
+
+
+def test_frequent_keys_spread_over_ranges(spark):
+    """Nine rows of ten have one key, some have none: the order is complete, and no range holds nearly all."""
+    rows = [(None if i % 50 == 0 else 7 if i % 10 else i, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    got = running_before(df, F.col("v"), ["k"], "before").collect()
+    assert [x["k"] for x in sorted(got, key=lambda r: (r["before"], r["v"] > 0))] == sorted([k for k, _ in rows], key=lambda k: (k is not None, k))
+    at = sorted((x["before"], x["v"]) for x in got)
+    assert all(b + v == c for (b, v), (c, _) in zip(at, at[1:], strict=False))
+    indexed = global_index(df, ["k"])
+    assert sorted(x["idx"] for x in indexed.collect()) == list(range(3000))
+    from tokenloom.functions.ordering import _ranged
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [x["count"] for x in _ranged(df, ["k"]).groupBy("_part").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 0.6 * 3000
 
 
 @pytest.mark.parametrize("c,h,w,p", [(16, 4, 4, 2), (4, 4, 4, 2), (4, 2, 8, 2), (1, 6, 3, 3), (3, 4, 4, 1)])
@@ -91,7 +109,7 @@ def test_substitution(spark):
     captions = [(3, "a <image> b"), (1, "<image><image>"), (2, "none"), (9, "end <image>")]
     sizes = [(i, 16 * (i + 1), 32) for i in range(4)]
     df = spark.createDataFrame(captions, "sample_id long, caption string")
-    got = {r["sample_id"]: r["caption"] for r in prompts.substitute_images(df, spark.createDataFrame(sizes, "image_idx long, h long, w long"), quantile_bucket(df, "sample_id")).collect()}
+    got = {r["sample_id"]: r["caption"] for r in prompts.substitute_images(df, spark.createDataFrame(sizes, "image_idx long, h long, w long")).collect()}
     k, want = 0, {}
     for i, c in sorted(captions):
         while prompts.MARKER in c:
@@ -259,6 +277,19 @@ def test_final_names(spark):
     taken = spark.createDataFrame([("a/x.png",), ("a/x_1.png",), ("a/y_0.jpg",)], "path string")
     got = {r["id"]: r["name"] for r in files.final_names(wanted, taken).collect()}
     assert got == {1: "a/x_0.png", 2: "a/x_2.png", 4: "a/x_3.png", 3: "a/y.jpg", 5: "b.c/z"}
+    rng = random.Random(3)
+    paths = [rng.choice(["a.jpg", "a_0.jpg", "a_0_0.jpg", "a_1.jpg", "a_01.jpg", "b", "b_2", "d.x/a.jpg"]) for _ in range(60)]
+    there = ["a_2.jpg", "b", "a_0_1.jpg", "a_03.jpg"]
+    got = {r["id"]: r["name"] for r in files.final_names(spark.createDataFrame(list(enumerate(paths)), "id long, path string"), spark.createDataFrame([(p,) for p in there], "path string")).collect()}
+    assert len(set(got.values()) | set(there)) == 64
+    seen, reserved = set(), {*there, *paths}
+    for i, p in enumerate(paths):  # one after the other
+        want = p
+        if p in there or p in seen:
+            root, dot, ext = p.rpartition(".") if p.endswith(".jpg") else (p, "", "")
+            want = next(n for n in (f"{root}_{k}{dot}{ext}" for k in range(100)) if n not in reserved and n not in seen)
+        seen.add(want)
+        assert got[i] == want
 
 
 def test_config(spark, tmp_path):

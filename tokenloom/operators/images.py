@@ -103,9 +103,15 @@ def resize_dims(h: Column, w: Column, size: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, halve, finish)
 
 
-def box_halve(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Mean of each 2 x 2 block of pixels (by, y, x, v)."""
-    return cells.groupBy(*by, F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(F.avg("v").alias("v"))
+def box_of(i: Column, n: Column) -> Column:
+    """Which of n // 2 equal boxes holds the middle of pixel i of n (on a border: the lower one)."""
+    half = F.floor(n / 2)
+    return F.floor(((2 * i + 1) * half + 2 * n - 1) / (2 * n)) - 1
+
+
+def box_halve(cells: DataFrame, by: list[str], h: Column, w: Column) -> DataFrame:
+    """Means of boxes of pixels (by, y, x, v) of an h x w image halved to h // 2 x w // 2; boxes of odd sides take two or three."""
+    return cells.groupBy(*by, box_of(F.col("y"), h).alias("y"), box_of(F.col("x"), w).alias("x")).agg(F.avg("v").alias("v"))
 
 
 def center_crop(cells: DataFrame, h: Column, w: Column, size: int) -> DataFrame:

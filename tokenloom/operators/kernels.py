@@ -271,12 +271,17 @@ def resize_bicubic(image: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def box_halvings(image: np.ndarray, size: int) -> np.ndarray:
-    """Halve both sides by means while the shorter is at least twice ``size`` (a last odd row or column joins the last mean)."""
+    """Halve both sides by means of boxes while the shorter is at least twice ``size``; boxes of odd sides take two or three pixels."""
+
+    def first(n: int) -> np.ndarray:
+        """First pixel of each box: the one after the last whose middle is inside the box before."""
+        box = -(-(2 * np.arange(n) + 1) * (n // 2) // (2 * n)) - 1
+        return np.searchsorted(box, np.arange(n // 2))
+
     while min(image.shape[:2]) >= 2 * size:
-        h, w = image.shape[0] // 2, image.shape[1] // 2
-        rows = np.add.reduceat(np.add.reduceat(image.astype(float), np.arange(h) * 2, axis=0), np.arange(w) * 2, axis=1)
-        n = np.outer(np.diff([*(np.arange(h) * 2), image.shape[0]]), np.diff([*(np.arange(w) * 2), image.shape[1]]))
-        image = rows / n[:, :, None]
+        y, x = first(image.shape[0]), first(image.shape[1])
+        sums = np.add.reduceat(np.add.reduceat(image.astype(float), y, axis=0), x, axis=1)
+        image = sums / np.outer(np.diff([*y, image.shape[0]]), np.diff([*x, image.shape[1]]))[:, :, None]
     return image
 
 

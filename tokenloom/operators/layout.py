@@ -48,13 +48,13 @@ def embedding_lookup(tokens: DataFrame, table: DataFrame, token: str = "token_id
     return tokens.join(table, tokens[token] == table[key]).drop(table[key])
 
 
-def masked_scatter(tokens: DataFrame, patches: DataFrame, *, placeholder: Column, token_order: list, token_bucket: Column, patch_order: list, patch_bucket: Column) -> DataFrame:
+def masked_scatter(tokens: DataFrame, patches: DataFrame, *, placeholder: Column, token_order: list, patch_order: list) -> DataFrame:
     """Give the k-th placeholder position of the whole batch the k-th patch.
 
     The numbers of placeholders and patches must agree: ``assert_scatter`` tells.
     """
-    slots = global_index(tokens.where(placeholder), token_order, token_bucket, "slot")
-    values = global_index(patches, patch_order, patch_bucket, "slot")
+    slots = global_index(tokens.where(placeholder), token_order, "slot")
+    values = global_index(patches, patch_order, "slot")
     return slots.join(values, "slot")
 
 
@@ -81,9 +81,9 @@ def hash_normal(seed: int, *keys: Column) -> Column:
     return F.sqrt(-2 * F.log(u)) * F.cos(6.283185307179586 * v)
 
 
-def ragged_offsets(rows: DataFrame, length: str, order: list, bucket: Column) -> DataFrame:
+def ragged_offsets(rows: DataFrame, length: str, order: list) -> DataFrame:
     """offset: where each row's tokens begin when all are laid end to end."""
-    return running_before(rows, F.col(length), order, bucket, "offset")
+    return running_before(rows, F.col(length), order, "offset")
 
 
 def last_position(tokens: DataFrame, sample: str, pos: str, value: str) -> DataFrame:

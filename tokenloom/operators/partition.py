@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions.ordering import global_index, hex_bucket, quantile_bucket
+from tokenloom.functions.ordering import global_index
 
 
 def contiguous_rank(i: Column, n: int, ranks: int) -> Column:
@@ -25,7 +25,7 @@ def no_pad(df: DataFrame, id_col: str, ranks: int) -> DataFrame:
     """id, rank, slot: contiguous, disjoint, complete shards in order of id."""
     rows = df.select(id_col)
     n = rows.count()
-    rows = global_index(rows, [id_col], quantile_bucket(rows, id_col))
+    rows = global_index(rows, [id_col])
     rank = contiguous_rank(F.col("idx"), n, ranks)
     return rows.select(F.col(id_col).alias("id"), rank.alias("rank"), (F.col("idx") - contiguous_start(rank, n, ranks)).alias("slot"))
 
@@ -56,9 +56,9 @@ def round_robin(df: DataFrame, id_col: str, ranks: int, *, shuffle: bool = True,
         per_rank = math.ceil(n / ranks)
     if shuffle:
         rows = rows.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed + epoch)), F.col(id_col).cast("string")).cast("binary")))
-        rows = global_index(rows, ["_key", id_col], hex_bucket("_key"))
+        rows = global_index(rows, ["_key", id_col])
     else:
-        rows = global_index(rows, [id_col], quantile_bucket(rows, id_col))
+        rows = global_index(rows, [id_col])
     total = per_rank * ranks
     copies = math.ceil(total / n) if n else 0
     placed = rows.select(F.col(id_col).alias("id"), F.explode(F.sequence(F.col("idx"), F.col("idx") + n * max(copies - 1, 0), F.lit(max(n, 1)))).alias("p")) if copies else rows.select(F.col(id_col).alias("id"), F.col("idx").alias("p"))

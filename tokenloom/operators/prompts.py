@@ -64,13 +64,13 @@ def marker_violations(captions: DataFrame) -> DataFrame:
     return captions.withColumn("markers", marker_count(F.col("caption")).cast("long")).where("markers <> 1")
 
 
-def substitute_images(captions: DataFrame, images: DataFrame, bucket: Column, down_factor: int = 16) -> DataFrame:
+def substitute_images(captions: DataFrame, images: DataFrame, down_factor: int = 16) -> DataFrame:
     """Replace the k-th marker of all captions (in order of sample_id) by the string of image k.
 
     captions: sample_id, caption; images: image_idx (from 0), h, w.  Captions without markers stay.
     """
     counted = captions.withColumn("markers", marker_count(F.col("caption")))
-    placed = running_before(counted, F.col("markers"), ["sample_id"], bucket, "first_image")
+    placed = running_before(counted, F.col("markers"), ["sample_id"], "first_image")
     parts = placed.select("sample_id", "first_image", F.posexplode(F.split("caption", MARKER)).alias("part", "text"))
     parts = parts.withColumn("image_idx", F.when(F.col("part") > 0, F.col("first_image") + F.col("part") - 1))
     strings = images.select("image_idx", image_string(F.col("h"), F.col("w"), down_factor).alias("image"))

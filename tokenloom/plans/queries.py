@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import positions, text, vectors
-from tokenloom.functions.ordering import global_index, quantile_bucket
+from tokenloom.functions.ordering import global_index
 from tokenloom.operators import attention, collectives, images, layout, losses, params, partition, prompts, sampler
 from tokenloom.plans import generation
 from tokenloom.sources import files
@@ -123,9 +123,8 @@ def silu_modulate(spark, sf):
 
 
 @query(f"""
-WITH {CELLS}
-SELECT a.vec_id, a.i, {q6('a.v * cos(angle) + (CASE WHEN a.i < 32 THEN -b.v ELSE b.v END) * sin(angle)')} AS y
-FROM (SELECT *, vec_id % 32 * power(10000.0, -2.0 * (i % 32) / 64) AS angle FROM cells) a JOIN cells b ON a.vec_id = b.vec_id AND b.i = (a.i + 32) % 64""")
+WITH c AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS v, CAST(embedding[(i + 32) % 64 + 1] AS DOUBLE) AS o, vec_id % 32 * power(10000.0, -2.0 * (i % 32) / 64) AS angle FROM embeddings, range(64) t(i))
+SELECT vec_id, i, {q6('v * cos(angle) + (CASE WHEN i < 32 THEN -o ELSE o END) * sin(angle)')} AS y FROM c""")
 def rotary_apply(spark, sf):
     return _entries(latents(spark, sf), positions.apply_rotary(F.col("v"), F.col("vec_id") % 32))
 
@@ -308,7 +307,7 @@ def image_token_substitute(spark, sf):
     total = captions.agg(F.sum(prompts.marker_count(F.col("caption"))))
     idx = total.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(total.columns[0]))).alias("image_idx"))
     sizes = idx.select("image_idx", (16 * (1 + F.col("image_idx") % 3)).alias("h"), (16 * (1 + F.col("image_idx") % 2)).alias("w"))
-    got = prompts.substitute_images(captions, sizes, quantile_bucket(captions, "sample_id"))
+    got = prompts.substitute_images(captions, sizes)
     return got.select("sample_id", F.md5(F.col("caption").cast("binary")).alias("caption_md5"))
 
 
@@ -445,7 +444,7 @@ SELECT conv_id, turn, slot, doc_id FROM s JOIN v USING (slot)""")
 def masked_scatter(spark, sf):
     """The k-th user turn gets the k-th document."""
     conv, docs = table(spark, sf, "conversations").select("conv_id", "turn", "role"), table(spark, sf, "documents").select("doc_id")
-    got = layout.masked_scatter(conv, docs, placeholder=F.col("role") == "user", token_order=["conv_id", "turn"], token_bucket=quantile_bucket(conv, "conv_id"), patch_order=["doc_id"], patch_bucket=quantile_bucket(docs, "doc_id"))
+    got = layout.masked_scatter(conv, docs, placeholder=F.col("role") == "user", token_order=["conv_id", "turn"], patch_order=["doc_id"])
     return got.select("conv_id", "turn", "slot", "doc_id")
 
 
@@ -505,7 +504,7 @@ def last_position(spark, sf):
 @query("SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT - n_chars AS \"offset\" FROM documents")
 def ragged_offsets(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    return layout.ragged_offsets(docs, "n_chars", ["doc_id"], quantile_bucket(docs, "doc_id"))
+    return layout.ragged_offsets(docs, "n_chars", ["doc_id"])
 
 
 _UNIFORM = "((CAST('0x' || substr(md5('{seed}:{tag}:' || {key}), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)"
@@ -526,7 +525,7 @@ def repeat_orders(spark, sf):
     """Block and adjacent repetition differ only in the sort key; places follow from it in closed form."""
     rows = table(spark, sf, "supplier").select("s_suppkey")
     n = rows.count()
-    placed = prompts.block_repeat(global_index(rows, ["s_suppkey"], quantile_bucket(rows, "s_suppkey")), 4)
+    placed = prompts.block_repeat(global_index(rows, ["s_suppkey"]), 4)
     return placed.select("s_suppkey", "rep", (F.col("rep") * n + F.col("idx")).alias("block_place"), (F.col("idx") * 4 + F.col("rep")).alias("adjacent_place"))
 
 
@@ -787,10 +786,16 @@ def resize_dims(spark, sf):
     return rows.select("p_partkey", "d.halvings", "d.h", "d.w")
 
 
-@query(f"WITH {CELLS} SELECT vec_id, i // 16 AS y, i % 8 // 2 AS x, {q6('avg(v)')} AS v FROM cells GROUP BY ALL")
+@query(f"""
+WITH {CELLS}
+SELECT vec_id, CAST(8 AS BIGINT) AS h, i // 16 AS y, i % 8 // 2 AS x, {q6('avg(v)')} AS v FROM cells GROUP BY ALL
+UNION ALL SELECT vec_id, 7, ([0, 0, 1, 1, 1, 2, 2])[i // 5 + 1], ([0, 0, 0, 1, 1])[i % 5 + 1], {q6('avg(v)')} FROM cells WHERE i < 35 GROUP BY ALL""")
 def box_halve(spark, sf):
-    cells = latents(spark, sf).select("vec_id", F.posexplode("v").alias("i", "v")).select("vec_id", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), "v")
-    return images.box_halve(cells, ["vec_id"]).select("vec_id", "y", "x", r6(F.col("v")).alias("v"))
+    """Even sides (8 x 8) and odd ones (7 x 5)."""
+    both = F.array(F.struct(F.lit(8).alias("h"), F.lit(8).alias("w")), F.struct(F.lit(7).alias("h"), F.lit(5).alias("w")))
+    cells = latents(spark, sf).select("vec_id", F.posexplode("v").alias("i", "v")).select("vec_id", "i", "v", F.explode(both).alias("s")).where("i < s.h * s.w")
+    cells = cells.select("vec_id", F.floor(F.col("i") / F.col("s.w")).alias("y"), (F.col("i") % F.col("s.w")).alias("x"), "v", "s.h", "s.w")
+    return images.box_halve(cells, ["vec_id", "h"], F.col("h"), F.col("w")).select("vec_id", "h", "y", "x", r6(F.col("v")).alias("v"))
 
 
 @query(f"WITH {CELLS} SELECT vec_id, i // 8 - 2 AS y, i % 8 - 2 AS x, {q6('v')} AS v FROM cells WHERE i // 8 BETWEEN 2 AND 4 AND i % 8 BETWEEN 2 AND 4")
@@ -816,12 +821,14 @@ def posterior_affine(spark, sf):
 
 
 @query("""
-WITH w AS (SELECT o_orderkey AS id, 'out/img' || (o_orderkey % 50) || '.png' AS path, 'out/img' || (o_orderkey % 50) AS root, o_orderkey % 50 AS g FROM orders),
-r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY id) AS k FROM w)
-SELECT id, path, CASE WHEN g % 2 = 1 AND k = 1 THEN path WHEN g % 2 = 1 THEN root || '_' || (k - 2) || '.png' ELSE root || '_' || CASE WHEN k = 1 THEN 0 ELSE k END || '.png' END AS name FROM r""")
+WITH w AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 1000 = 7 THEN 'out/img1_0' ELSE 'out/img' || (o_orderkey % 50) END AS root, CASE WHEN o_orderkey % 1000 = 7 THEN 51 ELSE o_orderkey % 50 END AS g FROM orders),
+r AS (SELECT *, root || '.png' AS path, row_number() OVER (PARTITION BY root ORDER BY id) AS k FROM w)
+SELECT id, path, CASE WHEN g % 2 = 1 AND k = 1 THEN path WHEN g = 1 AND EXISTS (SELECT 1 FROM w WHERE w.g = 51) THEN root || '_' || (k - 1) || '.png'
+ WHEN g % 2 = 1 THEN root || '_' || (k - 2) || '.png' ELSE root || '_' || CASE WHEN k = 1 THEN 0 ELSE k END || '.png' END AS name FROM r""")
 def save_names(spark, sf):
-    """Even images find their plain name and _1 taken."""
-    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("out/img"), (F.col("o_orderkey") % 50).cast("string"), F.lit(".png")).alias("path"))
+    """Even images find their plain name and _1 taken; some rows want img1_0.png as it is, so img1.png cannot become that."""
+    group = F.when(F.col("o_orderkey") % 1000 == 7, "1_0").otherwise((F.col("o_orderkey") % 50).cast("string"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("out/img"), group, F.lit(".png")).alias("path"))
     taken = spark.range(0, 50, 2).select(F.explode(F.array(F.concat(F.lit("out/img"), F.col("id").cast("string"), F.lit(".png")), F.concat(F.lit("out/img"), F.col("id").cast("string"), F.lit("_1.png")))).alias("path"))
     return files.final_names(rows, taken)
 

@@ -72,26 +72,33 @@ class _HttpReader(DataSourceReader):
                 time.sleep(0.1)
 
 
+def _split_path(path: str) -> tuple[Column, Column]:
+    return F.regexp_replace(path, "[.][^./]*$", ""), F.regexp_extract(path, "([.][^./]*)$", 1)
+
+
 def final_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """id, path, name: where each file goes when nothing may be overwritten.
 
-    The first free of path, path_0, path_1, ... counts files already there (``taken``: path) and rows
-    that want the same path, in order of id.
+    Of the rows that want one path, the one with the least id gets it unless a file is there
+    (``taken``: path).  The others get path_0, path_1, ... in order of id, without the names that
+    are taken or that anybody wants as they are, so no two rows get one name.
     """
-    root, ext = F.regexp_replace("path", "[.][^./]*$", ""), F.regexp_extract("path", "([.][^./]*)$", 1)
-    parts = wanted.withColumn("root", root).withColumn("ext", ext)
-    # Numbers already used, -1 for the plain name.
-    number = F.regexp_extract("path", "_([0-9]+)([.][^./]*)?$", 1)
-    there = taken.select(F.col("path").alias("there")).distinct()
-    plain = there.select(F.regexp_replace("there", "[.][^./]*$", "").alias("root"), F.regexp_extract("there", "([.][^./]*)$", 1).alias("ext"), F.lit(-1).alias("n"))
-    numbered = there.withColumnRenamed("there", "path").where(number != "").select(F.regexp_replace("path", "_[0-9]+([.][^./]*)?$", "").alias("root"), F.regexp_extract("path", "([.][^./]*)$", 1).alias("ext"), number.cast("int").alias("n"))
-    used = plain.unionByName(numbered).groupBy("root", "ext").agg(F.collect_set("n").alias("used"))
-    rank = parts.withColumn("k", F.row_number().over(Window.partitionBy("root", "ext").orderBy("id")))
-    joined = rank.join(used, ["root", "ext"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-    # The k-th number from -1 on that is free.
-    free = F.filter(F.sequence(F.lit(-1), F.col("k") + F.size("used")), lambda x: ~F.array_contains("used", x))
-    n = F.get(free, F.col("k") - 1)
-    return joined.select("id", "path", F.when(n < 0, F.col("path")).otherwise(F.concat("root", F.lit("_"), n.cast("string"), "ext")).alias("name"))
+    there = taken.select("path").distinct()
+    owners = wanted.groupBy("path").agg(F.min("id").alias("owner")).join(there, "path", "left_anti")
+    rows = wanted.join(owners, "path", "left").withColumn("plain", F.coalesce(F.col("id") == F.col("owner"), F.lit(False)))
+    # Numbers in use, of paths that end in one.
+    used = there.unionByName(wanted.select("path")).distinct().withColumn("number", F.regexp_extract("path", "_(0|[1-9][0-9]{0,17})([.][^./]*)?$", 1)).where("number <> ''")
+    root, ext = F.regexp_replace("path", "_[0-9]+([.][^./]*)?$", ""), _split_path("path")[1]
+    used = used.select(root.alias("root"), ext.alias("ext"), F.col("number").cast("long").alias("n")).distinct()
+    # The k-th free number is k plus the number of used ones u_j with u_j - j <= k, so used and new ones are merged in one order.
+    root, ext = _split_path("path")
+    by = Window.partitionBy("root", "ext")
+    gaps = used.select("root", "ext", (F.col("n") + 1 - F.row_number().over(by.orderBy("n"))).alias("k"), F.lit(1).alias("used"), F.lit(None).cast(wanted.schema["id"].dataType).alias("id"), F.lit(None).cast("string").alias("path"))
+    asking = rows.where("NOT plain").select("id", "path", root.alias("root"), ext.alias("ext"), F.lit(0).alias("used"))
+    asking = asking.withColumn("k", (F.row_number().over(by.orderBy("id")) - 1).cast("long"))
+    merged = gaps.unionByName(asking).withColumn("n", F.col("k") + F.sum("used").over(by.orderBy("k", F.desc("used")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    numbered = merged.where("used = 0").select("id", "path", F.concat("root", F.lit("_"), F.col("n").cast("string"), "ext").alias("name"))
+    return rows.where("plain").select("id", "path", F.col("path").alias("name")).unionByName(numbered)
 
 
 def format_matches(path: Column, wanted: Column) -> Column:
