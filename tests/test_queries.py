@@ -1,6 +1,7 @@
 import pytest
 from oracle import compare
 
+from tokenloom.plans import networks  # noqa: F401
 from tokenloom.plans.queries import ORACLES, QUERIES
 
 

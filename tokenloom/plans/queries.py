@@ -887,7 +887,7 @@ def tiny_pipeline(spark, sf):
 @query(None)
 def tiny_forward(spark, sf):
     """Logits of the last position of each turn."""
-    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("sample_id"), F.transform(prompts.words(F.col("text")), lambda w: F.length(w)).alias("ids"))
+    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("sample_id"), F.transform(prompts.words(F.col("text")), lambda w: F.pmod(prompts.word_id(w), F.lit(generation.TinyModel.vocabulary))).alias("ids"))
     got = generation.last_logits(rows, generation.TinyModel())
     return got.select("sample_id", "n", F.posexplode("logits").alias("k", "logit")).select("sample_id", "n", "k", r6(F.col("logit")).alias("logit"))
 
