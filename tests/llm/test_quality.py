@@ -6,7 +6,9 @@ from fractions import Fraction
 import pyarrow.parquet as pq
 from fixtures import no_documents, odd_documents, rows
 
-from tokenloom.llm import quality, queries
+import llm_oracle as oracle
+
+from tokenloom.llm import oracles, quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -28,7 +30,7 @@ def exact_tail(k, n, p):
     return float(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
 
 
-def brute(docs, labels):
+def brute(docs, labels, alpha=quality.ALPHA):
     good = {}
     for d, q in labels:
         good[d] = good.get(d, True) and q == 1
@@ -44,7 +46,7 @@ def brute(docs, labels):
     for lang, fs in held.items():
         for rule, (_, grid) in quality.RULES.items():
             for c in grid:
-                if exact_tail(sum(hit(rule, c, f) for f in fs), len(fs), quality.ALPHA) > quality.DELTA / (len(held) * len(quality.RULES)):
+                if exact_tail(sum(hit(rule, c, f) for f in fs), len(fs), alpha) > quality.DELTA / (len(held) * len(quality.RULES)):
                     break
                 cut[lang, rule] = c
     out = [(i, *base, failed, not failed and not any(hit(r, c, f) for (s, r), c in cut.items() if s == lang)) for i, lang, base, f, failed in measured]
@@ -69,6 +71,45 @@ def test_cutoffs_are_learned_and_bounded(spark):
         assert math.isclose(quality.binomial_tail(k, n, 0.005), exact_tail(k, n, 0.005), rel_tol=1e-9)
 
 
+def test_learned_cutoffs_row_by_row(spark, tmp_path):
+    """With a laxer promise every language has enough labels: verdicts against brute force and SQL, and the promise itself."""
+    sf, alpha = "/root/testdata/sf0.1", 0.05
+    docs = [(d["doc_id"], d["text"], d["lang"]) for d in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text", "lang"]).slice(0, 3500).to_pylist()]
+    labels = [(d["doc_id"], d["quality"]) for d in pq.read_table(f"{sf}/labels.parquet").to_pylist()]
+    want, cut = brute(docs, labels, alpha)
+    assert len({lang for lang, _ in cut}) >= 2 and len({rule for _, rule in cut}) >= 3
+    assert sum(not v[-1] and not v[-2] for v in want) > 0  # rejected by learned rules alone
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    got = quality.judge(table, known, alpha=alpha).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    names, rows_ = oracle.run(oracles.quality_rules(alpha), str(tmp_path), tables=("documents", "labels"))
+    order = [names.index(c) for c in columns]
+    assert sorted(tuple(r[k] for k in order) for r in rows_) == sorted(want)
+    assert {r["doc_id"] for r in quality.keep_good(table, known, alpha=alpha).collect()} == {v[0] for v in want if v[-1]}
+
+
+def test_a_rule_keeps_good_documents():
+    """Monte Carlo: the cutoff that a rule learns from 400 good documents rejects more than alpha of them hardly ever."""
+    import random
+
+    rng, alpha, level, lost = random.Random(1), 0.02, 0.05 / 10, []
+    for _ in range(200):
+        sample = sorted(rng.random() for _ in range(400))
+        cuts = [c / 100 for c in range(100, 79, -1)]  # reject values of c or more
+        best = None
+        for c in cuts:
+            if quality.binomial_tail(sum(x >= c for x in sample), len(sample), alpha) > level:
+                break
+            best = c
+        lost.append(1 - best if best is not None else 0.0)
+    assert sum(x > alpha for x in lost) <= 200 * 0.05
+    assert quality.least_labels(0.05 / 20, 0.005) == 1195
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(0, 1, 0), (0, None, 0), (None, 1, 1), (5, 1, None), (99, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality.judge(odd_documents(spark), labels)

@@ -10,7 +10,9 @@ by white-space-separated piece and by word in bounded tables in each worker.
 
 Defined results: null text is encoded as the empty text (no ids, decoded to ""); special tokens in
 a text are found before normalisation, as the library does; text of any length is encoded whole;
-extra columns are not returned by ``encode_documents`` beyond those asked for.
+merges of equal rank go from left to right; repeated rows are encoded each for itself; an empty table
+gives an empty result; columns are returned by ``encode_documents`` only if asked for (``keep``, which
+must not name ids or decoded), and others may have any name.
 """
 
 from __future__ import annotations

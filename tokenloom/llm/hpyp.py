@@ -37,7 +37,9 @@ Defined results
 * null text: the empty text, which is one end token;
 * a null id counts as the text "" for the split, so it is learned from; rows of equal id are rows of their own;
 * without training documents: N = V = 0, every token has probability 1 / (V + 1) = 1;
-* empty table: empty result; other columns pass through ``keep``.
+* texts of any length are scored whole; a text with every token unknown has the probabilities of the place for others;
+* repeated rows and ties: each row is scored for itself, equal texts alike up to the order in which logarithms are added;
+* empty table: empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

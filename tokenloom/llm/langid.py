@@ -12,7 +12,8 @@ The ``MOST_LABELS`` most frequent labels are learned.  Document frequencies cove
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; rows without a
 label are not learned from; without training rows everything is ``und``; ties go to the first
-label by code point; empty table: empty result; other columns are never read.
+label by code point; texts of any length are read whole; repeated rows are predicted alike, and null or
+equal ids change nothing but the sample; empty table: empty result; other columns are never read.
 """
 
 from __future__ import annotations

@@ -121,7 +121,7 @@ SELECT doc_id, CASE WHEN c.content IS NULL THEN doc_id ELSE class_id END AS clas
 FROM c LEFT JOIN u USING (content) LEFT JOIN cls USING (k)"""
 
 
-def quality_rules() -> str:
+def quality_rules(alpha: float = ALPHA, delta: float = DELTA) -> str:
     """The counts, the labelled holdout at each grid point, exact binomial tails, and the strictest cutoff before the first failure."""
     points = [(i, k, f, c, r.endswith("_low")) for i, (r, (f, grid)) in enumerate(QUALITY_RULES.items()) for k, c in enumerate(grid)]
     values = ", ".join(f"({i}, {k}, '{f}', {c}::DOUBLE, {low})" for i, k, f, c, low in points)
@@ -141,8 +141,8 @@ x AS (SELECT m.r, m.doc_id, m.lang, p.rule, p.k, CASE feature WHEN 'symbol_ratio
 y AS (SELECT *, CASE WHEN low THEN v <= cutoff ELSE v >= cutoff END AS beyond FROM x),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1),
 held AS (SELECT lang, rule, k, count(*) AS n, count(*) FILTER (beyond) AS hits FROM y WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
-lim AS (SELECT {DELTA} / (count(DISTINCT coalesce(lang, chr(1))) * {len(QUALITY_RULES)}) AS level FROM held),
-tail AS (SELECT *, list_sum(list_transform(range(hits + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) AS tail FROM held),
+lim AS (SELECT {delta} / (count(DISTINCT coalesce(lang, chr(1))) * {len(QUALITY_RULES)}) AS level FROM held),
+tail AS (SELECT *, list_sum(list_transform(range(hits + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END + i * ln({alpha}) + (n - i) * ln(1 - {alpha})))) AS tail FROM held),
 passing AS (SELECT lang, rule, k FROM (SELECT *, bool_and(tail <= level) OVER (PARTITION BY lang, rule ORDER BY k) AS ok FROM tail, lim) WHERE ok),
 cut AS (SELECT lang, rule, max(k) AS k FROM passing GROUP BY ALL),
 failed AS (SELECT DISTINCT y.r FROM y JOIN cut ON y.lang IS NOT DISTINCT FROM cut.lang AND y.rule = cut.rule AND y.k = cut.k WHERE beyond)
