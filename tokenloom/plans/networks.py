@@ -267,20 +267,50 @@ def _pixels(dst: str, src: str) -> str:
     return f"{dst} AS (SELECT id * 16 + i % 16 AS id, i // 16 AS i, v FROM {src})"
 
 
-@query(
-    _sql(
-        _x("x", 0, 64), *_group_norm("g", "x", 2, 4, 55), _pixels("f", "g"), _linear("q", "f", 4, 57, False), _linear("k", "f", 4, 58, False), _linear("w", "f", 4, 59, False),
-        "s AS (SELECT q.id, k.id AS kid, sum(q.v * k.v) / 2 AS s FROM q JOIN k ON q.id // 16 = k.id // 16 AND q.i = k.i GROUP BY ALL)",
-        "p AS (SELECT id, kid, exp(s) / sum(exp(s)) OVER (PARTITION BY id) AS p FROM s)",
-        "a AS (SELECT p.id, w.i, sum(p.p * w.v) AS v FROM p JOIN w ON w.id = p.kid GROUP BY ALL)",
-        _linear("o", "a", 4, 60, False), "back AS (SELECT id // 16 AS id, i * 16 + id % 16 AS i, v FROM o)", _both("y", "x", "back", "x.v + y.v"), last="y",
-    )
-)
+def _attention(x: str, y: str, salt: int) -> list[str]:
+    p = f"A{salt}"
+    return [
+        *_group_norm(f"{p}g", x, 2, 4, salt), _pixels(f"{p}f", f"{p}g"), _linear(f"{p}q", f"{p}f", 4, salt + 2, False), _linear(f"{p}k", f"{p}f", 4, salt + 3, False), _linear(f"{p}v", f"{p}f", 4, salt + 4, False),
+        f"{p}s AS (SELECT q.id, k.id AS kid, sum(q.v * k.v) / 2 AS s FROM {p}q q JOIN {p}k k ON q.id // 16 = k.id // 16 AND q.i = k.i GROUP BY ALL)",
+        f"{p}p AS (SELECT id, kid, exp(s) / sum(exp(s)) OVER (PARTITION BY id) AS p FROM {p}s)",
+        f"{p}a AS (SELECT p.id, w.i, sum(p.p * w.v) AS v FROM {p}p p JOIN {p}v w ON w.id = p.kid GROUP BY ALL)",
+        _linear(f"{p}o", f"{p}a", 4, salt + 5, False), f"{p}b AS (SELECT id // 16 AS id, i * 16 + id % 16 AS i, v FROM {p}o)", _both(y, x, f"{p}b", "x.v + y.v"),
+    ]
+
+
+def _attention_weights(name: str, salt: int) -> K.Weights:
+    w = {f"{name}.norm.w": 1 + bias(4, salt), f"{name}.norm.b": bias(4, salt + 1)}
+    return w | {f"{name}.{p}.w": weight(4, 4, salt=salt + 2 + n) for n, p in enumerate("qkvo")}
+
+
+@query(_sql(_x("x", 0, 64), *_attention("x", "y", 55), last="y"))
 def attention_block(spark, sf):
-    w = {"a.norm.w": 1 + bias(4, 55), "a.norm.b": bias(4, 56)} | {f"a.{p}.w": weight(4, 4, salt=57 + n) for n, p in enumerate("qkvo")}
+    w = _attention_weights("a", 55)
     return _rows(latents(spark, sf), _image(lambda x: K.attention_block(x, w, "a", 2)))
 
 
+_MIDDLE = lambda x, y: [*_resnet(x, f"{y}1", 70), *_attention(f"{y}1", f"{y}2", 80), *_resnet(f"{y}2", y, 90)]
+_END = lambda x, y, n: [*_group_norm(f"{y}g", x, 2, 4, 100), _map(f"{y}f", f"{y}g", SILU), _conv(y, f"{y}f", n, 102)]
+
+
+def _autoencoder_weights(side: str, out: int) -> K.Weights:
+    w = {"in.w": weight(4, 4, 3, 3, salt=61), "in.b": bias(4, 61), "out.norm.w": 1 + bias(4, 100), "out.norm.b": bias(4, 101), "out.w": weight(out, 4, 3, 3, salt=102), "out.b": bias(out, 102)}
+    return w | _resnet_weights(side, 62) | _resnet_weights("mid1", 70) | _attention_weights("mid.attn", 80) | _resnet_weights("mid2", 90)
+
+
+@query(_sql(_x("x", 0, 64), _conv("c", "x", 4, 61), *_resnet("c", "d", 62), *_MIDDLE("d", "m"), *_END("m", "y", 4), last="y"))
+def vae_encode(spark, sf):
+    """Moments of two latent channels: one level, attention in the middle."""
+    w = _autoencoder_weights("down0", 4)
+    return _rows(latents(spark, sf), _image(lambda x: K.encoder(x, w, 1, 2)))
+
+
+@query(_sql(_x("x", 0, 64), _conv("c", "x", 4, 61), *_MIDDLE("c", "m"), *_resnet("m", "u", 62), *_END("u", "y", 3), last="y"))
+def vae_decode(spark, sf):
+    w = _autoencoder_weights("up0", 3)
+    return _rows(latents(spark, sf), _image(lambda x: K.decoder(x, w, 1, 2)))
+
+
 # ---------------------------------------------------------------- images
 
 
@@ -300,6 +330,16 @@ def bicubic_resize(spark, sf):
     return _rows(latents(spark, sf), lambda v: np.stack([K.resize_bicubic(x.reshape(8, 8, 1), 5, 12).ravel() for x in v]))
 
 
+_GRID = """SELECT o, CAST(greatest(0, least(7, b + k)) AS BIGINT) AS i, sum(CASE WHEN x <= 1 THEN 1.25 * x * x * x - 2.25 * x * x + 1 WHEN x < 2 THEN -0.75 * x * x * x + 3.75 * x * x - 6 * x + 3 ELSE 0 END) AS w
+FROM (SELECT o, k, floor(s) AS b, abs(s - floor(s) - k) AS x FROM (SELECT o, (o + 0.5) * 8 / 5 - 0.5 AS s FROM range(5) a(o)) p, range(-1, 3) c(k)) GROUP BY ALL"""
+
+
+@query(f"WITH {CELLS}, g AS ({_GRID}) SELECT vec_id, a.o * 5 + b.o AS i, {q6('sum(v * a.w * b.w)')} AS y FROM cells JOIN g a ON a.i = cells.i // 8 JOIN g b ON b.i = cells.i % 8 GROUP BY vec_id, a.o, b.o")
+def position_grid(spark, sf):
+    """A table of 8 x 8 positions resampled to 5 x 5."""
+    return _rows(latents(spark, sf), lambda v: np.stack([K.bicubic_grid(x[:, None], 5).ravel() for x in v]))
+
+
 @query(
     f"""WITH c AS (SELECT vec_id, (vec_id * 7 + i * 13) % 256 AS v, i // 24 AS y, i % 24 AS x FROM embeddings, range(528) t(i)),
 h AS (SELECT vec_id, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(v), 0) AS DOUBLE) AS v FROM c GROUP BY ALL),
