@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACES + r"\p{L}\p{N}]+"
 #: Pieces (and words) of each of two generations that a worker remembers, and the longest worth remembering.
-REMEMBERED, LONGEST = 120_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Characters of text after which a batch of results is handed on.
 BATCH_CHARS = 4_000_000
 
