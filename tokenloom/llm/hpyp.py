@@ -63,6 +63,7 @@ BLOCK_BYTES = 8_000_000
 SHARD_CHARS = 12_000_000  # text for each shard
 CELL_CHARS = 20_000_000  # text whose occurrences of a shard's words are held together
 CELLS = 1 << 20  # most cells of a shard
+TASKS = 4  # tasks to a shard that gather cells, so few of them meet in one
 GROUPS = 4
 STRENGTH = 0.3
 BURN_IN, SAMPLES = 2, 2
@@ -635,15 +636,15 @@ def score(docs: DataFrame, learned: Column, *, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(learned, F.lit(False)).alias("learned"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     shards = max(1, math.ceil(chars / SHARD_CHARS))
-    held = bucketed(map_groups(rows.mapInArrow(_scatter(shards, chars), "cell bigint, block bigint, data binary"), ["cell"], _gather(), "shard bigint, words binary, data binary"), "shard", shards)
+    held = bucketed(map_groups(rows.mapInArrow(_scatter(shards, chars), "cell bigint, block bigint, data binary"), ["cell"], _gather(), "shard bigint, words binary, data binary", TASKS * shards), "shard", shards)
     own = held.where("shard >= 0")
     cells = own.groupBy("shard").agg(F.count("*").alias("cells")).where("cells > 1").select("shard")
     several = cells.limit(1).count() > 0
     whole = own.select("shard", "words")
     if several:  # a single cell's table is the shard's
-        cells = stash(cells, "shard-cells")
+        cells = stash(cells, "shard-cells", shards)
         merged = stash(map_groups(whole.join(cells, "shard", "left_semi"), ["shard"], _merge, "shard bigint, words binary"), "shard-words")
-        whole = whole.join(cells, "shard", "left_anti").unionByName(merged)
+        whole = bucketed(whole.join(cells, "shard", "left_anti").unionByName(merged), "shard", shards)  # every exchange reads it
 
     sums = _total(whole, "words", table_sums)
     sums = np.zeros(_HEAD + 1) if sums is None else sums
