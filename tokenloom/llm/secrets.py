@@ -24,8 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from re import _constants as op
-from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,33 +80,98 @@ def _clause(strings: Iterable[str]) -> Query:
     return (frozenset(s for s in sets if not any(o < s for o in sets)),)
 
 
-def _exact(node: tuple) -> set[str] | None:
+#: Escapes that stand for one character.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v"}
+
+#: A node: ("chars", strings or None), ("branch", lists of nodes) or ("repeat", least, most or None, nodes).
+Node = tuple
+
+
+def parse(pattern: str) -> list[Node]:
+    """Syntax tree of an expression: characters, classes, groups, alternatives, repetitions.
+
+    The strings of "chars" are those it matches, in lower case; None stands for any of many.
+    """
+
+    def escape(i: int) -> tuple[str | None, int]:
+        c = pattern[i + 1]
+        if c == "x":
+            return chr(int(pattern[i + 2 : i + 4], 16)), i + 4
+        return (None if c in "sSdDwW" else "" if c in "bB" else _ESCAPES.get(c, c)), i + 2
+
+    def in_class(i: int) -> tuple[Node, int]:
+        few: set[str] | None = set()
+        if pattern[i] == "^":
+            few, i = None, i + 1
+        first = i
+        while pattern[i] != "]" or i == first:
+            c, j = escape(i) if pattern[i] == "\\" else (pattern[i], i + 1)
+            if pattern[j] == "-" and pattern[j + 1] != "]":  # a range
+                c, j = None, (escape(j + 1)[1] if pattern[j + 1] == "\\" else j + 2)
+            few = None if few is None or c is None else few | {c.lower()}
+            i = j
+        return ("chars", few), i + 1
+
+    def atom(i: int) -> tuple[Node, int]:
+        c = pattern[i]
+        if c == "(":
+            node, i = branches(pattern.index(":", i) + 1 if pattern[i + 1] == "?" else i + 1)
+            return node, i + 1
+        if c == "[":
+            return in_class(i + 1)
+        if c == "\\":
+            c, i = escape(i)
+            return ("chars", None if c is None else {c.lower()}), i
+        return ("chars", None if c == "." else {""} if c in "^$" else {c.lower()}), i + 1
+
+    def times(i: int) -> tuple[int, int | None, int]:
+        least, most, c = 1, 1, pattern[i : i + 1]
+        if c and c in "*+?":
+            least, most, i = int(c == "+"), 1 if c == "?" else None, i + 1
+        elif c == "{":
+            end = pattern.index("}", i)
+            low, comma, high = pattern[i + 1 : end].partition(",")
+            least, most, i = int(low or 0), (int(high) if high else None) if comma else int(low), end + 1
+        else:
+            return 1, 1, i
+        return least, most, i + (pattern[i : i + 1] in ("?", "+"))  # lazy or possessive
+
+    def branches(i: int) -> tuple[Node, int]:
+        parts: list[list[Node]] = [[]]
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                parts.append([])
+                i += 1
+                continue
+            node, i = atom(i)
+            least, most, i = times(i)
+            parts[-1].append(node if (least, most) == (1, 1) else ("repeat", least, most, [node]))
+        return ("branch", parts), i
+
+    return [branches(0)[0]]
+
+
+def _exact(node: Node) -> set[str] | None:
     """All strings that a node matches, in lower case, if they are few."""
-    kind, value = node
-    if kind is op.LITERAL:
-        return {chr(value).lower()}
-    if kind is op.IN and all(k is op.LITERAL for k, _ in value):
-        return {chr(v).lower() for _, v in value}
-    if kind is op.SUBPATTERN:
-        return _exact_all(value[3])
-    if kind is op.BRANCH:
-        parts = [_exact_all(p) for p in value[1]]
+    if node[0] == "chars":
+        return node[1]
+    if node[0] == "branch":
+        parts = [_exact_all(p) for p in node[1]]
         return None if any(p is None for p in parts) else set().union(*parts)
-    if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[1] is not op.MAXREPEAT and value[1] <= 4:
-        one = _exact_all(value[2])
-        if one is None:
+    _, least, most, nodes = node
+    one = _exact_all(nodes) if most is not None and most <= 4 else None
+    if one is None:
+        return None
+    out, power = set(), {""}
+    for n in range(most + 1):
+        out |= power if n >= least else set()
+        power = {a + b for a in power for b in one}
+        if len(out) + len(power) > EXACT:
             return None
-        out, power = set(), {""}
-        for n in range(value[1] + 1):
-            out |= power if n >= value[0] else set()
-            power = {a + b for a in power for b in one}
-            if len(out) + len(power) > EXACT:
-                return None
-        return out
-    return None
+    return out
 
 
-def _exact_all(nodes: Iterable[tuple]) -> set[str] | None:
+def _exact_all(nodes: Iterable[Node]) -> set[str] | None:
     out = {""}
     for node in nodes:
         part = _exact(node)
@@ -118,7 +181,7 @@ def _exact_all(nodes: Iterable[tuple]) -> set[str] | None:
     return out
 
 
-def _query(nodes: Iterable[tuple]) -> Query:
+def _query(nodes: Iterable[Node]) -> Query:
     out, held = (), {""}
     for node in nodes:
         part = _exact(node)
@@ -126,11 +189,10 @@ def _query(nodes: Iterable[tuple]) -> Query:
             held = {a + b for a in held for b in part}
             continue
         out, held = out + _clause(held), {""}
-        kind, value = node
-        if kind is op.SUBPATTERN:
-            out += _query(value[3])
-        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] >= 1:
-            out += _query(value[2])
+        if node[0] == "branch" and len(node[1]) == 1:
+            out += _query(node[1][0])
+        elif node[0] == "repeat" and node[1] >= 1:
+            out += _query(node[3])
         elif part is not None:
             out += _clause(part)
     return out + _clause(held)
@@ -138,7 +200,7 @@ def _query(nodes: Iterable[tuple]) -> Query:
 
 def trigram_query(pattern: str) -> Query:
     """The trigrams that a match of ``pattern`` must contain, in lower case; () if there are none."""
-    return tuple(dict.fromkeys(_query(parser.parse(pattern))))
+    return tuple(dict.fromkeys(_query(parse(pattern))))
 
 
 QUERIES = {r.kind: trigram_query(r.pattern) for r in RULES}
