@@ -30,6 +30,23 @@ def suffix_array(text: list[int]) -> list[int]:
     end = n - 1
     while end >= 0:
         g = group[order[end]]
+        if g == end:  # a single suffix, as most are in the end
+            i = order[g]
+            if (p := prev[i]) is None:
+                p = i - 1
+                while p >= 0 and group[p] >= g:
+                    p = prev[p]
+                prev[i] = p
+            if p >= 0:
+                h = group[p]
+                size[h] -= 1
+                last = h + size[h]
+                other = order[last]
+                order[at[p]], order[last], at[other], at[p] = other, p, at[p], last
+                group[p] = last
+                size[last] += 1
+            end = g - 1
+            continue
         copies: dict[int, int] = {}
         for x in range(g, end + 1):
             if prev[order[x]] is None:

@@ -43,6 +43,7 @@ from tokenloom.llm.gsaca import equal_runs, suffix_array
 LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 1_500_000
+STEP = 1 << 16  # places whose anchors are found together
 CHUNK_BYTES = 1_000_000
 BUCKET_CHARS = 32_000_000  # text whose blocks are joined in one task
 RANGE_CHARS = 8_000_000  # text for each range of hashes
@@ -82,17 +83,27 @@ class Anchors:
         self.at, self.hash = np.zeros(0, np.int64), np.zeros(0, _U)
         if len(data) < length:
             return
-        e = _grams(data)
-        g = _mix(_mix(e[:-8]) + e[8:]) | _U(1)
-        low = _slide(g, self.width, np.minimum)
         inside = np.ones(len(data) + 1, bool)  # windows that end in their document
         for s in starts[1:]:
             inside[max(0, s - length + 1) : s] = False
-        low = np.where(inside[: len(low)], low, _U(0))
+        found = [self._between(data, inside, a) for a in range(0, len(data) - GRAM + 1, STEP)]
+        self.at, self.hash = (np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _between(self, data: np.ndarray, inside: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors at places from ``a``, STEP of them: the arrays of one step fit a core's cache."""
+        low_end = max(0, a - self.width + 1)
+        part = data[low_end : a + STEP + self.width + GRAM - 2]
+        if len(part) < self.length:
+            return np.zeros(0, np.int64), np.zeros(0, _U)
+        e = _grams(part)
+        g = _mix(_mix(e[:-8]) + e[8:]) | _U(1)
+        low = _slide(g, self.width, np.minimum)
+        low = np.where(inside[low_end : low_end + len(low)], low, _U(0))
         pad = np.zeros(self.width - 1, _U)
         high = _slide(np.concatenate([pad, low, pad]), self.width, np.maximum)
-        self.at = np.flatnonzero(high == g)
-        self.hash = g[self.at]
+        own = slice(a - low_end, a - low_end + STEP)
+        at = np.flatnonzero(high[own] == g[own])
+        return at + a, g[own][at]
 
     def documents(self) -> np.ndarray:
         return np.searchsorted(self.starts, self.at, "right") - 1
@@ -195,16 +206,21 @@ def _slices(which: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def _counted(b: _Block, a: Anchors) -> tuple[np.ndarray, ...]:
-    """Short hashes of a block's anchors, ascending, with least and greatest document and number of each."""
+    """Short hashes of a block's anchors, ascending, with least and greatest document and number of each, and what belongs to which.
+
+    The last two are the anchors used (those of documents with an id) and, for each, the place of its hash.
+    """
     doc = a.documents()
-    use = b.known[doc] if len(doc) else np.zeros(0, bool)
-    h, d = _short(a.hash[use]), b.ids[doc[use]]
+    used = np.flatnonzero(b.known[doc]) if len(doc) else np.zeros(0, int)
+    h, d = _short(a.hash[used]), b.ids[doc[used]]
+    if not len(h):
+        return h, d, d, used, used, used
     order = np.argsort(h, kind="stable")
     h, d = h[order], d[order]
-    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
-    if not len(cut):
-        return h, d, d, cut
-    return h[cut], np.minimum.reduceat(d, cut), np.maximum.reduceat(d, cut), np.diff([*cut, len(h)])
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    cut, place = np.flatnonzero(new), np.empty(len(h), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return h[cut], np.minimum.reduceat(d, cut), np.maximum.reduceat(d, cut), np.diff([*cut, len(h)]), used, place
 
 
 _SENT = pa.schema([("span", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
@@ -219,7 +235,7 @@ def _occurrences(length: int, ranges: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 b = _Block(batch, k)
-                h, low, high, n = _counted(b, Anchors(b.data, b.starts, length))
+                h, low, high, n = _counted(b, Anchors(b.data, b.starts, length))[:4]
                 if len(h):
                     base = low.min()
                     yield _sent([(r, b.block, dump(np.diff(h[x], prepend=_U(0)), np.array([base]), (low[x] - base).astype(_U), (high[x] - low[x]).astype(_U), n[x].astype(np.uint32))) for r, x in _slices(_range(h, ranges))])
@@ -255,18 +271,16 @@ def _pieces(length: int, ranges: int):
             for k in range(batch.num_rows):
                 b = _Block(batch, k)
                 a = Anchors(b.data, b.starts, length)
-                counted = _counted(b, a)[0]
+                counted, _, _, _, used, number = _counted(b, a)
                 place = dict(_slices(_range(counted, ranges)))
                 flags = np.zeros((2, len(counted)), bool)
                 for span, data in ((x["span"], x["data"]) for x in batch.column("answers")[k].as_py()):
                     at = place[span]
                     flags[:, at] = [np.unpackbits(bits, count=at.stop - at.start) for bits in load(data)]
-                doc = a.documents()
-                short = _short(a.hash)
-                where = np.minimum(np.searchsorted(counted, short), len(counted) - 1)
-                at = np.flatnonzero(flags[0][where] & (counted[where] == short) & b.known[doc])
+                shared = flags[0][number]
+                at, single = used[shared], flags[1][number[shared]]
                 first, last = a.windows(at)
-                h, doc, single = _spread(a.hash[at]), b.ids[doc[at]], flags[1][where[at]]
+                h, doc = _spread(a.hash[at]), b.ids[a.documents()[at]]
                 if single.any():
                     reps = np.where(single, last - first + 1, 1).clip(0)
                     begin = np.repeat(first, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
