@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,9 +40,11 @@ MAGIC = b"DACIDS01"
 WIDTHS = (8, 8, 16)  # bits of the levels; 32 in all
 BLOCK = 512  # bits between two entries of a rank directory
 FILE_IDS = 4_000_000  # a file is closed after the document that reaches so many ids
-AT_ONCE = 16  # documents encoded together
-PIECES = 700_000  # pieces of each of two generations that a worker remembers
+BATCH_BYTES = 4_000_000  # of texts encoded together, about
+PIECES = 400_000  # pieces, and words, of each of two generations that a worker remembers
+ODD_SPACES = "[\x1c-\x1f]"  # white space for Arrow, not for the library
 
+_FORMATS = [f"<{n}I" for n in range(64)]
 _DTYPES = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
@@ -121,11 +124,13 @@ class DacFile:
 
 
 class _Library:
-    """The ``tokenizers`` library with a bounded memory of pieces between white space.
+    """The ``tokenizers`` library with bounded memories of pieces between white space and of words.
 
-    The vocabulary's pattern splits letters from all else, so a piece of letters with a full stop or
-    comma is its letters and that mark, and pieces of letters can be encoded many at a time: each
-    ends where a token with the end-of-word suffix does.
+    Texts are cut into pieces and equal pieces of a batch are put together by Arrow, so each
+    different piece is looked up once a batch.  The vocabulary's pattern splits letters from all
+    else and lowers letters, so a piece of letters with a full stop or comma is its letters and that
+    mark, and words of letters can be encoded many at a time: each ends where a token with the
+    end-of-word suffix does.
     """
 
     def __init__(self, path: str):
@@ -139,67 +144,90 @@ class _Library:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.marks = dict(zip(("", ".", ","), self.ids(["", ".", ","]), strict=True))
-        self.memory: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model, self.direct = self.tokenizer.model, False
+        probe = ["a", "of", "token", "unbelievably", "qzxjv"]
+        self.direct = self.letters(probe) == self.ids(probe) == [struct.pack(_FORMATS[len(x)], *[t.id for t in x]) for x in map(self.model.tokenize, probe)]
+        self.marks = self.ids(["", ".", ","])
+        self.memories: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"words": ({}, {}), "pieces": ({}, {})}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         found = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         return [struct.pack(f"<{len(i)}I", *i) for i in found]
 
     def letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only."""
-        (data,) = self.ids([" ".join(words)])
-        stops = ((np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4).tolist()
-        if len(stops) != len(words):
-            return self.ids(words)
-        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-
-    def learn(self, pieces: set[str]) -> None:
-        old = self.old
-        if len(self.memory) > PIECES:
-            self.old, self.memory = self.memory, {}
-        memory = self.memory
-        words, others = {}, []
-        for p in pieces:
-            if (known := old.get(p)) is not None:
-                memory[p] = known
-                continue
-            mark = p[-1] if p[-1] in ".," else ""
-            word = p[:-1] if mark else p
-            if word.isalpha():
-                words.setdefault(word, []).append(mark)
+        """Ids of words of letters only: ASCII ones in lower case go straight to the library's model, if nothing else would change them."""
+        out: list = [None] * len(words)
+        tokenize = self.model.tokenize
+        rest = []
+        for i, w in enumerate(words):
+            if self.direct and w.isascii():
+                ids = [t.id for t in tokenize(w)]
+                out[i] = struct.pack(_FORMATS[len(ids)] if len(ids) < len(_FORMATS) else f"<{len(ids)}I", *ids)
             else:
-                others.append(p)
-        if words:
-            for word, ids in zip(words, self.letters(list(words)), strict=True):
-                for mark in words[word]:
-                    memory[word + mark] = ids + self.marks[mark]
-        if others:
-            memory.update(zip(others, self.ids(others), strict=True))
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Ids of each text and the end id; what is new in any of them is encoded in one go."""
-        get, new, out = self.memory.get, set(), []
-        for text in texts:
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for Python, not for the library
-                out.append(([], self.ids([text]), []))
-                continue
-            pieces = text.split()
-            got = list(map(get, pieces))
-            missing = [i for i, g in enumerate(got) if g is None] if None in got else []
-            new.update(pieces[i] for i in missing)
-            out.append((pieces, got, missing))
-        self.learn(new)
-        memory = self.memory
-        for pieces, got, missing in out:
-            for i in missing:
-                got[i] = memory[pieces[i]]
-            got.append(end)
-        for p in new:
-            if len(p) > LONGEST:
-                del memory[p]
-        return [b"".join(got) for _, got, _ in out]
+                rest.append(i)
+        if rest:
+            (data,) = self.ids([" ".join([words[i] for i in rest])])
+            stops = ((np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4).tolist()
+            found = [data[a:b] for a, b in zip([0, *stops], stops, strict=False)] if len(stops) == len(rest) else self.ids([words[i] for i in rest])
+            for i, x in zip(rest, found, strict=True):
+                out[i] = x
+        return out
+
+    def known(self, names: list[str], make: Callable[[list[str]], list[bytes]], memory: str) -> list[bytes]:
+        """Ids of different words or pieces: remembered ones, else made all in one go."""
+        now, old = self.memories[memory]
+        if len(now) > PIECES:
+            now, old = self.memories[memory] = {}, now
+        out = list(map(now.get, names))
+        missing = [i for i, x in enumerate(out) if x is None]
+        for i in missing:
+            if (x := old.get(names[i])) is not None:
+                out[i] = now[names[i]] = x
+        missing = [i for i in missing if out[i] is None]
+        for i, x in zip(missing, make([names[i] for i in missing]) if missing else [], strict=True):
+            out[i] = x
+            if len(names[i]) <= LONGEST:
+                now[names[i]] = x
+        return out
+
+    def of_pieces(self, pieces: pa.Array) -> list[bytes]:
+        """Ids of different pieces."""
+        dot, comma = pc.ends_with(pieces, "."), pc.ends_with(pieces, ",")
+        word = pc.if_else(pc.or_(dot, comma), pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
+        plain = pc.utf8_is_alpha(word)
+        word = pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word)
+        coded = word.filter(plain).dictionary_encode()
+        words = self.known(coded.dictionary.to_pylist(), self.letters, "words")
+        mark = (dot.to_numpy(zero_copy_only=False) + 2 * comma.to_numpy(zero_copy_only=False).astype(np.int8)).tolist()
+        plain = plain.to_numpy(zero_copy_only=False)
+        out: list = [None] * len(pieces)
+        for i, k in zip(np.flatnonzero(plain).tolist(), coded.indices.to_numpy().tolist(), strict=True):
+            out[i] = words[k] + self.marks[mark[i]] if mark[i] else words[k]
+        rest = np.flatnonzero(~plain)
+        for i, x in zip(rest.tolist(), self.known(pieces.take(pa.array(rest)).to_pylist(), self.ids, "pieces"), strict=True):
+            out[i] = x
+        return out
+
+    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """Ids of each text and the end id."""
+        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD_SPACES).to_numpy(zero_copy_only=False))
+        whole = {int(i): self.ids([texts[i].as_py()])[0] for i in odd}
+        if whole:
+            texts = pc.if_else(pa.array([i in whole for i in range(len(texts))]), "", texts)
+        cut = pc.utf8_split_whitespace(texts)
+        coded = cut.values.dictionary_encode()
+        which = coded.indices.to_numpy()
+        found = self.of_pieces(coded.dictionary)
+        lengths = np.array([len(x) // 4 for x in found], np.int64)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        first = np.cumsum(lengths) - lengths
+        n = lengths[which]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[cut.offsets.to_numpy()]
+        ids = np.insert(ids, cuts[1:], end).astype("<u4")
+        cuts = cuts + np.arange(len(cuts))
+        return [np.append(np.frombuffer(whole[i], "<u4"), np.uint32(end)) if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
 
 
 @lru_cache(4)
@@ -221,30 +249,32 @@ def write_documents(docs: DataFrame, vocab_path: str, to: str, *, end_id: int, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _file_system(to)
         fs.create_dir(folder, recursive=True)
-        library, end = _library(vocab_path), struct.pack("<I", end_id)
+        library = _library(vocab_path)
         context = TaskContext.get()
         part, file = context.partitionId(), 0
         doc_ids, held, n = [], [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, held, n, file
-            starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in held])])
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in held])])
             name = f"{part:06d}-{file:06d}.dac"
             hidden = f"{folder}/_{name}.{context.taskAttemptId()}"
             with fs.open_output_stream(hidden) as f:
-                f.write(pack(np.frombuffer(b"".join(held), "<u4"), doc_ids, starts))
+                f.write(pack(np.concatenate(held), doc_ids, starts))
             fs.move(hidden, f"{folder}/{name}")
             row = pa.RecordBatch.from_pydict({"part": [part], "file": [file], "name": [name], "n_docs": [len(doc_ids)], "n_ids": [n]}, schema=pa.schema([("part", pa.int64()), ("file", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
             doc_ids, held, n, file = [], [], 0, file + 1
             return row
 
         for batch in batches:
-            for a in range(0, batch.num_rows, AT_ONCE):
-                rows = batch.slice(a, AT_ONCE)
-                for doc_id, got in zip(rows.column(0).to_pylist(), library.encode(rows.column(1).to_pylist(), end), strict=True):
+            upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // BATCH_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                rows = batch.slice(a, b - a)
+                for doc_id, got in zip(rows.column(0).to_pylist(), library.encode(rows.column(1), end_id) if b > a else [], strict=True):
                     doc_ids.append(doc_id)
                     held.append(got)
-                    n += len(got) // 4
+                    n += len(got)
                     if n >= file_ids:
                         yield close()
         if doc_ids:
