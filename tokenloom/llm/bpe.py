@@ -5,8 +5,9 @@ an entry whose symbols have meanwhile been merged is stale and skipped.  Decodin
 
 The vocabulary file is JSON as the public ``tokenizers`` library writes it: BPE with an end-of-word
 suffix, text normalised to NFC and lower case, white space dropped, words split by the pattern
-below, bytes shown as printable characters.  No token crosses white space, so encodings are kept
-by white-space-separated piece and by word in bounded tables in each worker.
+below, bytes shown as printable characters.  No token crosses white space, so texts are cut into
+pieces, each different piece of a batch is encoded once, and encodings of words and odd pieces are
+kept in bounded tables in each worker.
 
 Defined results: null text is encoded as the empty text (no ids, decoded to ""); special tokens in
 a text are found before normalisation, as the library does; text of any length is encoded whole;
@@ -26,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -33,10 +35,10 @@ from pyspark.sql import types as T
 #: Fixed values of the format: white space, the word pattern, the end-of-word suffix.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACES + r"\p{L}\p{N}]+"
-#: Pieces (and words) of each of two generations that a worker remembers, and the longest worth remembering.
-REMEMBERED, LONGEST = 200_000, 64
-#: Characters of text after which a batch of results is handed on.
-BATCH_CHARS = 4_000_000
+#: Words (and a third of it other pieces) of each of two generations that a worker remembers, and the longest worth remembering.
+REMEMBERED, LONGEST = 300_000, 64
+#: Bytes of text that are encoded together and handed on, about.
+BATCH_BYTES = 8_000_000
 
 
 def byte_names() -> list[str]:
@@ -49,10 +51,10 @@ def byte_names() -> list[str]:
 class Memory(dict):
     """``make(key)`` of the keys asked for lately: two generations of bounded size."""
 
-    def __init__(self, make: Callable[[str], bytes], size: int = REMEMBERED):
+    def __init__(self, make: Callable, size: int = REMEMBERED):
         self.make, self.size, self.old = make, size, {}
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str | bytes) -> bytes | str:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
@@ -85,7 +87,7 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.spaces = regex.compile(f"[{SPACES}]+")
         self.odd = regex.compile("[\x1c-\x1f]")
-        self.word_ids, self.piece_ids = Memory(self.word), Memory(self.piece)
+        self.word_ids, self.piece_ids, self.shown = Memory(self.word), Memory(self.piece, REMEMBERED // 3), Memory(self.decode)
 
     def merge(self, s: list[int]) -> list[int]:
         """Apply merges in order of rank, leftmost first."""
@@ -96,20 +98,21 @@ class Bpe:
         if not heap:
             return s
         heapq.heapify(heap)
+        pop, push, left, right, merged = heapq.heappop, heapq.heappush, self.left, self.right, self.merged
         before, after = list(range(-1, n)), list(range(1, n + 1))
         while heap:
-            entry = heapq.heappop(heap)
+            entry = pop(heap)
             i, r = entry & mask, entry >> bits
             j = after[i]
-            if s[i] != self.left[r] or j >= n or s[j] != self.right[r]:
+            if s[i] != left[r] or j >= n or s[j] != right[r]:
                 continue  # stale
-            s[i], s[j] = self.merged[r], -1
+            s[i], s[j] = merged[r], -1
             after[i] = k = after[j]
             before[k] = i
             if k < n and (r := rank_of(s[i] << 32 | s[k])) is not None:
-                heapq.heappush(heap, r << bits | i)
+                push(heap, r << bits | i)
             if (h := before[i]) >= 0 and (r := rank_of(s[h] << 32 | s[i])) is not None:
-                heapq.heappush(heap, r << bits | h)
+                push(heap, r << bits | h)
         return [x for x in s if x >= 0]
 
     def word(self, word: str) -> bytes:
@@ -130,6 +133,43 @@ class Bpe:
     def pieces(self, text: str) -> list[str]:
         return self.spaces.split(text) if self.odd.search(text) else text.split()
 
+    def of_pieces(self, pieces: pa.Array) -> list[bytes]:
+        """Ids of different pieces; an ASCII word, perhaps with a full stop or comma, is looked up as a word at once."""
+        dot, comma = pc.ends_with(pieces, "."), pc.ends_with(pieces, ",")
+        word = pc.if_else(pc.or_(dot, comma), pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
+        plain = pc.and_(pc.utf8_is_alpha(word), pc.string_is_ascii(word))
+        coded = pc.ascii_lower(word.filter(plain)).dictionary_encode()
+        words = list(map(self.word_ids.__getitem__, coded.dictionary.to_pylist()))
+        mark = (dot.to_numpy(zero_copy_only=False) + 2 * comma.to_numpy(zero_copy_only=False).astype(np.int8)).tolist()
+        plain, marks = plain.to_numpy(zero_copy_only=False), [b"", self.word_ids["."], self.word_ids[","]]
+        out: list = [None] * len(pieces)
+        for i, k in zip(np.flatnonzero(plain).tolist(), coded.indices.to_numpy().tolist(), strict=True):
+            out[i] = words[k] + marks[mark[i]] if mark[i] else words[k]
+        rest = np.flatnonzero(~plain)
+        for i, p in zip(rest.tolist(), pieces.take(pa.array(rest)).to_pylist(), strict=True):
+            out[i] = self.piece_ids[p]
+        return out
+
+    def encode_all(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids (binary) and what they decode to, of each text; pieces that are equal are looked up once."""
+        odd = np.flatnonzero(pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)).tolist()  # white space for Arrow, not here
+        whole = {i: self.encode(texts[i].as_py()) for i in odd}
+        if whole:
+            texts = pc.if_else(pa.array([i in whole for i in range(len(texts))]), "", texts)
+        cut = pc.utf8_split_whitespace(texts)
+        coded = cut.values.dictionary_encode()
+        found, which = self.of_pieces(coded.dictionary), coded.indices.to_numpy()
+        lengths = np.array([len(x) for x in found], np.int64)
+        some = lengths[which] > 0  # blanks at the ends of a text give empty pieces
+        begin = np.concatenate([[0], np.cumsum(some)])[cut.offsets.to_numpy()].astype(np.int32)
+        which = pa.array(which[some])
+        ids = pc.binary_join(pa.ListArray.from_arrays(begin, pa.array(found, pa.binary()).take(which)), b"")
+        decoded = pc.binary_join(pa.ListArray.from_arrays(begin, pa.array(map(self.shown.__getitem__, found), pa.string()).take(which)), " ")
+        if whole:
+            ids = pa.array([whole.get(i, x) for i, x in enumerate(ids.to_pylist())], pa.binary())
+            decoded = pa.array([self.decode(whole[i]) if i in whole else x for i, x in enumerate(decoded.to_pylist())], pa.string())
+        return ids, decoded
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
         return b"".join(map(self.piece_ids.__getitem__, self.pieces(text)))
@@ -155,18 +195,14 @@ def encode_documents(docs: DataFrame, vocab_path: str, *, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocab_path)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                ids, decoded, chars, end = [], [], 0, at
-                while end < batch.num_rows and chars < BATCH_CHARS:
-                    text = batch.column(n)[end].as_py() or ""
-                    ids.append(bpe.encode(text))
-                    decoded.append(bpe.decode(ids[-1]))
-                    chars += len(text)
-                    end += 1
-                part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n)], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
-                at = end
+            texts = pc.fill_null(batch.column(n), "")
+            upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // BATCH_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    ids, decoded = bpe.encode_all(texts.slice(a, b - a))
+                    part = batch.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n)], ids, decoded], names=[*names, "ids", "decoded"])
 
     names = list(keep)
     kept = docs.select(*keep)
