@@ -287,19 +287,19 @@ def _join(first: bool):
     return run
 
 
-def _exchanged(sent: DataFrame, first: bool) -> DataFrame:
+def _exchanged(sent: DataFrame, first: bool, shards: int) -> DataFrame:
     added = map_groups(sent, ["range"], _add(first), "shard bigint, range bigint, data binary")
-    return stash(map_groups(added, ["shard"], _join(first), "shard bigint, totals binary"), "context-totals")
+    return bucketed(map_groups(added, ["shard"], _join(first), "shard bigint, totals binary"), "shard", shards)
 
 
-def count_contexts(tables: DataFrame, ranges: int) -> DataFrame:
+def count_contexts(tables: DataFrame, shards: int) -> DataFrame:
     """shard, totals: customers and pairs of the contexts of each shard (shard, words), summed over all shards, and their numbers."""
-    return _exchanged(tables.mapInArrow(_send(ranges), "range bigint, shard bigint, data binary"), True)
+    return _exchanged(tables.mapInArrow(_send(shards), "range bigint, shard bigint, data binary"), True, shards)
 
 
-def count_tables(seated: DataFrame) -> DataFrame:
+def count_tables(seated: DataFrame, shards: int) -> DataFrame:
     """shard, totals: tables of the contexts of each shard, summed over all shards, for each sample.  ``seated``: shard, words, held, seats."""
-    return _exchanged(seated.select("shard", "words", "held", "seats").mapInArrow(_send_tables, "range bigint, shard bigint, data binary"), False)
+    return _exchanged(seated.select("shard", "words", "held", "seats").mapInArrow(_send_tables, "range bigint, shard bigint, data binary"), False, shards)
 
 
 def _total(df: DataFrame, col: str, of: Callable[[bytes], np.ndarray] = lambda x: np.frombuffer(x, float)) -> np.ndarray | None:
@@ -650,16 +650,16 @@ def score(docs: DataFrame, learned: Column, *, id_col: str = "doc_id", text_col:
     sums = np.zeros(_HEAD + 1) if sums is None else sums
 
     def sampled(rows: DataFrame, all_tables: float, parent_tables: float, burn_in: int, samples: int, sweep: int) -> tuple[DataFrame, np.ndarray]:
-        got = stash(rows.mapInArrow(_sample(sums, all_tables, parent_tables, burn_in, samples, sweep), "shard bigint, seats binary, totals binary"), "seats")
+        got = bucketed(rows.mapInArrow(_sample(sums, all_tables, parent_tables, burn_in, samples, sweep), "shard bigint, seats binary, totals binary"), "shard", shards)
         total = _total(got, "totals")
         return got.select("shard", "seats"), np.zeros((samples, 2)) if total is None else total.reshape(samples, 2)
 
     counts = count_contexts(whole, shards)
     held_by = counts.withColumnRenamed("totals", "held")
     seats, totals = sampled(whole.join(counts, "shard"), sums[_PAIRS], sums[_V], BURN_IN, 1, 0)
-    sat_by = count_tables(whole.join(held_by, "shard").join(seats, "shard"))
+    sat_by = count_tables(whole.join(held_by, "shard").join(seats, "shard"), shards)
     seats, totals = sampled(whole.join(sat_by, "shard").join(seats, "shard"), *totals[0], BURN_IN, SAMPLES, BURN_IN + 1)
-    sat_by = count_tables(whole.join(held_by, "shard").join(seats, "shard"))
+    sat_by = count_tables(whole.join(held_by, "shard").join(seats, "shard"), shards)
     # Everything small is joined first: the occurrences go through a single join.
     known = seats.join(held_by, "shard").join(sat_by.withColumnRenamed("totals", "sat"), "shard")
     if several:
