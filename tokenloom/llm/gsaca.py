@@ -65,7 +65,7 @@ def suffix_array(text: list[int]) -> list[int]:
         by_copies: dict[int, list[int]] = {}
         for p, c in copies.items():
             by_copies.setdefault(c, []).append(p)
-        for c in sorted(by_copies, reverse=True):
+        for c in sorted(by_copies, reverse=True) if len(by_copies) > 1 else by_copies:
             for p in by_copies[c]:
                 h = group[p]
                 size[h] -= 1

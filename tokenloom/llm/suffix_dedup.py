@@ -397,15 +397,13 @@ def _apply(length: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 b = _Block(batch, k)
-                drop = np.zeros(len(b.data) + 1, np.int64)
+                begins = np.zeros(len(b.data) + length, np.int32)  # windows to remove, ``length`` places later
                 for data in batch.column("marks")[k].as_py() or []:
                     start, mask = load(data)
-                    for w in range(64):
-                        at = start[(mask >> _U(w) & _U(1)).astype(bool)].astype(np.int64) + w
-                        if len(at):
-                            np.add.at(drop, at, 1)
-                            np.add.at(drop, at + length, -1)
-                gone = np.cumsum(drop)[:-1] > 0
+                    row, bit = np.nonzero(np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                    begins[start[row].astype(np.int64) + bit + length] = 1
+                begun = np.cumsum(begins, dtype=np.int32)
+                gone = begun[length:] > begun[: len(b.data)]  # one begins here or less than ``length`` places before
                 rows: list[list] = [[], [], [], []]
                 for i in range(len(b.ids)):
                     s, e = int(b.starts[i]), int(b.starts[i + 1])
