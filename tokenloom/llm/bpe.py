@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 #: Fixed values of the format: white space, the word pattern, the end-of-word suffix.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACES + r"\p{L}\p{N}]+"
-#: Words (and a third of it other pieces) of each of two generations that a worker remembers, and the longest worth remembering.
-REMEMBERED, LONGEST = 300_000, 64
+#: Words (and a third as many other pieces, and decoded pieces) of each of two generations that a worker remembers, and the longest worth remembering.
+REMEMBERED, LONGEST = 250_000, 64
 #: Bytes of text that are encoded together and handed on, about.
 BATCH_BYTES = 8_000_000
 
@@ -87,7 +87,7 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.spaces = regex.compile(f"[{SPACES}]+")
         self.odd = regex.compile("[\x1c-\x1f]")
-        self.word_ids, self.piece_ids, self.shown = Memory(self.word), Memory(self.piece, REMEMBERED // 3), Memory(self.decode)
+        self.word_ids, self.piece_ids, self.shown = Memory(self.word), Memory(self.piece, REMEMBERED // 3), Memory(self.decode, REMEMBERED // 3)
 
     def merge(self, s: list[int]) -> list[int]:
         """Apply merges in order of rank, leftmost first."""
