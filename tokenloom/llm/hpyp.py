@@ -59,9 +59,9 @@ from xxhash import xxh3_64_intdigest
 from tokenloom.llm.common import bucketed, dump, free_shuffles, load, narrow, stash
 from tokenloom.llm.components import map_groups
 
-BLOCK_BYTES = 8_000_000
-SHARD_CHARS = 12_000_000  # text for each shard
-CELL_CHARS = 20_000_000  # text whose occurrences of a shard's words are held together
+BLOCK_BYTES = 16_000_000
+SHARD_CHARS = 6_000_000  # text for each shard
+CELL_CHARS = 10_000_000  # text whose occurrences of a shard's words are held together
 CELLS = 1 << 20  # most cells of a shard
 TASKS = 4  # tasks to a shard that gather cells, so few of them meet in one
 GROUPS = 4
