@@ -147,3 +147,64 @@ passing AS (SELECT lang, rule, k FROM (SELECT *, bool_and(tail <= level) OVER (P
 cut AS (SELECT lang, rule, max(k) AS k FROM passing GROUP BY ALL),
 failed AS (SELECT DISTINCT y.r FROM y JOIN cut ON y.lang IS NOT DISTINCT FROM cut.lang AND y.rule = cut.rule AND y.k = cut.k WHERE beyond)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed.r IS NULL AS kept FROM m LEFT JOIN failed USING (r)"""
+
+
+def turn_trie() -> str:
+    """Every prefix as a list of turns, and every node's sums over the prefixes that begin with it."""
+    return """
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+turns AS (SELECT *, dense_rank() OVER (ORDER BY role, text) AS id FROM own),
+bits AS (
+  SELECT c, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: list_prepend(CAST(ord(x) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v
+  FROM (SELECT DISTINCT c FROM own)
+),
+convs AS (SELECT c, c - c % 5 AS b, xor(v, 4294967295) % 9 AS h FROM bits),
+lists AS (SELECT c, list(id ORDER BY k) AS ids FROM turns GROUP BY c),
+whole AS (
+  SELECT n.c, coalesce(x.ids[1:n.h], CAST([] AS BIGINT[])) || o.ids[n.h + 1:] AS ids
+  FROM convs n JOIN lists o USING (c) LEFT JOIN lists x ON x.c = n.b
+),
+sized AS (SELECT id, any_value(octet_length(encode(text))) AS n_bytes FROM turns GROUP BY id),
+steps AS (SELECT c, d, ids[1:d] AS p, CASE WHEN d > 0 THEN ids[1:d - 1] END AS q, len(ids) = d AS ended, ids[d] AS id FROM whole, unnest(range(len(ids) + 1)) t(d)),
+nodes AS (
+  SELECT p, any_value(q) AS q, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256, any_value(id) AS id
+  FROM steps GROUP BY p
+),
+weighed AS (SELECT n.*, (n_convs - 1) * coalesce(n_bytes, 0) AS own_saved, p NOT IN (SELECT q FROM nodes WHERE q IS NOT NULL) AS leaf FROM nodes n LEFT JOIN sized USING (id)),
+sums AS (SELECT p[1:e] AS p, count(*) FILTER (leaf) AS n_leaves, sum(own_saved) AS saved, count(*) FILTER (d = e + 1) AS n_children FROM weighed, unnest(range(d + 1)) t(e) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s USING (p) LEFT JOIN nodes up ON up.p = n.q"""
+
+
+def centroid_clusters() -> str:
+    """All distances, in plain integers, for three rounds and once more."""
+    rounds = ""
+    for k in range(4):
+        rounds += f"""
+a{k} AS (
+  SELECT row, vec_id, q, arg_min(number, (distance, number)) AS cluster, min(distance) AS distance
+  FROM (SELECT row, vec_id, v.q, number, list_sum(list_transform(list_zip(v.q, c.q), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS HUGEINT))) AS distance FROM v, c{k} c) GROUP BY ALL HAVING true
+),"""
+        if k < 3:
+            rounds += f"""
+m{k} AS (SELECT cluster, i, CAST(sum(q[i]) AS HUGEINT) AS s, count(*) AS n FROM a{k}, range(1, 65) t(i) GROUP BY ALL),
+f{k} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM m{k} GROUP BY cluster),
+c{k + 1} AS (SELECT number, coalesce(f.q, c.q) AS q FROM c{k} c LEFT JOIN f{k} f ON f.cluster = c.number),"""
+    rounds = rounds.replace("row, vec_id, q, arg_min", "row, any_value(vec_id) AS vec_id, any_value(q) AS q, arg_min").replace("GROUP BY ALL HAVING true", "GROUP BY row")
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS number, q FROM v QUALIFY number < 16),{rounds}
+w AS (SELECT cluster, sum(distance) AS within FROM a3 GROUP BY cluster)
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(within AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(within) FROM w) AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a3 a JOIN w USING (cluster) JOIN c3 c ON c.number = a.cluster"""
