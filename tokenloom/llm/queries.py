@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bagminhash, bpe, caps, centroids, dac, hpyp, langid, mixing, oracles, quality, secrets, suffix_dedup, turn_trie
+from tokenloom.llm import bagminhash, bpe, caps, centroids, dac, hpyp, langid, mixing, oracles, quality, secrets, suffix_dedup, toxicity, turn_trie
 from tokenloom.llm.common import crc32_of_id, table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +67,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc32_of_id() % 5 == 0, F.lit(False))
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out).select("doc_id", "toxic"))
+    return toxicity.score(docs, model, keep=["doc_id", held_out.alias("held_out")])
+
+
 def op12_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -76,7 +83,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("id", "vec_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hpyp_score, op2_cap_filters, op3_dac_tokens, op4_secret_scan, op5_language_id, op6_suffix_dedup, op7_source_mix, op8_bag_minhash, op9_bpe, op10_quality_rules, op12_turn_trie, op13_centroids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hpyp_score, op2_cap_filters, op3_dac_tokens, op4_secret_scan, op5_language_id, op6_suffix_dedup, op7_source_mix, op8_bag_minhash, op9_bpe, op10_quality_rules, op11_toxicity, op12_turn_trie, op13_centroids)}
 
 ORACLES: dict[str, str] = {
     "op2_cap_filters": oracles.near_vectors(),
