@@ -73,6 +73,28 @@ def in_blocks(rows: DataFrame, keys: list[str], id_col: str, total: int, size: i
     return dealt.select(*rows.columns, "own", F.least("own", "other").alias("block_i"), F.greatest("own", "other").alias("block_j"))
 
 
+def whole(held: list[pa.RecordBatch], most: int | None = None) -> pa.RecordBatch:
+    """Batches as one.  Columns of over 2 GB of text or bytes do not fit one batch (``most``: rows that do, for tests); they get 64-bit offsets."""
+    if len(held) == 1:
+        return held[0]
+    table = pa.Table.from_batches(held)
+    got = table.combine_chunks().to_batches(max_chunksize=most)
+    if len(got) > 1:
+        wide = {pa.string(): pa.large_string(), pa.binary(): pa.large_binary()}
+        got = table.cast(pa.schema([f.with_type(wide.get(f.type, f.type)) for f in table.schema])).combine_chunks().to_batches()
+    if len(got) != 1:
+        raise ValueError(f"a group of {table.num_rows} rows does not fit one batch")
+    return got[0]
+
+
+def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Columns with 64-bit offsets as Spark takes them; an error, not a loss, where they are too long."""
+    slim = {pa.large_string(): pa.string(), pa.large_binary(): pa.binary()}
+    if not any(f.type in slim for f in batch.schema):
+        return batch
+    return batch.cast(pa.schema([f.with_type(slim.get(f.type, f.type)) for f in batch.schema]))
+
+
 def map_groups(rows: DataFrame, keys: list[str], run: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, partitions: int | None = None) -> DataFrame:
     """Apply ``run`` to each group of ``keys``: dealt by hash, sorted, cut in a stream (thousands of small groups a task).
 
@@ -87,9 +109,9 @@ def map_groups(rows: DataFrame, keys: list[str], run: Callable[[pa.RecordBatch],
 
         def full() -> Iterator[pa.RecordBatch]:
             if held:
-                got = run(pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0])
+                got = run(whole(held))
                 if got is not None and got.num_rows:
-                    yield got
+                    yield plain(got)
 
         for batch in batches:
             if not batch.num_rows:

@@ -41,6 +41,8 @@ _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
 def ngram_counts(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Hashed n-grams of a text and how often each occurs; None if it has no letter."""
     words = _LETTERS.findall((text or "").lower())
+    if words and not "".join(words).isalpha():  # numbers such as "½" are part of words for ``re``, but no letters
+        words = [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
     if not words:
         return None
     a = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
