@@ -5,7 +5,6 @@ import pytest
 
 from tokenloom.operators import kernels as K
 from tokenloom.plans import generation
-from tokenloom.streaming.decode import decode_stream
 from tokenloom.streaming.once import once
 
 rng = np.random.default_rng(0)
@@ -104,24 +103,6 @@ def test_log_once_in_a_stream(spark, tmp_path):
     assert spark.table("once").count() == 2
 
 
-def test_incremental_decode(spark, tmp_path):
-    from tokenloom.operators.attention import attend
-
-    x = rng.normal(size=(2, 6, 4))
-    for part, (a, b) in enumerate(((0, 2), (2, 3), (3, 6))):
-        spark.createDataFrame([(s, p, x[s, p].tolist()) for s in range(2) for p in range(a, b)], "sample_id long, pos long, vec array<double>").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{part}")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = spark.readStream.schema("sample_id long, pos long, vec array<double>").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
-        q = decode_stream(stream).writeStream.format("memory").queryName("decoded").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c").start()
-        q.awaitTermination(180)
-        got = {(r["sample_id"], r["pos"]): r["out"] for r in spark.table("decoded").collect()}
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    for s in range(2):
-        assert np.allclose([got[s, p] for p in range(6)], attend(x[s], x[s], x[s], True))
-
-
 def test_images(spark):
     flat = np.full((9, 13, 3), 77, np.uint8)
     assert (K.resize_bicubic(flat, 4, 30) == 77).all()

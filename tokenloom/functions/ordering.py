@@ -10,17 +10,29 @@ apart by where they came from, so they spread over ranges like any others.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _PLACE_BITS = 33  # of a monotonically increasing id, below the number of the partition
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder of ``spark.checkpoint.dir``; a local one only where all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tokenloom-')}"
+    return f"{root.rstrip('/')}/tokenloom/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written under the shared folder of ``spark.checkpoint.dir``; a folder of our own only where all runs in one process."""
     spark, sc = df.sparkSession, df.sparkSession.sparkContext

@@ -154,18 +154,18 @@ def _rms(dst: str, src: str, salt: int) -> str:
     return f"{dst} AS (SELECT id, i, v / sqrt(avg(v * v) OVER (PARTITION BY id) + 1e-6) * (1 + {_b('i', salt)}) AS v FROM {src})"
 
 
-def _rotated(dst: str, src: str) -> str:
-    """Heads of four, halves of two; the position is id % 8."""
-    angle = f"((id % {_LONG}) * power(10000.0, -(i % 2) / 2.0))"
+def _rotated(dst: str, src: str, long: int = _LONG) -> str:
+    """Heads of four, halves of two; the position is id % ``long``."""
+    angle = f"((id % {long}) * power(10000.0, -(i % 2) / 2.0))"
     other = "CASE WHEN a.i % 4 < 2 THEN -b.v ELSE b.v END"
     return f"{dst} AS (SELECT a.id, a.i, a.v * cos(a.angle) + {other} * sin(a.angle) AS v FROM (SELECT *, {angle} AS angle FROM {src}) a JOIN {src} b ON a.id = b.id AND b.i = a.i // 4 * 4 + (a.i % 4 + 2) % 4)"
 
 
-def _decoder(salt: int, x: str, y: str) -> list[str]:
-    p = f"L{salt}"
+def _decoder(salt: int, x: str, y: str, long: int = _LONG, tag: str = "") -> list[str]:
+    p = f"L{tag}{salt}"
     return [
-        _rms(f"{p}n", x, salt), _linear(f"{p}q0", f"{p}n", 8, salt + 1, False), _linear(f"{p}k0", f"{p}n", 4, salt + 2, False), _linear(f"{p}v", f"{p}n", 4, salt + 3, False), _rotated(f"{p}q", f"{p}q0"), _rotated(f"{p}k", f"{p}k0"),
-        f"{p}s AS (SELECT q.id, k.id AS kid, q.i // 4 AS h, sum(q.v * k.v) / 2 AS s FROM {p}q q JOIN {p}k k ON q.id // {_LONG} = k.id // {_LONG} AND k.id <= q.id AND k.i = q.i % 4 GROUP BY ALL)",
+        _rms(f"{p}n", x, salt), _linear(f"{p}q0", f"{p}n", 8, salt + 1, False), _linear(f"{p}k0", f"{p}n", 4, salt + 2, False), _linear(f"{p}v", f"{p}n", 4, salt + 3, False), _rotated(f"{p}q", f"{p}q0", long), _rotated(f"{p}k", f"{p}k0", long),
+        f"{p}s AS (SELECT q.id, k.id AS kid, q.i // 4 AS h, sum(q.v * k.v) / 2 AS s FROM {p}q q JOIN {p}k k ON q.id // {long} = k.id // {long} AND k.id <= q.id AND k.i = q.i % 4 GROUP BY ALL)",
         f"{p}p AS (SELECT *, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS p FROM {p}s WINDOW w AS (PARTITION BY id, h))",
         f"{p}a AS (SELECT p.id, p.h * 4 + v.i AS i, sum(p.p * v.v) AS v FROM {p}p p JOIN {p}v v ON v.id = p.kid GROUP BY ALL)",
         _linear(f"{p}o", f"{p}a", 8, salt + 4, False), _both(f"{p}x", x, f"{p}o", "x.v + y.v"), _rms(f"{p}m", f"{p}x", salt + 5),

@@ -1,35 +1,181 @@
-"""Incremental decoding as keyed state: each sample's keys and values are appended, never recomputed."""
+"""Incremental decoding with a key-value cache as keyed state.
+
+The cache of a sequence is map state keyed by (branch and layer, block of positions): a step writes one block
+of each layer and folds the stored blocks into a running softmax one at a time, so a task holds one block
+whatever the length of the sequence, and nothing that was computed is computed again.  ``decode_stream`` takes
+the rows of sequences as they come; ``generate_stream`` is the whole loop: the guidance branches of a sample are
+read, each step puts their last outputs together, makes a token of them, and feeds it to all branches.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tokenloom.operators.attention import attend
+from tokenloom.operators import kernels as K
+from tokenloom.operators.tiled import fold
+
+#: Positions of a block of the cache.
+CACHE_BLOCK = 64
+#: Positions that go through the layers together.
+PREFILL = 256
+
+
+class Cache:
+    """Keys and values of all layers of one sequence, in blocks, behind any map of (layer, block) to lists."""
+
+    def __init__(self, state, kv_heads: int, block: int = CACHE_BLOCK, first: int = 0):
+        """``first``: number of the first layer in the state, where several branches share it."""
+        self.state, self.kv_heads, self.block, self.first = state, kv_heads, block, first
+
+    def read(self, layer: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, kv_heads, width) of keys and of values of a block."""
+        if not self.state.containsKey((self.first + layer, b)):
+            return np.zeros((0, self.kv_heads, 0)), np.zeros((0, self.kv_heads, 0))
+        n, k, v = self.state.getValue((self.first + layer, b))
+        return np.array(k, float).reshape(n, self.kv_heads, -1), np.array(v, float).reshape(n, self.kv_heads, -1)
+
+    def append(self, layer: int, at: int, k: np.ndarray, v: np.ndarray) -> None:
+        """Rows for positions at, at + 1, ...; only the blocks they fall in are written."""
+        for b in range(at // self.block, (at + len(k) - 1) // self.block + 1):
+            first = max(at, b * self.block)
+            last = min(at + len(k), (b + 1) * self.block)
+            new_k, new_v = k[first - at : last - at], v[first - at : last - at]
+            if first > b * self.block:
+                old_k, old_v = self.read(layer, b)
+                new_k, new_v = np.concatenate([old_k, new_k]), np.concatenate([old_v, new_v])
+            self.state.updateValue((self.first + layer, b), (len(new_k), new_k.ravel().tolist(), new_v.ravel().tolist()))
+
+    def attend(self, layer: int, q: np.ndarray, at: int) -> np.ndarray:
+        """(queries, heads, width): queries of positions at, at + 1, ... over all keys up to their own."""
+        n, heads, width = q.shape
+        per = heads // self.kv_heads
+        states: list = [None] * heads
+        for b in range((at + n - 1) // self.block + 1):
+            k, v = self.read(layer, b)
+            seen = b * self.block + np.arange(len(k)) <= at + np.arange(n)[:, None]
+            for h in range(heads):
+                scores = np.where(seen, q[:, h] @ k[:, h // per].T / np.sqrt(width), -np.inf)
+                states[h] = fold(states[h], scores, v[:, h // per])
+        return np.stack([total / weight[:, None] for _, weight, total in states], axis=1)
 
 
-class _Append(StatefulProcessor):
-    """Attention of each new position over all of its sample so far."""
+class DictState(dict):
+    """A plain map in place of keyed state, for batches and tests."""
+
+    containsKey = dict.__contains__  # noqa: N815
+    getValue = dict.__getitem__  # noqa: N815
+    updateValue = dict.__setitem__  # noqa: N815
+
+
+def decode_step(x: np.ndarray, at: int, cache: Cache, w: K.Weights, layers: int, heads: int) -> np.ndarray:
+    """Hidden states of new rows x at positions at, at + 1, ..., through all layers and the final norm."""
+    pos = at + np.arange(len(x))
+    for layer in range(layers):
+        name = f"layer{layer}"
+        h = K.rms_norm(x, w[f"{name}.norm1.w"])
+        q, k, v = (K.linear(h, w, f"{name}.{p}") for p in "qkv")
+        d = q.shape[1] // heads
+        turned = [np.stack([K.rotate(a[:, j * d : (j + 1) * d], pos) for j in range(a.shape[1] // d)], axis=1) for a in (q, k)]
+        cache.append(layer, at, turned[1], v.reshape(len(x), -1, d))
+        x = x + K.linear(cache.attend(layer, turned[0], at).reshape(len(x), -1), w, f"{name}.o")
+        x = x + K.gated_mlp(K.rms_norm(x, w[f"{name}.norm2.w"]), w, f"{name}.mlp")
+    return K.rms_norm(x, w["norm.w"])
+
+
+class _Decode(StatefulProcessor):
+    """Rows of a sequence in order of position, a step at a time; ``most`` rows go through the layers together."""
+
+    def __init__(self, weights: K.Weights, layers: int, heads: int, kv_heads: int, block: int, most: int):
+        self.weights, self.layers, self.heads, self.kv_heads, self.block, self.most = weights, layers, heads, kv_heads, block, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getListState("seen", "pos long, vec array<double>")
+        self.blocks = handle.getMapState("blocks", "layer int, block int", "n int, k array<double>, v array<double>")
+        self.next = handle.getValueState("next", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        old = list(self.seen.get())
-        new = sorted(((int(p), list(v)) for pdf in rows for p, v in zip(pdf["pos"], pdf["vec"], strict=True)), key=lambda x: x[0])
-        x = np.array([r[1] for r in old] + [v for _, v in new], float)
-        self.seen.appendList([(p, v) for p, v in new])
-        out = attend(x[len(old) :], x, x, True, len(old))
-        yield pd.DataFrame({"sample_id": [key[0]] * len(new), "pos": [p for p, _ in new], "out": [o.tolist() for o in out]})
+        new = pd.concat(list(rows)).sort_values("pos", kind="stable")
+        at = self.next.get()[0] if self.next.exists() else 0
+        if len(new) and new["pos"].tolist() != list(range(at, at + len(new))):
+            raise ValueError(f"positions of {key} must follow {at - 1} without a gap")
+        cache = Cache(self.blocks, self.kv_heads, self.block)
+        for a in range(0, len(new), self.most):
+            part = new.iloc[a : a + self.most]
+            out = decode_step(np.array(part["vec"].tolist(), float), at + a, cache, self.weights, self.layers, self.heads)
+            yield pd.DataFrame({"sample_id": key[0], "branch": key[1], "pos": part["pos"].to_numpy(), "out": list(out)})
+        self.next.update((at + len(new),))
 
     def close(self) -> None:
         pass
 
 
-def decode_stream(tokens: DataFrame) -> DataFrame:
-    """sample_id, pos, out for a stream (or table) of sample_id, pos, vec that arrives in order of pos."""
-    return tokens.groupBy("sample_id").transformWithStateInPandas(_Append(), "sample_id long, pos long, out array<double>", "Append", "None")
+def decode_stream(tokens: DataFrame, weights: K.Weights, *, layers: int, heads: int, kv_heads: int, block: int = CACHE_BLOCK, most: int = PREFILL) -> DataFrame:
+    """sample_id, branch, pos, out for a stream (or table) of sample_id, branch, pos, vec (hidden width).
+
+    In a stream each micro-batch brings the next positions of some sequences; a table is one batch that brings all.
+    """
+    processor = _Decode(K.check_size(weights), layers, heads, kv_heads, block, most)
+    return tokens.groupBy("sample_id", "branch").transformWithStateInPandas(processor, "sample_id long, branch long, pos long, out array<double>", "Append", "None")
+
+
+class _Generate(StatefulProcessor):
+    """A sample with all its branches; rows with ``make`` ask for that many more tokens."""
+
+    def __init__(self, weights: K.Weights, layers: int, heads: int, kv_heads: int, block: int, token: Callable, embed: Callable):
+        self.weights, self.layers, self.heads, self.kv_heads, self.block, self.token, self.embed = weights, layers, heads, kv_heads, block, token, embed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.blocks = handle.getMapState("blocks", "layer int, block int", "n int, k array<double>, v array<double>")
+        self.branches = handle.getMapState("branches", "branch int", "at long, last array<double>")
+        self.made = handle.getValueState("made", "n long")
+
+    def step(self, branch: int, x: np.ndarray) -> np.ndarray:
+        """Feeds rows x to a branch; its last output is remembered."""
+        at = self.branches.getValue((branch,))[0] if self.branches.containsKey((branch,)) else 0
+        cache = Cache(self.blocks, self.kv_heads, self.block, branch * self.layers)
+        out = decode_step(x, at, cache, self.weights, self.layers, self.heads)[-1]
+        self.branches.updateValue((branch,), (at + len(x), out.tolist()))
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        for branch, part in new[new["pos"].notna()].sort_values(["branch", "pos"], kind="stable").groupby("branch"):
+            for a in range(0, len(part), PREFILL):
+                self.step(int(branch), np.array(part["vec"].iloc[a : a + PREFILL].tolist(), float))
+        made = self.made.get()[0] if self.made.exists() else 0
+        last = {int(k[0]): np.array(v[1]) for k, v in self.branches.iterator()}
+        tokens = []
+        for n in range(made, made + int(new["make"].fillna(0).sum()) if last else made):
+            tokens.append(self.token(np.stack([last[b] for b in sorted(last)]), key[0], n))
+            x = np.asarray(self.embed(tokens[-1]), float)[None]
+            last = {b: self.step(b, x) for b in last}
+        self.made.update((made + len(tokens),))
+        if tokens:
+            yield pd.DataFrame({"sample_id": [key[0]] * len(tokens), "step": range(made, made + len(tokens)), "token": tokens})
+
+    def close(self) -> None:
+        pass
+
+
+def generate_stream(rows: DataFrame, weights: K.Weights, *, layers: int, heads: int, kv_heads: int, token: Callable[[np.ndarray, int, int], np.ndarray], embed: Callable[[np.ndarray], np.ndarray], block: int = CACHE_BLOCK) -> DataFrame:
+    """sample_id, step, token: the decode loop over a stream (or table) of sample_id, branch, pos, vec, make.
+
+    Rows with a ``pos`` are the beginnings of branches, in order; rows whose ``make`` is set (the others may be null) ask for
+    as many more tokens of the sample, in this or a later micro-batch.  ``token``: (last outputs of the branches as rows, sample,
+    step) to a token; ``embed``: a token to the input of the next position.
+    """
+    processor = _Generate(K.check_size(weights), layers, heads, kv_heads, block, token, embed)
+    return rows.groupBy("sample_id").transformWithStateInPandas(processor, "sample_id long, step long, token array<double>", "Append", "None")
+
+
+def guided(outputs: np.ndarray, cfg: float, cfg_img: float = 1.0) -> np.ndarray:
+    """Outputs of one, two (condition, none) or three (condition, image condition, none) branches put together."""
+    if len(outputs) == 1:
+        return outputs[0]
+    if len(outputs) == 2:
+        return outputs[1] + cfg * (outputs[0] - outputs[1])
+    return outputs[2] + cfg_img * (outputs[1] - outputs[2]) + cfg * (outputs[0] - outputs[1])
