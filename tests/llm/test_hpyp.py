@@ -1,15 +1,80 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from fixtures import no_documents, odd_documents, rows
 from pyspark.sql import functions as F
 
 from tokenloom.llm import common, hpyp, queries
 
-_U7 = np.array([7], np.uint64)
+class Seating:
+    """Customers of many dishes at tables, one by one."""
+
+    def __init__(self, customers: np.ndarray, rng: np.random.Generator):
+        self.n, self.rng = customers.astype(np.int64), rng
+        self.first = np.cumsum(self.n) - self.n
+        self.table = np.arange(self.n.sum())  # table of each customer: one of the places of its dish
+        self.size = np.ones(len(self.table), np.int64)
+        self.many = np.flatnonzero(self.n > 1)
+
+    def tables(self) -> np.ndarray:
+        if not len(self.n):
+            return np.zeros(0, np.int64)
+        return np.add.reduceat(np.append(self.size > 0, False), self.first).astype(np.int64) * (self.n > 0)
+
+    def seat(self, new: np.ndarray, d: float) -> None:
+        """Seat everybody in order, in growing runs; ``new``: weight of a new table for each dish."""
+        dishes, at = self.many, 1
+        seated = np.ones(len(self.n), np.int64)
+        while len(dishes):
+            run = np.minimum(max(1, at // 8), self.n[dishes] - at)
+            ends = np.cumsum(run)
+            who = np.repeat(self.first[dishes] + at, run) + np.arange(ends[-1]) - np.repeat(ends - run, run)
+            fresh = new[dishes] / (new[dishes] + at - d * seated[dishes])
+            opens = self.rng.random(len(who)) < np.repeat(fresh, run)
+            other = np.repeat(self.first[dishes], run) + (self.rng.random(len(who)) * at).astype(np.int64)
+            self.table[who] = np.where(opens, who, self.table[other])
+            seated[dishes] += np.add.reduceat(opens, ends - run)
+            at += max(1, at // 8)
+            dishes = dishes[self.n[dishes] > at]
+        self.size = np.bincount(self.table, minlength=len(self.table))
+
+    def sweep(self, new: np.ndarray, d: float, most: int) -> None:
+        """Gibbs: customers leave and are seated again, one of each dish at a time, ``most`` of a dish."""
+        rng, size, table = self.rng, self.size, self.table
+        t = self.tables()
+        dishes = self.many
+        for k in range(most):
+            dishes = dishes[self.n[dishes] > k]
+            if not len(dishes):
+                break
+            n, first = self.n[dishes], self.first[dishes]
+            who = first + np.where(n <= most, k, (rng.random(len(dishes)) * n).astype(np.int64))
+            left = table[who]
+            size[left] -= 1
+            t[dishes] -= size[left] == 0
+            opens = rng.random(len(dishes)) * (new[dishes] + n - 1 - d * t[dishes]) < new[dishes]
+            # A new table: the place just emptied, or else any empty one.
+            place = np.where(size[left] == 0, left, who)
+            todo = np.flatnonzero(opens & (size[place] > 0))
+            while len(todo):
+                place[todo] = first[todo] + (rng.random(len(todo)) * n[todo]).astype(np.int64)
+                todo = todo[size[place[todo]] > 0]
+            # An old table: that of another customer, accepted with (size - d) / size.
+            todo = np.flatnonzero(~opens)
+            while len(todo):
+                other = first[todo] + (rng.random(len(todo)) * n[todo]).astype(np.int64)
+                at = table[other]
+                good = (other != who[todo]) & (rng.random(len(todo)) * size[at] < size[at] - d)
+                place[todo[good]] = at[good]
+                todo = todo[~good]
+            t[dishes] += size[place] == 0
+            table[who] = place
+            size[place] += 1
 
 
 def tokens(text):
@@ -68,7 +133,7 @@ def test_gibbs_against_the_exact_number_of_tables():
 
     grow((1,), 1, new)
     want = np.array([law[t] for t in range(n + 1)]) / sum(law.values())
-    s = hpyp.Seating(np.full(20_000, n), np.random.default_rng(1))
+    s = Seating(np.full(20_000, n), np.random.default_rng(1))
     s.seat(np.full(20_000, new), d)
     for _ in range(8):
         s.sweep(np.full(20_000, new), d, 16)
@@ -147,45 +212,127 @@ def test_law_of_tables_of_frequent_words():
         assert np.abs(steps - law.cumsum()).max() < 0.035  # Kolmogorov: 1.63 / sqrt(4000) = 0.026 at 1 %
 
 
-def test_joint_law_of_tables_in_two_levels():
-    """A word with three contexts: the chain's numbers of tables against their exact joint law, the parent's seatings summed out."""
-    counts, words = (3, 2, 4), 4000
-    contexts = next(c for c in (np.arange(a, a + 3, dtype=np.uint64) for a in range(1000)) if len(set((hpyp.uniform(_U7, c, -1) * hpyp.GROUPS // 1).tolist())) == 3)
-    all_tables, parent_tables, v = 12.0, 3.0, 9.0
-    tables = np.array([2.0, 1.0, 4.0])
+def ways(n, d):
+    """Weights of all seatings of n customers by their number of tables."""
+    out = {1: 1.0}
+    for k in range(1, n):
+        new = Counter()
+        for t, w in out.items():
+            new[t] += w * (k - d * t)
+            new[t + 1] += w
+        out = new
+    return out
+
+
+def drawn(counts, tables, words, all_tables, parent_tables, v, burn_in, samples):
+    """Seatings of many words of the same counts, and the discounts and the weight of a new table in the parent."""
     sums = np.zeros(hpyp._HEAD + 1)
     sums[hpyp._V], sums[hpyp._PAIR1], sums[hpyp._PAIR2], sums[hpyp._WORD1], sums[hpyp._WORD2] = v, 6, 2, 3, 2
-    d, d0 = hpyp.discount(6, 2), hpyp.discount(3, 2)
-
-    def ways(n, d):
-        """Weights of all seatings of n customers by their number of tables."""
-        out = {1: 1.0}
-        for k in range(1, n):
-            new = Counter()
-            for t, w in out.items():
-                new[t] += w * (k - d * t)
-                new[t + 1] += w
-            out = new
-        return out
-
-    base, law = (hpyp.STRENGTH + d0 * parent_tables) / (v + 1), {}
+    d, d0, m = hpyp.discount(6, 2), hpyp.discount(3, 2), len(counts)
+    contexts = hpyp._hashed([b"%d" % i for i in range(m)])[:-1]
+    data = common.dump(hpyp._hashed([b"w%d" % i for i in range(words)])[:-1], np.repeat(np.arange(words, dtype=np.int32), m), np.tile(np.arange(m, dtype=np.int32), words), np.tile(counts, words), contexts)
+    got = [t.reshape(words, m) for t, _ in hpyp.seatings(data, sums, np.array(tables), parent_tables, burn_in, samples, all_tables)]
+    return got, d, d0, (hpyp.STRENGTH + d0 * parent_tables) / (v + 1)
+
+
+@pytest.mark.parametrize("counts", [(3, 2, 4), (3,) * 6, (2, 1, 1, 7)])
+def test_joint_law_of_tables_in_two_levels(counts):
+    """A word with a few contexts: the chain's numbers of tables against their exact joint law, the parent's seatings summed out."""
+    all_tables, tables = 12.0, [2.0, 1.0, 4.0, 3.0, 1.0, 2.0][: len(counts)]
+    got, d, d0, base = drawn(counts, tables, 20_000, all_tables, 3.0, 9.0, 6, 2)
+    law = {}
     for t in np.ndindex(*counts):
         t = tuple(x + 1 for x in t)
         w = math.prod(ways(c, d)[x] * ((hpyp.STRENGTH + d * m) / (hpyp.STRENGTH + all_tables)) ** x for c, x, m in zip(counts, t, tables, strict=True))
         law[t] = w * sum(x * base**t0 for t0, x in ways(sum(t), d0).items())
     total = sum(law.values())
-    # Many words of the same counts, the contexts' hashes in three different groups for each of them.
-    seen, got = 0, Counter()
-    for seed in range(words):
-        word = np.array([seed], np.uint64)
-        if len({int(hpyp.uniform(word, contexts[i : i + 1], -1)[0] * hpyp.GROUPS) for i in range(3)}) < 3:
-            continue
-        data = common.dump(word, np.zeros(3, np.int32), np.arange(3, dtype=np.int32), np.array(counts), contexts)
-        for t, _ in hpyp.seatings(data, sums, tables, parent_tables, 3, 2, all_tables):
-            got[tuple(t.tolist())] += 1
-            seen += 1
-    assert seen > 1500
-    assert sum(abs(got[t] / seen - w / total) for t, w in law.items()) / 2 < 0.06
+    seen = Counter(tuple(r) for t in got for r in t.tolist())
+    n = sum(seen.values())
+    # The mean distance of n draws from their own law is about the sum of sqrt(p / n) * 0.4.
+    chance = sum(math.sqrt(w / total / n) for w in law.values()) * 0.4
+    assert sum(abs(seen[t] / n - w / total) for t, w in law.items()) / 2 < 1.3 * chance + 0.002
+    want = sum(sum(t) * w for t, w in law.items()) / total
+    assert abs(sum(sum(t) * c for t, c in seen.items()) / n - want) < 0.03
+
+
+@pytest.mark.parametrize(("contexts", "customers", "parent_tables", "v"), [(60, 5, 3.0, 9.0), (120, 3, 400.0, 90.0), (50, 9, 0.0, 200.0)])
+def test_total_of_tables_of_many_contexts(contexts, customers, parent_tables, v):
+    """A word with many contexts: the law of its customers in the parent, by products of polynomials."""
+    all_tables, one = 400.0, 3.0
+    words = 3000
+    got, d, d0, base = drawn((customers,) * contexts, [one] * contexts, words, all_tables, parent_tables, v, 12, 1)
+    new = (hpyp.STRENGTH + d * one) / (hpyp.STRENGTH + all_tables)
+    tilt = 1.5 * contexts  # a factor for each table, so that products do not underflow
+    single = np.array([0.0] + [ways(customers, d)[t] * (new * tilt) ** t for t in range(1, customers + 1)])
+    law = np.ones(1)
+    for _ in range(contexts):
+        law = np.convolve(law, single / single.sum())
+    parent, t0 = {1: 0.0}, np.full(len(law), -np.inf)  # logarithms of ways(s, d0)
+    for s in range(1, len(law)):
+        x = np.array([w + t * math.log(base) for t, w in parent.items()])
+        t0[s] = x.max() + math.log(np.exp(x - x.max()).sum())
+        parent = {t: np.logaddexp(parent.get(t, -np.inf) + math.log(max(s - d0 * t, 1e-300)), parent.get(t - 1, -np.inf)) for t in range(1, s + 2)}
+    with np.errstate(divide="ignore"):
+        law = np.log(law) + t0 - np.arange(len(law)) * math.log(tilt)
+    law = np.exp(law - law.max())
+    law /= law.sum()
+    steps = np.bincount(got[0].sum(axis=1), minlength=len(law)).cumsum() / words
+    assert np.abs(steps - law.cumsum()).max() < 0.04  # Kolmogorov: 1.63 / sqrt(3000) = 0.03 at 1 %
+
+
+def test_scores_against_seating_one_by_one(spark):
+    """Two levels of restaurants, every customer seated by itself with all totals at hand: the documents' scores come near."""
+    docs = [(d["doc_id"], d["text"]) for d in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+    learned = [i % 7 != 2 for i, _ in docs]
+    pairs = [[*zip([b"<"] + x[:-1], x, strict=True)] for x in ([b"." if t is None else b"_" + t for t in tokens(text)] for _, text in docs)]
+    own = [p for x, use in zip(pairs, learned, strict=True) if use for p in x]
+    seen, of_word = Counter(own), Counter(w for _, w in own)
+    once = lambda c: hpyp.discount(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    d, d0, v, s = once(seen), once(of_word), len(of_word), hpyp.STRENGTH
+    held, rng = Counter(u for u, _ in own), random.Random(1)
+    rest, parent, tables, total, n0, t0 = {}, {}, Counter(), 0, 0, 0
+
+    def p0(w):
+        sizes = parent.get(w, [])
+        return (sum(sizes) - d0 * len(sizes) + (s + d0 * t0) / (v + 1)) / (s + n0)
+
+    def add(sizes, discount, new):
+        x = rng.random() * (sum(sizes) - discount * len(sizes) + new)
+        for j, size in enumerate(sizes):
+            x -= size - discount
+            if x < 0:
+                sizes[j] += 1
+                return False
+        sizes.append(1)
+        return True
+
+    def remove(sizes):
+        j = rng.choices(range(len(sizes)), sizes)[0]
+        sizes[j] -= 1
+        if sizes[j]:
+            return False
+        sizes.pop(j)
+        return True
+
+    p = Counter()
+    for sweep in range(13):
+        for u, w in own:
+            sizes = rest.setdefault((u, w), [])
+            if sweep and remove(sizes):
+                tables[u] -= 1
+                n0 -= 1
+                t0 -= remove(parent[w])
+            if add(sizes, d, (s + d * tables[u]) * p0(w)):
+                tables[u] += 1
+                t0 += add(parent.setdefault(w, []), d0, (s + d0 * t0) / (v + 1))
+                n0 += 1
+        if sweep >= 5:
+            for u, w in {q for x in pairs for q in x}:
+                p[u, w] += (seen[u, w] - d * len(rest.get((u, w), [])) + (s + d * tables[u]) * p0(w)) / (s + held[u]) / 8
+    got = {r["id"]: r["score"] for r in hpyp.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 7 != 2).collect()}
+    off = [(got[i] - sum(math.log10(p[q]) for q in x)) / len(x) for (i, _), x in zip(docs, pairs, strict=True)]
+    assert max(map(abs, off)) < 0.05
+    assert abs(sum(off)) / len(off) < 0.005
 
 
 def test_scores_do_not_depend_on_partitions(spark):

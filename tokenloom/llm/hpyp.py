@@ -5,12 +5,13 @@ learned words and one place for all others.  The context of a token is the token
 hash; the start of a text is a context of its own), so contexts grow with the words.  Every table of
 a context restaurant sends one customer to the parent.
 
-Seating is sampled by Gibbs: in every sweep all customers of every word leave and are seated again, an
-old table with weight (customers - discount), a new one with weight (strength + discount * tables) *
-parent probability.  The contexts of a word are dealt to ``GROUPS`` groups by hash; one group at a time
-leaves, together with the customers that its tables sent to the parent, and is seated again given what
-stayed, over all seatings of the parent (``parent_weights``).  Scores need only the number of tables, which is drawn from its law
-for all customers of a word in a context together, however many they are (``draw_tables``).
+Seating is sampled by Gibbs, all contexts of a word at once.  A word with c customers in the parent weighs
+there as the c-th moment of a positive variable: Poisson many jumps, one for each table, beside a stable variable
+tilted by exp(-x).  That variable is drawn given the customers and tables in the parent (``shared_weight``);
+given it, the contexts of the word are independent, an old table having weight (customers - discount), a new one
+(strength + discount * tables) / (strength + customers of the parent) times the variable.  All customers of a word
+in a context leave together and their number of tables, all that scores need, is drawn from its law
+(``draw_tables``); then the tables in the parent are drawn from theirs.
 Predictive probabilities of ``SAMPLES`` seatings are averaged; their base-10 logarithms add up to
 the score, whose mean over tokens gives the perplexity.
 
@@ -64,13 +65,13 @@ SHARD_CHARS = 6_000_000  # text for each shard
 CELL_CHARS = 10_000_000  # text whose occurrences of a shard's words are held together
 CELLS = 1 << 20  # most cells of a shard
 TASKS = 4  # tasks to a shard that gather cells, so few of them meet in one
-GROUPS = 4
 STRENGTH = 0.3
 BURN_IN, SAMPLES = 2, 2
 SMALL = 256  # customers up to which the law of tables is tabulated
 GRID = 500_000  # numbers of tables weighed at a time
 _U = np.uint64
 _START, _END = 0, 0xFF00  # the context at the start of a text and the hash of the end token, below all words'
+_PARENT, _GAMMA, _STABLE = 1, 0x100, 0x4000  # in a context's place: numbers drawn for a word as a whole
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -395,31 +396,10 @@ def _window(n: np.ndarray, new: np.ndarray, d: float) -> tuple[np.ndarray, np.nd
     return np.maximum(np.floor(mean - reach), 1).astype(np.int64), np.minimum(np.ceil(mean + reach), n).astype(np.int64)
 
 
-def parent_weights(base: float, d: float, most: int) -> np.ndarray:
-    """log of the weight of all seatings of n customers of one dish together, for n = 0 to ``most``; ``base``: weight of a new table.
-
-    Exact up to SMALL customers; beyond, each customer's weight follows from the mean number of tables.
-    """
-    out, ways, t = np.zeros(max(most, SMALL) + 1), _small_ways(d), np.arange(1, SMALL + 1) * math.log(base)
-    for n in range(1, SMALL + 1):
-        x = ways[n, :n] + t[:n]
-        out[n] = x.max() + math.log(np.exp(x - x.max()).sum())
-    x = np.exp(ways[SMALL] + t - out[SMALL])
-    tables, steps = float((x * np.arange(1, SMALL + 1)).sum() / x.sum()), []
-    for n in range(SMALL, most):
-        w = n - d * tables + base
-        tables += base / w
-        steps.append(w)
-    out[SMALL + 1 :] = out[SMALL] + np.cumsum(np.log(steps))
-    return out
-
-
-def draw_tables(n: np.ndarray, new: np.ndarray, d: float, at_random: np.ndarray, parent: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+def draw_tables(n: np.ndarray, new: np.ndarray, d: float, at_random: np.ndarray) -> np.ndarray:
     """Tables of dishes whose n customers all leave and are seated anew, from their joint law; ``new``: weight of a new table; ``at_random``: uniform numbers.
 
     P(t) is as new^t times the weight of all seatings of n customers at t tables; sizes of tables matter no further.
-    ``parent``: ``parent_weights``, the customers of the dish that stay in the parent, and its tables before.  Every table then
-    also weighs what its customer does in the parent, where they come one after the other.
     """
     out = np.minimum(n, 1).astype(np.int64)
 
@@ -434,13 +414,8 @@ def draw_tables(n: np.ndarray, new: np.ndarray, d: float, at_random: np.ndarray,
         k = int(n[group[0]])
         for a in range(0, len(group), max(1, GRID // k)):
             at, t = group[a : a + max(1, GRID // k)], np.arange(1, k + 1)
-            weight = ways[k, :k] + np.log(new[at])[:, None] * t
-            choose(at, np.int64(1), weight if parent is None else weight + parent[0][parent[1][at][:, None] + t])
+            choose(at, np.int64(1), ways[k, :k] + np.log(new[at])[:, None] * t)
     large = np.flatnonzero(n > SMALL)
-    if parent is not None and len(large):  # a mean weight for all of its customers in the parent
-        stay, last = parent[1][large], parent[2][large]
-        new = new.copy()
-        new[large] *= np.exp((parent[0][stay + last] - parent[0][stay]) / last)
     low, high = _window(n[large], new[large], d)
     order = np.argsort(high - low, kind="stable")
     a = 0
@@ -458,73 +433,51 @@ def draw_tables(n: np.ndarray, new: np.ndarray, d: float, at_random: np.ndarray,
     return out
 
 
-class Seating:
-    """Customers of many dishes at tables, one by one; ``draw_tables`` gives their tables without places.
+def _gamma(shape: np.ndarray, draw: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Gamma variables of given shapes (squeezed normals, rejected); ``draw``: uniform numbers of rows, by stream."""
+    out, todo, k = np.zeros(len(shape)), np.arange(len(shape)), 1
+    d = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    while len(todo):
+        e = d[todo]
+        z = np.sqrt(-2 * np.log(1 - draw(todo, k))) * np.cos(2 * math.pi * draw(todo, k + 1))
+        v = np.maximum(1 + z / np.sqrt(9 * e), 1e-9) ** 3
+        good = np.log(1 - draw(todo, k + 2)) < z * z / 2 + e - e * v + e * np.log(v)
+        out[todo[good]] = (e * v)[good]
+        todo, k = todo[~good], k + 3
+    return np.where(shape < 1, out * (1 - draw(np.arange(len(shape)), 0)) ** (1 / np.minimum(shape, 1)), out)
 
-    Slow for frequent words; the tests compare.
-    """
 
-    def __init__(self, customers: np.ndarray, rng: np.random.Generator):
-        self.n, self.rng = customers.astype(np.int64), rng
-        self.first = np.cumsum(self.n) - self.n
-        self.table = np.arange(self.n.sum())  # table of each customer: one of the places of its dish
-        self.size = np.ones(len(self.table), np.int64)
-        self.many = np.flatnonzero(self.n > 1)
-
-    def tables(self) -> np.ndarray:
-        if not len(self.n):
-            return np.zeros(0, np.int64)
-        return np.add.reduceat(np.append(self.size > 0, False), self.first).astype(np.int64) * (self.n > 0)
-
-    def seat(self, new: np.ndarray, d: float) -> None:
-        """Seat everybody in order, in growing runs; ``new``: weight of a new table for each dish."""
-        dishes, at = self.many, 1
-        seated = np.ones(len(self.n), np.int64)
-        while len(dishes):
-            run = np.minimum(max(1, at // 8), self.n[dishes] - at)
-            ends = np.cumsum(run)
-            who = np.repeat(self.first[dishes] + at, run) + np.arange(ends[-1]) - np.repeat(ends - run, run)
-            fresh = new[dishes] / (new[dishes] + at - d * seated[dishes])
-            opens = self.rng.random(len(who)) < np.repeat(fresh, run)
-            other = np.repeat(self.first[dishes], run) + (self.rng.random(len(who)) * at).astype(np.int64)
-            self.table[who] = np.where(opens, who, self.table[other])
-            seated[dishes] += np.add.reduceat(opens, ends - run)
-            at += max(1, at // 8)
-            dishes = dishes[self.n[dishes] > at]
-        self.size = np.bincount(self.table, minlength=len(self.table))
-
-    def sweep(self, new: np.ndarray, d: float, most: int) -> None:
-        """Gibbs: customers leave and are seated again, one of each dish at a time, ``most`` of a dish."""
-        rng, size, table = self.rng, self.size, self.table
-        t = self.tables()
-        dishes = self.many
-        for k in range(most):
-            dishes = dishes[self.n[dishes] > k]
-            if not len(dishes):
-                break
-            n, first = self.n[dishes], self.first[dishes]
-            who = first + np.where(n <= most, k, (rng.random(len(dishes)) * n).astype(np.int64))
-            left = table[who]
-            size[left] -= 1
-            t[dishes] -= size[left] == 0
-            opens = rng.random(len(dishes)) * (new[dishes] + n - 1 - d * t[dishes]) < new[dishes]
-            # A new table: the place just emptied, or else any empty one.
-            place = np.where(size[left] == 0, left, who)
-            todo = np.flatnonzero(opens & (size[place] > 0))
-            while len(todo):
-                place[todo] = first[todo] + (rng.random(len(todo)) * n[todo]).astype(np.int64)
-                todo = todo[size[place[todo]] > 0]
-            # An old table: that of another customer, accepted with (size - d) / size.
-            todo = np.flatnonzero(~opens)
-            while len(todo):
-                other = first[todo] + (rng.random(len(todo)) * n[todo]).astype(np.int64)
-                at = table[other]
-                good = (other != who[todo]) & (rng.random(len(todo)) * size[at] < size[at] - d)
-                place[todo[good]] = at[good]
-                todo = todo[~good]
-            t[dishes] += size[place] == 0
-            table[who] = place
-            size[place] += 1
+def _tilted_stable(n: int, scale: float, d: float, draw: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """n variables with Laplace transform exp(scale - scale * (1 + s)^d): sums of pieces of scale 1 or less.
+
+    A piece is a stable variable, kept with probability exp(-x), so at least once in e tries.
+    """
+    pieces, total, k = max(1, math.ceil(scale)), np.zeros(n), 0
+    shift = math.log(scale / pieces) / d
+    for _ in range(pieces):
+        todo = np.arange(n)
+        while len(todo):
+            u = math.pi * (draw(todo, k) + 2.0**-54)
+            e = np.log(-np.log(1 - draw(todo, k + 1)) + 1e-300)
+            x = shift + np.log(np.sin(d * u)) - np.log(np.sin(u)) / d + (1 - d) / d * (np.log(np.sin((1 - d) * u)) - e)
+            x = np.exp(np.minimum(x, 9))  # beyond, none is kept
+            good = draw(todo, k + 2) < np.exp(-x)
+            total[todo[good]] += x[good]
+            todo, k = todo[~good], k + 3
+    return total
+
+
+def shared_weight(words: np.ndarray, customers: np.ndarray, tables: np.ndarray, base: float, d: float, sweep: int) -> np.ndarray:
+    """For words with customers at tables in the parent, the variable given which their contexts are independent.
+
+    With new tables of weight ``base``, the weights W(c) of all seatings of c customers have the generating function
+    sum of W(c) z^c / c! = exp(base * (1 - (1 - z)^d) / d), which is the mean of exp(z X) for a stable variable
+    X of scale base / d tilted by exp(-x); so W(c) is the mean of X^c.  Given c customers at k tables X is
+    a gamma variable of shape c - k d and a fresh such variable.
+    """
+    draw = lambda first: lambda at, k: uniform(words[at], np.array([first + k], _U), sweep)
+    x = _gamma(customers - d * tables, draw(_GAMMA)) + _tilted_stable(len(words), base / d, d, draw(_STABLE))
+    return np.maximum(x, 1e-280)
 
 
 def parent_probability(customers: np.ndarray, tables: np.ndarray, all_customers: float, all_tables: float, v: float, d: float) -> np.ndarray:
@@ -543,19 +496,22 @@ def seatings(table: bytes, sums: np.ndarray, tables: np.ndarray, parent_tables:
     t, n = (start[0] if start is not None else count > 0).astype(np.int64), len(words)
     base = (STRENGTH + d0 * parent_tables) / (v + 1)
     new = (STRENGTH + d * tables[context]) / (STRENGTH + all_tables)
-    customers = np.bincount(word, t, n).astype(np.int64)
-    weights = parent_weights(base, d0, int(np.bincount(word, count, n).max(initial=0)) + SMALL)
     many = np.flatnonzero(count > 1)  # a single customer has a single table
-    of = uniform(words[word[many]], contexts[context[many]], -1) * GROUPS // 1
-    groups = [many[of == g] for g in range(GROUPS)]
-    out = []
+    busy, of = np.unique(word[many], return_inverse=True)
+    customers, t0, out = np.bincount(word, t, n).astype(np.int64), np.zeros(n, np.int64), []
+
+    def seat_parent(at: np.ndarray, k: int) -> None:
+        t0[at] = draw_tables(customers[at], np.full(len(at), base), d0, uniform(words[at], np.array([_PARENT], _U), k))
+
+    seat_parent(busy, sweep)
     for k in range(sweep, sweep + burn_in + samples):
-        for at in groups:
-            customers -= np.bincount(word[at], t[at], n).astype(np.int64)
-            t[at] = draw_tables(count[at], new[at], d, uniform(words[word[at]], contexts[context[at]], k), (weights, customers[word[at]], t[at]))
-            customers += np.bincount(word[at], t[at], n).astype(np.int64)
-        if k >= sweep + burn_in:
-            out.append((t.copy(), draw_tables(customers, np.full(n, base), d0, uniform(words, 0, k))))
+        x = shared_weight(words[busy], customers[busy], t0[busy], base, d0, k)
+        t[many] = draw_tables(count[many], new[many] * x[of], d, uniform(words[word[many]], contexts[context[many]], k))
+        customers = np.bincount(word, t, n).astype(np.int64)
+        sample = k >= sweep + burn_in
+        seat_parent(np.arange(n) if sample else busy, k + 1)
+        if sample:
+            out.append((t.copy(), t0.copy()))
     return out
 
 
