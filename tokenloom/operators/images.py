@@ -57,6 +57,49 @@ def to_rgb(rows: DataFrame) -> DataFrame:
     return known.withColumn("rgb", F.array(*[alpha_over_white(c, alpha) for c in colour])).drop("data")
 
 
+def pixel_rgb(mode: Column, data: Column, palette: Column | None = None) -> Column:
+    """Red, green and blue of a pixel (array of integers, 0 to 255) of mode 1, L, LA, RGB, RGBA, CMYK or P; other modes are an error.
+
+    Alpha goes over white.  ``palette``: red, green, blue, alpha of each colour, for mode P; an index beyond it is black,
+    and its alpha does not count, as for any conversion of a palette straight to three channels.
+    """
+    at = lambda i: F.get(data, F.lit(i))
+    ink = 255 - at(3)
+
+    def printed(c: Column) -> Column:  # ink times colour over 255, rounded
+        p = c * ink + 128
+        return F.greatest(ink - F.shiftright(F.shiftright(p, 8) + p, 8), F.lit(0))
+
+    over = lambda c, a: alpha_over_white(c, a).cast("int")
+    grey = lambda c: F.array(c, c, c)
+    out = F.when(mode == "1", grey(F.when(at(0) != 0, 255).otherwise(0)))
+    out = out.when(mode == "L", grey(at(0))).when(mode == "LA", grey(over(at(0), at(1)))).when(mode == "RGB", F.slice(data, 1, 3))
+    out = out.when(mode == "RGBA", F.array(*[over(at(k), at(3)) for k in range(3)])).when(mode == "CMYK", F.array(*[printed(at(k)) for k in range(3)]))
+    if palette is not None:
+        out = out.when(mode == "P", F.array(*[F.coalesce(F.get(palette, 4 * at(0) + k), F.lit(0)) for k in range(3)]))
+    return out.otherwise(F.raise_error(F.concat(F.lit("unsupported mode "), F.coalesce(mode, F.lit("null")))).cast("array<int>"))
+
+
+def upright(h: Column, w: Column, ch: Column, data: Column, orientation: Column) -> tuple[Column, Column, Column]:
+    """Height, width and data (row by row, channels innermost) of an image as it was taken; orientation 1, null or unknown: as it is.
+
+    From 5 on rows and columns change places; what is then mirrored follows from the number alone.
+    """
+    o = F.coalesce(orientation, F.lit(1))
+    turned = o.between(5, 8)
+    rows, columns = F.when(turned, w).otherwise(h), F.when(turned, h).otherwise(w)
+
+    def source(i: Column) -> Column:
+        y, x, c = F.floor(i / (columns * ch)), F.floor(i / ch) % columns, i % ch
+        a, b = F.when(turned, x).otherwise(y), F.when(turned, y).otherwise(x)  # row and column of the stored image
+        a = F.when(o.isin(3, 4, 7, 8) & ~turned, h - 1 - a).when(turned & o.isin(7, 6), h - 1 - a).otherwise(a)
+        b = F.when(o.isin(2, 3) & ~turned, w - 1 - b).when(turned & o.isin(7, 8), w - 1 - b).otherwise(b)
+        return F.get(data, ((a * w + b) * ch + c).cast("int"))
+
+    n = (h * w * ch).cast("int")
+    return rows, columns, F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), source)).otherwise(data)
+
+
 def channels_first(data: Column, h: int, w: int, ch: int) -> Column:
     """(y, x, channel) to (channel, y, x) order."""
     return F.transform(F.sequence(F.lit(0), F.lit(h * w * ch - 1)), lambda i: F.get(data, ((i % (h * w)) * ch + F.floor(i / (h * w))).cast("int")))

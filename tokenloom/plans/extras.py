@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenloom.functions.ordering import shared_path
-from tokenloom.operators import modules, permutation, training
+from tokenloom.operators import images, modules, permutation, training
 from tokenloom.operators.prompts import IGNORE_INDEX
 from tokenloom.plans.queries import _UNIFORM, CELLS, _normal_sql, latents, q6, query, r6, table
-from tokenloom.sources import files, image_sink
+from tokenloom.sources import exif, files, image_sink
 
 # ---------------------------------------------------------------- shuffled orders without a sort
 
@@ -66,6 +66,55 @@ def image_files(spark, sf):
     return names.join(back, "name").select(F.col("id").alias("vec_id"), "name", "i", "pixel")
 
 
+_TURNED = {2: ("y", "15 - x"), 3: ("3 - y", "15 - x"), 4: ("3 - y", "x"), 5: ("x", "y"), 6: ("x", "3 - y"), 7: ("15 - x", "3 - y"), 8: ("15 - x", "y")}
+_TO = [f"CASE o {' '.join(f'WHEN {k} THEN {v[axis]}' for k, v in _TURNED.items())} ELSE {'yx'[axis]} END" for axis in (0, 1)]
+
+
+@query(f"""
+WITH {CELLS}, c AS (SELECT vec_id, vec_id % 10 AS o, i // 16 AS y, i % 16 AS x, v FROM cells),
+t AS (SELECT vec_id, o, {_TO[0]} AS y, {_TO[1]} AS x, CASE WHEN o BETWEEN 5 AND 8 THEN 4 ELSE 16 END AS w, v FROM c)
+SELECT vec_id, CASE WHEN o BETWEEN 1 AND 8 THEN o END AS orientation, CAST(w AS BIGINT) AS w, CAST(y * w + x AS BIGINT) AS i, {q6('v')} AS v FROM t""")
+def exif_upright(spark, sf):
+    """Vectors as pictures of 4 x 16 pixels behind headers of either byte order that turn them; 0 and 9 are no orientations."""
+    k = F.col("vec_id")
+    o = (k % 10).cast("int")
+    small = F.concat(F.lit("49492A0008000000" "0200" "0001030001000000" "10000000" "1201030001000000"), F.lpad(F.hex(o), 2, "0"), F.lit("000000" "00000000"))
+    big = F.concat(F.lit("4D4D002A00000008" "0001" "0112000300000001"), F.lpad(F.hex(o), 4, "0"), F.lit("0000" "00000000"))
+    body = F.concat(F.lit("457869660000"), F.when(k % 3 == 0, big).otherwise(small))
+    header = F.concat(F.lit("FFD8" "FFE00004ABCD" "FFE1"), F.lpad(F.hex((F.length(body) / 2 + 2).cast("int")), 4, "0"), body, F.lit("FFDA0002" "FFD9"))
+    rows = latents(spark, sf).select(k, "v", exif.orientation(F.unhex(header)).alias("o"))
+    _, w, data = images.upright(F.lit(4), F.lit(16), F.lit(1), F.col("v"), F.col("o"))
+    cells = rows.select(k, F.col("o").cast("long").alias("orientation"), w.cast("long").alias("w"), F.posexplode(data).alias("i", "v"))
+    return cells.select("vec_id", "orientation", "w", F.col("i").cast("long").alias("i"), r6(F.col("v")).alias("v"))
+
+
+_MODES = ["1", "L", "LA", "RGB", "RGBA", "CMYK", "P"]
+_OVER = "CAST(round_even({alpha} / 255.0 * {c} + (1 - {alpha} / 255.0) * 255.0, 0) AS BIGINT)"
+_INKED = "({c} * (255 - a) + 128)"
+
+
+def _channel(i: int) -> str:
+    c = "rgb"[i]
+    inked = _INKED.format(c=c)
+    cases = ["CASE WHEN r <> 0 THEN 255 ELSE 0 END", "r", _OVER.format(alpha="g", c="r"), c, _OVER.format(alpha="a", c=c), f"greatest(255 - a - ((({inked} >> 8) + {inked}) >> 8), 0)", f"CASE WHEN r % 5 = 4 THEN 0 ELSE n * (r % 5 * 4 + {i + 1}) % 256 END"]
+    return f"CAST(CASE m {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(cases))} END AS BIGINT)"
+
+
+@query(f"""
+WITH p AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST((l_orderkey + l_linenumber) % 7 AS BIGINT) AS m, l_partkey AS n, CAST(l_partkey * 37 % 256 AS BIGINT) AS r, CAST(l_suppkey * 101 % 256 AS BIGINT) AS g, CAST(l_orderkey * 59 % 256 AS BIGINT) AS b, CAST(l_linenumber * 41 % 256 AS BIGINT) AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, {_channel(0)} AS red, {_channel(1)} AS green, {_channel(2)} AS blue FROM p""")
+def pixel_modes(spark, sf):
+    """A pixel of each order line, in each of seven modes, as three channels; palettes have four colours, indices go one further."""
+    o, n, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    m = ((o + n) % 7).cast("int")
+    r, g, b, a = [(c * f % 256).cast("int") for c, f in ((part, 37), (F.col("l_suppkey"), 101), (o, 59), (n, 41))]
+    mode = F.get(F.array(*[F.lit(x) for x in _MODES]), m)
+    data = F.when(m == 2, F.array(r, g)).when(m < 2, F.array(r)).when(m == 3, F.array(r, g, b)).when(m < 6, F.array(r, g, b, a)).otherwise(F.array(r % 5))
+    palette = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda j: (part * j % 256).cast("int"))
+    rgb = table(spark, sf, "lineitem").select("l_orderkey", n.cast("long").alias("l_linenumber"), images.pixel_rgb(mode, data, palette).alias("rgb"))
+    return rgb.select("l_orderkey", "l_linenumber", *[F.get("rgb", F.lit(i)).cast("long").alias(c) for i, c in enumerate(("red", "green", "blue"))])
+
+
 # ---------------------------------------------------------------- training loss
 
 _PLACEHOLDER = -1
