@@ -9,6 +9,7 @@ from fixtures import no_documents, odd_documents, rows
 from tokenizers import Tokenizer
 
 from tokenloom.llm import bpe, dac, queries
+from tokenloom.llm.common import fresh_path
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,27 @@ def test_dac_odd_rows_and_many_files(spark, library):
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == ids
         start += len(ids)
     assert dac.write_and_read(no_documents(spark), queries.VOCAB, end_id=2).count() == 0
+
+
+def test_dac_ranges_split_rows_of_one_id(spark, library):
+    """Nine of ten rows without an id, half of those of one text: several tasks share them, and starts still follow the order."""
+    rows = [(None if i % 10 else i, "same words" if i % 2 else f"text {i} of its own") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = fresh_path(spark, "dac-test")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        listed = dac.write_documents(docs, queries.VOCAB, folder, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert listed.where("n_docs > 150").count() == 0 and listed.count() >= 3
+    left_over = listed.select("name").first()["name"]
+    fs, path = dac._file_system(folder)
+    fs.copy_file(f"{path}/{left_over}", f"{path}/000000-000000-999999999.dac")  # of an attempt that does not count
+    got = dac.read_documents(spark, listed, folder).orderBy("start").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1][:64], hashlib.md5(r[1].encode()).hexdigest()))
+    at = 0
+    assert len(got) == len(want)
+    for g, (doc_id, text) in zip(got, want, strict=True):
+        ids = [*ids_of(library, text), 2]
+        assert (g["doc_id"], g["start"], bytes(g["ids"])) == (doc_id, at, np.array(ids, "<u4").tobytes())
+        at += len(ids)

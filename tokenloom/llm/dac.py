@@ -10,11 +10,12 @@ each level its length, chunks, bitmap and rank directory; all numbers little-end
 
 ``write_documents`` encodes whole texts with the ``tokenizers`` library (piece by piece: the
 vocabulary's tokens never cross white space), in ascending order of id: range partitions, one or
-more files each.  Files are written under a hidden name and renamed, so a repeated task replaces
-its files by equal ones.
+more files each.  Ranges are cut by id, then by the beginning of the text, its digest and the row, so that
+rows of one id (or without one) and even equal rows spread over tasks.  Each attempt of a task writes files of its own
+name, under a hidden one first; the list that comes back names those that count, and only they are read.
 
 Defined results: null text is the empty text (only the end id); rows of equal id are ordered by
-text; null ids come first; texts of any length are encoded whole, a document is never cut between
+the first 64 characters of their text, then by its md5; null ids come first; texts of any length are encoded whole, a document is never cut between
 files; an empty table gives no files and no rows; other columns are not read.
 """
 
@@ -40,6 +41,7 @@ MAGIC = b"DACIDS01"
 WIDTHS = (8, 8, 16)  # bits of the levels; 32 in all
 BLOCK = 512  # bits between two entries of a rank directory
 FILE_IDS = 4_000_000  # a file is closed after the document that reaches so many ids
+HEAD_CHARS = 64  # of the text, in the order of rows of one id
 BATCH_BYTES = 4_000_000  # of texts encoded together, about
 PIECES = 400_000  # pieces, and words, of each of two generations that a worker remembers
 ODD_SPACES = "[\x1c-\x1f]"  # white space for Arrow, not for the library
@@ -257,8 +259,8 @@ def write_documents(docs: DataFrame, vocab_path: str, to: str, *, end_id: int, i
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, held, n, file
             starts = np.concatenate([[0], np.cumsum([len(x) for x in held])])
-            name = f"{part:06d}-{file:06d}.dac"
-            hidden = f"{folder}/_{name}.{context.taskAttemptId()}"
+            name = f"{part:06d}-{file:06d}-{context.taskAttemptId()}.dac"
+            hidden = f"{folder}/_{name}"
             with fs.open_output_stream(hidden) as f:
                 f.write(pack(np.concatenate(held), doc_ids, starts))
             fs.move(hidden, f"{folder}/{name}")
@@ -280,7 +282,9 @@ def write_documents(docs: DataFrame, vocab_path: str, to: str, *, end_id: int, i
         if doc_ids:
             yield close()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.left(text, F.lit(HEAD_CHARS)).alias("head"), F.md5(text.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange("doc_id", "head", "digest", "row").sortWithinPartitions("doc_id", "head", "digest").select("doc_id", "text")
     return stash(ordered.mapInArrow(run, "part long, file long, name string, n_docs long, n_ids long"), "dac-list")
 
 
