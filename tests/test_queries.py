@@ -1,7 +1,7 @@
 import pytest
 from oracle import compare
 
-from tokenloom.plans import extras, large, networks  # noqa: F401
+from tokenloom.plans import extras, large, nested, networks  # noqa: F401
 from tokenloom.plans.queries import ORACLES, QUERIES
 
 

@@ -30,18 +30,18 @@ def fully_masked(tokens: DataFrame, sample: str, pos: str, attn: str) -> DataFra
     return visible_counts(tokens, sample, pos, attn).where("n_visible = 0")
 
 
-def mask_form(tokens: DataFrame, sample: str, attn: str, kernel: str, static_cache: bool = False) -> DataFrame:
-    """Which mask a batch needs: "none", "padding" (2-d) or "full" (4-d)."""
+def mask_form_of(attn: str, kernel: str, static_cache: bool = False) -> Column:
+    """Aggregate: which mask the rows of a batch need, "none", "padding" (2-d) or "full" (4-d)."""
     if kernel not in ("eager", "flash", "sdpa"):
         raise ValueError(kernel)
     any_pad = F.max(F.when(F.col(attn) == 0, 1).otherwise(0)) == 1
     if kernel == "flash":
-        form = F.when(any_pad, "padding").otherwise("none")
-    elif kernel == "sdpa" and not static_cache:
-        form = F.when(any_pad, "full").otherwise("none")
-    else:
-        form = F.lit("full")
-    return tokens.groupBy(sample).agg(form.alias("mask"))
+        return F.when(any_pad, "padding").otherwise("none")
+    return F.when(any_pad, "full").otherwise("none") if kernel == "sdpa" and not static_cache else F.lit("full")
+
+
+def mask_form(tokens: DataFrame, sample: str, attn: str, kernel: str, static_cache: bool = False) -> DataFrame:
+    return tokens.groupBy(sample).agg(mask_form_of(attn, kernel, static_cache).alias("mask"))
 
 
 def grouped_heads(q: DataFrame, kv: DataFrame, by: list[str], repeat: int) -> DataFrame:

@@ -15,6 +15,11 @@ def all_reduce_mean(df: DataFrame, value: Column, world_size: int, by: list[str]
     return df.groupBy(*by).agg((F.sum(value) / world_size).alias(out))
 
 
+def all_reduce_both(df: DataFrame, value: Column, world_size: int, by: list[str]) -> DataFrame:
+    """total and mean in one pass."""
+    return all_reduce_sum(df, value, by).withColumn("mean", F.col("total") / world_size)
+
+
 def all_gather(df: DataFrame, rank: str, value: str, by: list[str]) -> DataFrame:
     """by, values: one value per rank, in order of rank; ``df`` has one row per rank and group, so a list is as long as the world is large."""
     return df.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(rank, value))), lambda x: x[value]).alias("values"))

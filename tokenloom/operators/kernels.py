@@ -239,6 +239,17 @@ def posterior(moments: np.ndarray, noise: np.ndarray | None = None) -> np.ndarra
     return mean if noise is None else mean + np.exp(0.5 * np.clip(log_var, -30, 20)) * noise
 
 
+def autoencode(x: np.ndarray, encode: Weights, decode: Weights, levels: int, groups: int, noise: np.ndarray | None = None, shift: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The decoded image and the moments.
+
+    The latent is the posterior's mean, or a sample if ``noise`` is given; ``shift`` is added to it (for a latent disturbed with
+    strength s: normal numbers times one uniform number below s for the image).
+    """
+    moments = encoder(x, encode, levels, groups)
+    z = posterior(moments, noise)
+    return decoder(z if shift is None else z + shift, decode, levels, groups), moments
+
+
 def bicubic_grid(table: np.ndarray, new: int, a: float = -0.75) -> np.ndarray:
     """A square grid of vectors (side * side, width) resampled to new * new by bicubic interpolation (no corner alignment)."""
     side = int(round(np.sqrt(len(table))))

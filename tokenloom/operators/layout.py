@@ -95,6 +95,37 @@ def generation_inputs(tokens: DataFrame, cache_position: int) -> DataFrame:
     return position_ids(tokens).where(F.col("pos") >= cache_position)
 
 
+def generation_step(tokens: DataFrame, cache: DataFrame, static_len: int | None = None) -> DataFrame:
+    """What a step of cached generation feeds to the model, for each sample.
+
+    tokens: sample_id, pos (from 0, without gaps), token_id, attn.  cache, a row a sample: first and n (the step fills
+    places first to first + n - 1 of the cache) and embeds (vectors of the prompt were given).  Out come sample_id,
+    step (0 to n - 1), pos, token_id (null where the vectors are the input), source ("ids" or "embeds") and
+    position_id.  The ids at the step's places are taken; the last n if vectors were given or the step goes
+    past the tokens; all if there are just n.  Vectors are the input only in a step from place 0.  Position ids count the mask
+    and are those of the last n positions; masked ones get 1.  With ``static_len``, mask says for each place of a cache of
+    fixed size whether the step's query sees it: none later than its own, none masked.
+    """
+    sample = Window.partitionBy("sample_id")
+    placed = position_ids(tokens).withColumn("length", F.count("*").over(sample))
+    rows = placed.join(cache.select("sample_id", "first", "n", "embeds"), "sample_id")
+    last = F.col("embeds") | (F.col("first") + F.col("n") > F.col("length")) | (F.col("length") == F.col("n"))
+    rows = rows.withColumn("tail", F.col("pos") - F.greatest(F.col("length") - F.col("n"), F.lit(0)))
+    rows = rows.withColumn("step", F.when(last, F.col("tail")).otherwise(F.col("pos") - F.col("first")))
+    by_vector = F.col("embeds") & (F.col("first") == 0)
+    taken = rows.where((F.col("step") >= 0) & (F.col("step") < F.col("n"))).select(
+        "sample_id", "step", "pos", F.when(~by_vector, F.col("token_id")).alias("token_id"), F.when(by_vector, "embeds").otherwise("ids").alias("source"), (F.col("first") + F.col("step")).alias("_place")
+    )
+    positions = rows.where("tail >= 0").select("sample_id", F.col("tail").alias("step"), "position_id")
+    out = taken.join(positions, ["sample_id", "step"])
+    if static_len is not None:
+        keys = tokens.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "attn"))), lambda x: x["attn"]).alias("_attn"))
+        out = out.join(keys, "sample_id")
+        seen = lambda k: (k <= F.col("_place")) & F.coalesce(F.get("_attn", k) == 1, F.lit(True))
+        out = out.withColumn("mask", F.transform(F.sequence(F.lit(0), F.lit(static_len - 1)), lambda k: seen(k).cast("int"))).drop("_attn")
+    return out.drop("_place")
+
+
 def running_index(rows: DataFrame, by: list[str], order: list, out: str) -> DataFrame:
     """0-based index inside small groups."""
     return rows.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))

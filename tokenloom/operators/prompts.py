@@ -121,10 +121,18 @@ def word_id(word: Column) -> Column:
     return F.crc32(word.cast("binary"))
 
 
-def left_pad(rows: DataFrame, ids: str, pad_id: int, prefix: list[int] | None = None) -> DataFrame:
-    """ids and mask of equal length over all rows, padded on the left; ``prefix`` is appended on the right with mask 1."""
-    longest = rows.agg(F.max(F.size(ids)).alias("_longest"))  # one row
-    joined = rows.crossJoin(F.broadcast(longest))
+def left_pad(rows: DataFrame, ids: str, pad_id: int, prefix: list[int] | None = None, batch: list[str] | None = None) -> DataFrame:
+    """ids and mask of equal length, padded on the left; ``prefix`` is appended on the right with mask 1.
+
+    Rows of one ``batch`` (columns; nulls are a batch of their own) are as long as its longest; without it, all rows as the longest of all.
+    """
+    if batch is None:
+        longest = rows.agg(F.max(F.size(ids)).alias("_longest"))  # one row
+        joined = rows.crossJoin(F.broadcast(longest))
+    else:
+        longest = rows.groupBy(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(batch)]).agg(F.max(F.size(ids)).alias("_longest"))
+        same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(batch)]
+        joined = rows.join(longest, same).drop(*[f"_b{i}" for i in range(len(batch))])
     gap = F.col("_longest") - F.size(ids)
     tail = F.array(*[F.lit(p).cast("bigint") for p in prefix or []]).cast("array<bigint>")
     padded = F.concat(F.array_repeat(F.lit(pad_id).cast("bigint"), gap), F.col(ids).cast("array<bigint>"), tail)

@@ -230,9 +230,7 @@ SELECT l_returnflag AS metric, {q6('sum(l_quantity)')} AS total, {q6('sum(l_quan
 def all_reduce_sum_mean(spark, sf):
     """Values of 7 ranks (rows by supplier), reduced."""
     rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("metric"), "l_quantity")
-    s = collectives.all_reduce_sum(rows, F.col("l_quantity"), ["metric"])
-    m = collectives.all_reduce_mean(rows, F.col("l_quantity"), 7, ["metric"])
-    return s.join(m, "metric").select("metric", r6(F.col("total")).alias("total"), r6(F.col("mean")).alias("mean"))
+    return collectives.all_reduce_both(rows, F.col("l_quantity"), 7, ["metric"]).select("metric", r6(F.col("total")).alias("total"), r6(F.col("mean")).alias("mean"))
 
 
 _RANKED = "SELECT event_type, user_id % 8 AS rank, round(sum(value), 6) AS value FROM events GROUP BY ALL"
@@ -425,9 +423,7 @@ def fully_masked_rows(spark, sf):
 
 @query(f"WITH {_TOKENS} SELECT sample_id, CASE WHEN min(attn) = 0 THEN 'padding' ELSE 'none' END AS flash, CASE WHEN min(attn) = 0 THEN 'full' ELSE 'none' END AS sdpa, 'full' AS eager FROM t GROUP BY 1")
 def mask_form(spark, sf):
-    t = _tokens(spark, sf)
-    forms = [attention.mask_form(t, "sample_id", "attn", k).withColumnRenamed("mask", k) for k in ("flash", "sdpa", "eager")]
-    return forms[0].join(forms[1], "sample_id").join(forms[2], "sample_id")
+    return _tokens(spark, sf).groupBy("sample_id").agg(*[attention.mask_form_of("attn", k).alias(k) for k in ("flash", "sdpa", "eager")])
 
 
 @query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey")
