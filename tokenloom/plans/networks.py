@@ -85,10 +85,10 @@ def linear_projection(spark, sf):
     return _rows(latents(spark, sf), lambda v: K.linear(v, w, "p"))
 
 
-@query(_sql(_x("x", 0, 16), _linear("g", "x", 12, 2, False), _map("gs", "g", SILU), _linear("u", "x", 12, 3, False), _both("h", "gs", "u", "x.v * y.v"), _linear("y", "h", 16, 4, False), last="y"))
+@query(_sql(_x("x", 0, 64), _linear("g", "x", 12, 2, False), _map("gs", "g", SILU), _linear("u", "x", 12, 3, False), _both("h", "gs", "u", "x.v * y.v"), _linear("y", "h", 64, 4, False), last="y"))
 def gated_mlp(spark, sf):
-    w = {"m.gate.w": weight(12, 16, salt=2), "m.up.w": weight(12, 16, salt=3), "m.down.w": weight(16, 12, salt=4)}
-    return _rows(latents(spark, sf), lambda v: K.gated_mlp(v[:, :16], w, "m"))
+    w = {"m.gate.w": weight(12, 64, salt=2), "m.up.w": weight(12, 64, salt=3), "m.down.w": weight(64, 12, salt=4)}
+    return _rows(latents(spark, sf), lambda v: K.gated_mlp(v, w, "m"))
 
 
 _MODULATED = _both("n1", "n0", "scale", "x.v * (1 + y.v)"), _both("n2", "n1", "shift", "x.v + y.v")
@@ -96,20 +96,20 @@ _MODULATED = _both("n1", "n0", "scale", "x.v * (1 + y.v)"), _both("n2", "n1", "s
 
 @query(
     _sql(
-        _x("x", 0, 16), _x("c", 16, 16), _map("cs", "c", SILU), _linear("mod", "cs", 48, 5), _part("shift", "mod", 0, 16), _part("scale", "mod", 16, 16), _part("gate", "mod", 32, 16),
-        _layer_norm("n", "x"), _map("n0", "n", f"v * (1 + {_b('i', 6)}) + {_b('i', 7)}"), *_MODULATED, _linear("h1", "n2", 16, 8), _map("h2", "h1", SILU), _linear("h3", "h2", 16, 9),
+        _x("x", 0, 32), _x("c", 32, 32), _map("cs", "c", SILU), _linear("mod", "cs", 96, 5), _part("shift", "mod", 0, 32), _part("scale", "mod", 32, 32), _part("gate", "mod", 64, 32),
+        _layer_norm("n", "x"), _map("n0", "n", f"v * (1 + {_b('i', 6)}) + {_b('i', 7)}"), *_MODULATED, _linear("h1", "n2", 32, 8), _map("h2", "h1", SILU), _linear("h3", "h2", 32, 9),
         _both("h4", "h3", "gate", "x.v * y.v"), _both("y", "x", "h4", "x.v + y.v"), last="y",
     )
 )
 def residual_block(spark, sf):
-    w = {"r.mod.w": weight(48, 16, salt=5), "r.mod.b": bias(48, 5), "r.norm.w": 1 + bias(16, 6), "r.norm.b": bias(16, 7), "r.in.w": weight(16, 16, salt=8), "r.in.b": bias(16, 8), "r.out.w": weight(16, 16, salt=9), "r.out.b": bias(16, 9)}
-    return _rows(latents(spark, sf), lambda v: K.residual_block(v[:, :16], v[:, 16:32], w, "r"))
+    w = {"r.mod.w": weight(96, 32, salt=5), "r.mod.b": bias(96, 5), "r.norm.w": 1 + bias(32, 6), "r.norm.b": bias(32, 7), "r.in.w": weight(32, 32, salt=8), "r.in.b": bias(32, 8), "r.out.w": weight(32, 32, salt=9), "r.out.b": bias(32, 9)}
+    return _rows(latents(spark, sf), lambda v: K.residual_block(v[:, :32], v[:, 32:], w, "r"))
 
 
-@query(_sql(_x("x", 0, 16), _x("c", 16, 16), _map("cs", "c", SILU), _linear("mod", "cs", 32, 10), _part("shift", "mod", 0, 16), _part("scale", "mod", 16, 16), _layer_norm("n0", "x"), *_MODULATED, _linear("y", "n2", 8, 11), last="y"))
+@query(_sql(_x("x", 0, 32), _x("c", 32, 32), _map("cs", "c", SILU), _linear("mod", "cs", 64, 10), _part("shift", "mod", 0, 32), _part("scale", "mod", 32, 32), _layer_norm("n0", "x"), *_MODULATED, _linear("y", "n2", 8, 11), last="y"))
 def final_layer(spark, sf):
-    w = {"final.mod.w": weight(32, 16, salt=10), "final.mod.b": bias(32, 10), "final.out.w": weight(8, 16, salt=11), "final.out.b": bias(8, 11)}
-    return _rows(latents(spark, sf), lambda v: K.final_layer(v[:, :16], v[:, 16:32], w))
+    w = {"final.mod.w": weight(64, 32, salt=10), "final.mod.b": bias(64, 10), "final.out.w": weight(8, 32, salt=11), "final.out.b": bias(8, 11)}
+    return _rows(latents(spark, sf), lambda v: K.final_layer(v[:, :32], v[:, 32:], w))
 
 
 def _time(t: str, dim: int) -> str:
@@ -129,20 +129,20 @@ def time_mlp(spark, sf):
 
 @query(
     _sql(
-        _x("x", 0, 16), _x("c", 16, 8), *_TIME_MLP, _linear("cond", "c", 12, 14), _both("e", "t3", "cond", "x.v + y.v"), _linear("h", "x", 12, 15), _map("es", "e", SILU),
+        _x("x", 0, 40), _x("c", 40, 24), *_TIME_MLP, _linear("cond", "c", 12, 14), _both("e", "t3", "cond", "x.v + y.v"), _linear("h", "x", 12, 15), _map("es", "e", SILU),
         _linear("bmod", "es", 36, 16), _part("bshift", "bmod", 0, 12), _part("bscale", "bmod", 12, 12), _part("bgate", "bmod", 24, 12), _layer_norm("bn", "h"),
         _both("b1", "bn", "bscale", "x.v * (1 + y.v)"), _both("b2", "b1", "bshift", "x.v + y.v"), _linear("b3", "b2", 12, 17), _map("b4", "b3", SILU), _linear("b5", "b4", 12, 18),
         _both("b6", "b5", "bgate", "x.v * y.v"), _both("b", "h", "b6", "x.v + y.v"),
-        _linear("mod", "es", 24, 19), _part("shift", "mod", 0, 12), _part("scale", "mod", 12, 12), _layer_norm("n0", "b"), *_MODULATED, _linear("y", "n2", 16, 20), last="y",
+        _linear("mod", "es", 24, 19), _part("shift", "mod", 0, 12), _part("scale", "mod", 12, 12), _layer_norm("n0", "b"), *_MODULATED, _linear("y", "n2", 40, 20), last="y",
     )
 )
 def velocity_net(spark, sf):
     """Noisy tokens, times and conditions through one residual block: the whole flow head at small width."""
-    w = _TIME_WEIGHTS | {"proj.w": weight(12, 16, salt=15), "proj.b": bias(12, 15), "cond.w": weight(12, 8, salt=14), "cond.b": bias(12, 14)}
+    w = _TIME_WEIGHTS | {"proj.w": weight(12, 40, salt=15), "proj.b": bias(12, 15), "cond.w": weight(12, 24, salt=14), "cond.b": bias(12, 14)}
     w |= {"block0.norm.w": np.ones(12), "block0.norm.b": np.zeros(12), "block0.mod.w": weight(36, 12, salt=16), "block0.mod.b": bias(36, 16), "block0.in.w": weight(12, 12, salt=17), "block0.in.b": bias(12, 17), "block0.out.w": weight(12, 12, salt=18), "block0.out.b": bias(12, 18)}
-    w |= {"final.mod.w": weight(24, 12, salt=19), "final.mod.b": bias(24, 19), "final.out.w": weight(16, 12, salt=20), "final.out.b": bias(16, 20)}
+    w |= {"final.mod.w": weight(24, 12, salt=19), "final.mod.b": bias(24, 19), "final.out.w": weight(40, 12, salt=20), "final.out.b": bias(40, 20)}
     rows = latents(spark, sf).select("vec_id", F.concat("v", F.array(F.col("vec_id") / 500.0)).alias("v"))
-    return _rows(rows, lambda v: K.velocity_net(v[:, :16], v[:, 64], v[:, 16:24], w, 1, 6))
+    return _rows(rows, lambda v: K.velocity_net(v[:, :40], v[:, 64], v[:, 40:64], w, 1, 6))
 
 
 # ---------------------------------------------------------------- transformer
@@ -181,29 +181,22 @@ def _decoder_weights(name: str, salt: int) -> K.Weights:
 
 
 def _sequences(spark, sf, fn) -> DataFrame:
-    """Vectors of eight neighbouring ids are a sequence of tokens (the first eight entries of each)."""
-    rows = latents(spark, sf).select("vec_id", F.floor(F.col("vec_id") / _LONG).alias("s"), F.slice("v", 1, _WIDTH).alias("x"))
-    packed = rows.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("t"))  # eight at most
-    packed = packed.select(F.transform("t", lambda x: x["vec_id"]).alias("ids"), F.flatten(F.transform("t", lambda x: x["x"])).alias("v"))
+    """A vector is a sequence of eight tokens of eight entries: nothing is brought together."""
+    return _rows(latents(spark, sf), lambda v: np.stack([fn(x.reshape(_LONG, _WIDTH)).ravel() for x in v]))
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            out = [fn(np.array(v).reshape(-1, _WIDTH)).ravel() for v in batch.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("ids"), pa.array(out, pa.list_(pa.float64()))], names=["ids", "out"])
+def _tokens_sql(*ctes: str) -> str:
+    x = f"x AS (SELECT vec_id * {_LONG} + i // {_WIDTH} AS id, i % {_WIDTH} AS i, v FROM cells)"
+    return f"WITH {CELLS}, {x}, {', '.join(ctes)} SELECT id // {_LONG} AS vec_id, id % {_LONG} * {_WIDTH} + i AS i, {q6('v')} AS y FROM y"
 
-    done = packed.mapInArrow(run, "ids array<bigint>, out array<double>").select("ids", F.posexplode("out").alias("n", "y"))
-    return done.select(F.get("ids", F.floor(F.col("n") / _WIDTH).cast("int")).alias("vec_id"), (F.col("n") % _WIDTH).alias("i"), r6(F.col("y")).alias("y"))
 
-
-@query(_sql(_x("x", 0, 8), *_decoder(21, "x", "y"), last="y"))
+@query(_tokens_sql(*_decoder(21, "x", "y")))
 def decoder_layer(spark, sf):
     w = _decoder_weights("layer0", 21)
     return _sequences(spark, sf, lambda x: K.decoder_layer(x, w, "layer0", _HEADS, 1))
 
 
-@query(_sql(_x("x", 0, 8), *_decoder(21, "x", "x1"), *_decoder(30, "x1", "x2"), _rms("y", "x2", 39), last="y"))
+@query(_tokens_sql(*_decoder(21, "x", "x1"), *_decoder(30, "x1", "x2"), _rms("y", "x2", 39)))
 def backbone(spark, sf):
     w = _decoder_weights("layer0", 21) | _decoder_weights("layer1", 30) | {"norm.w": 1 + bias(8, 39)}
     return _sequences(spark, sf, lambda x: K.backbone(x, w, 2, _HEADS, 1))

@@ -277,12 +277,12 @@ def special_tokens(spark, sf):
     return prompts.special_tokens(spark)
 
 
-_CAPTIONS = "c AS (SELECT doc_id AS sample_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 7 = 0 THEN '<image> and <image> ' || source ELSE source || ' <image> ' || lang END AS caption FROM documents)"
+_CAPTIONS = "c AS (SELECT doc_id AS sample_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 7 = 0 THEN '<image> and <image> ' || text ELSE source || ' <image> ' || text END AS caption FROM documents)"
 
 
 def _captions(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    caption = F.when(F.col("doc_id") % 5 == 0, F.col("text")).when(F.col("doc_id") % 7 == 0, F.concat(F.lit("<image> and <image> "), "source")).otherwise(F.concat("source", F.lit(" <image> "), "lang"))
+    caption = F.when(F.col("doc_id") % 5 == 0, F.col("text")).when(F.col("doc_id") % 7 == 0, F.concat(F.lit("<image> and <image> "), "text")).otherwise(F.concat("source", F.lit(" <image> "), "text"))
     return docs.select(F.col("doc_id").alias("sample_id"), caption.alias("caption"))
 
 
