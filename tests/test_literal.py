@@ -146,6 +146,15 @@ def test_large_ints(spark):
         assert one(spark, text.parse_large_int(F.lit(s)))[0] == v
 
 
+def test_large_ints_round_as_printf(spark):
+    rows = [v * sign * unit for unit in (1, 10**3, 10**6, 10**9, 10**12) for v in (1050, 1150, 1250, 1350, 6550, 9949, 9950, 12250, 12350, 999949, 999950) for sign in (1, -1) if v * unit < 10**18]
+    got = spark.createDataFrame([(v,) for v in rows], "v long").select("v", text.format_large_int(F.col("v"))).collect()
+    powers = ((3, "K"), (6, "M"), (9, "B"), (12, "T"), (15, "P"))
+    for v, s in got:
+        power, name = next((p, n) for p, n in powers if abs(v) < 10 ** (p + 3) or n == "P")
+        assert s == f"{v / 10.0**power:.1f}{name}"
+
+
 def test_text_helpers(spark):
     assert one(spark, text.matching_parenthesis(F.lit("f(a(b)c)d)"), F.lit(1)), text.matching_parenthesis(F.lit("f(a"), F.lit(1)), text.matching_parenthesis(F.lit("f(a)"), F.lit(0)))[:] == (7, None, None)
     assert one(spark, text.compare_versions(F.lit("2.10"), ">", F.lit("2.9")), text.compare_versions(F.lit("1.0"), "==", F.lit("1")), text.compare_versions(F.lit("1.2.3"), "<=", F.lit("1.2")))[:] == (True, True, False)

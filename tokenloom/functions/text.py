@@ -29,12 +29,27 @@ def parse_large_int(s: Column) -> Column:
     return F.when(number != "", scaled.cast("bigint")).otherwise(text.try_cast("bigint"))
 
 
+def one_decimal(x: Column) -> Column:
+    """A double with one decimal as C's printf gives it: by the binary value, exact halves to the even digit.
+
+    ``format_string`` rounds the shortest decimal text, halves up, so 1.25 and 1.15 (which is below the half) go the other way.
+    """
+    size = F.abs(x)
+    whole = F.floor(size).cast("bigint")
+    part = ((size - whole) * float(1 << 52)).cast("bigint") * 10  # tenths in 2 ** 52nds: nothing is lost from 1 on
+    digit, rest, half = F.shiftright(part, 52), part.bitwiseAND((1 << 52) - 1), 1 << 51
+    up = (rest > half) | ((rest == half) & (digit % 2 == 1))
+    tenths = whole * 10 + digit + up.cast("bigint")
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def format_large_int(v: Column) -> Column:
     """Below 1000 plain; else one decimal and K, M, B, T, or P for all beyond."""
     size = F.abs(v)
-    out = F.format_string("%.1fP", v / 1e15)
+    shown = lambda name, power: F.concat(one_decimal(v / float(10**power)), F.lit(name))
+    out = shown("P", 15)
     for name, power in reversed(SUFFIXES):
-        out = F.when(size < 10 ** (power + 3), F.format_string(f"%.1f{name}", v / float(10**power))).otherwise(out)
+        out = F.when(size < 10 ** (power + 3), shown(name, power)).otherwise(out)
     return F.when(size < 1000, v.cast("string")).otherwise(out)
 
 
