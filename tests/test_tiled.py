@@ -54,6 +54,34 @@ def test_empty_inputs(spark):
     assert tiled.tiled_attention(q.limit(0), kv).count() == 0
 
 
+@pytest.mark.parametrize("strip", [2, 40])
+def test_blocks_without_queries(spark, monkeypatch, strip):
+    """Keys of blocks that no query is in, and queries far apart, in strips of several blocks or of one."""
+    monkeypatch.setattr(tiled, "STRIP", strip)
+    rng = np.random.default_rng(4)
+    at = np.sort(rng.choice(400, 60, replace=False))
+    asked = at[(at < 120) | (at > 260)]
+    x, k, v = rng.normal(size=(3, 400, 4))
+    q = spark.createDataFrame([(s, int(p), x[p].tolist()) for s in (1, 2) for p in asked], "sample_id long, pos long, q array<double>")
+    kv = spark.createDataFrame([(s, int(p), k[p].tolist(), v[p].tolist()) for s in (1, 2) for p in at], "sample_id long, pos long, k array<double>, v array<double>")
+    got = {(r["sample_id"], r["pos"]): r["out"] for r in tiled.tiled_attention(q, kv, block=8, run=2).collect()}
+    want = brute(x[asked], k[at], v[at], asked, at, True)
+    assert len(got) == 2 * len(asked)
+    for s in (1, 2):
+        assert np.allclose([got[s, p] for p in asked], want, atol=1e-12)
+
+
+def test_what_is_sent_does_not_grow_with_the_square(spark):
+    """A sequence of 512 blocks: each key once for every later block would be over 100 times the input."""
+    n, store = 8192, spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(True).apply(i).totalShuffleWrite() for i in range(store.executorList(True).size()))
+    rows = spark.range(n).select(F.lit(7).alias("sample_id"), F.col("id").alias("pos"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(i * F.col("id"))).alias("q"))
+    kv = rows.select("sample_id", "pos", F.col("q").alias("k"), F.col("q").alias("v"))
+    before = written()
+    assert tiled.tiled_attention(rows, kv, block=16, run=2).where("out IS NULL").count() == 0
+    assert written() - before < 20 * n * 3 * 8 * 8
+
+
 def test_fold_is_associative():
     rng = np.random.default_rng(1)
     s, v = rng.normal(size=(6, 30)) * 50, rng.normal(size=(30, 2))

@@ -1,9 +1,11 @@
 """Attention and matrix products in tiles, for sequences and weights that no single task could hold.
 
-Attention: positions are cut into blocks.  A task gets one block of queries and a run of key blocks one after
+Attention: positions are cut into blocks.  A task gets a strip of query blocks and a run of key blocks one after
 the other, and keeps, for each query, the greatest score, the sum of weights and the weighted sum of values
 (a running softmax).  The runs of a query are merged by the same rule, which is associative, so a sequence of
-any length is many small tasks, and a task holds two blocks.
+any length is many small tasks, and a task holds a strip of queries and one block of keys.  What is sent does not
+grow with the square of the length, as the work does: keys are sent once for each strip from theirs on, queries once
+for each run, and a sequence has ``STRIPS`` strips and ``RUNS`` runs at most, unless a strip would pass ``STRIP`` queries.
 
 Products: weights are a table of tiles, vectors are cut into pieces.  A task makes one tile of outputs of one
 group of rows, going through the inner index, so neither a matrix nor a long row is ever in one place.
@@ -19,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Positions of a block, and key blocks that one task goes through.
+#: Positions of a block, and key blocks that one task goes through at least.
 BLOCK, RUN = 1024, 16
+#: Strips and runs of a sequence, queries of a strip at most, and queries that meet a key block in one product.
+STRIPS, RUNS, STRIP, ROWS = 8, 2, 32_768, 1024
 TILE = 256
 
 
@@ -50,7 +54,7 @@ def merge_runs(partials: DataFrame, keys: list[str]) -> DataFrame:
     """
     best = F.array_max(F.transform("parts", lambda p: p["best"]))
     scaled = lambda p: F.exp(p["best"] - F.col("top"))
-    rows = partials.groupBy(*keys).agg(F.collect_list(F.struct("best", "weight", "total")).alias("parts"), F.max("seen").alias("seen"))
+    rows = partials.groupBy(*keys).agg(F.collect_list(F.struct("best", "weight", "total")).alias("parts"))
     rows = rows.withColumn("parts", F.filter("parts", lambda p: p["weight"] > 0)).withColumn("top", best)
     weight = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["weight"] * scaled(p))
     zero = F.transform(F.get("parts", F.lit(0))["total"], lambda _: F.lit(0.0))
@@ -75,46 +79,66 @@ def tiled_attention(q: DataFrame, kv: DataFrame, *, sample: str = "sample_id", p
     queries = left.groupBy("s", "h", at.alias("qb")).agg(F.array_sort(F.collect_list(F.struct("p", "lane", "x"))).alias("r"))
     keys = right.groupBy("s", "h", at.alias("kb")).agg(F.array_sort(F.collect_list(F.struct("p", "x", "y"))).alias("r"))
     field = lambda name: F.transform("r", lambda e: e[name])
-    reach = queries.groupBy("s", "h").agg(F.max("qb").alias("last_q"))
-    extent = keys.groupBy("s", "h").agg(F.max("kb").alias("last_k"))
-    spans = reach.join(extent, ["s", "h"], "left")  # a row a sample and head
-
-    upto = F.least("qb", F.coalesce("last_k", F.lit(0))) if causal else F.coalesce("last_k", F.lit(0))
-    runs = F.sequence(F.lit(0).cast("long"), F.floor(upto / run).cast("long"))
-    asked = queries.join(spans, ["s", "h"]).select("s", "h", "qb", F.explode(runs).alias("run"), F.lit(-1).cast("long").alias("kb"), field("p").alias("p"), field("lane").alias("lane"), field("x").alias("x"), F.array().cast("array<array<double>>").alias("y"))
-    first = F.col("kb") if causal else F.lit(0).cast("long")
-    sent = keys.join(spans, ["s", "h"]).where(first <= F.col("last_q"))
-    sent = sent.select("s", "h", F.explode(F.sequence(first, F.col("last_q"))).alias("qb"), F.floor(F.col("kb") / run).cast("long").alias("run"), "kb", field("p").alias("p"), F.array().cast("array<long>").alias("lane"), field("x").alias("x"), field("y").alias("y"))
-    dealt = asked.unionByName(sent).repartition("s", "h", "qb", "run").sortWithinPartitions("s", "h", "qb", "run", "kb")
-    schema = T.StructType([T.StructField("s", key), *[T.StructField(n, T.LongType()) for n in ("h", "lane", "p", "seen")], *[T.StructField(n, T.DoubleType()) for n in ("best", "weight")], T.StructField("total", T.ArrayType(T.DoubleType()))])
+    reach = left.groupBy("s", "h", at.alias("qb")).count().groupBy("s", "h").agg(F.max("qb").alias("last_q"), F.max("count").alias("most"))
+    extent = right.groupBy("s", "h").agg(F.max(at).alias("last_k"))
+    share = lambda last, n: F.ceil((F.col(last) + 1) / n).cast("long")
+    strip = F.greatest(F.least(share("last_q", STRIPS), F.floor(STRIP / F.col("most")).cast("long")), F.lit(1).cast("long"))
+    spans = reach.join(extent, ["s", "h"], "left").withColumn("last_k", F.coalesce("last_k", F.lit(0)))  # a row a sample and head
+    spans = spans.withColumn("strip", strip).withColumn("run_of", F.greatest(share("last_k", RUNS), F.lit(run).cast("long")))
+
+    place = lambda of, size: F.floor(F.col(of) / F.col(size)).cast("long")
+    queries = queries.join(spans, ["s", "h"]).withColumn("qs", place("qb", "strip"))
+    upto = F.least((F.col("qs") + 1) * F.col("strip") - 1, "last_q", "last_k") if causal else F.col("last_k")
+    runs = F.sequence(F.lit(0).cast("long"), F.floor(upto / F.col("run_of")).cast("long"))
+    asked = queries.select("s", "h", "qs", F.explode(runs).alias("run"), F.lit(-1).cast("long").alias("kb"), field("p").alias("p"), field("lane").alias("lane"), field("x").alias("x"), F.array().cast("array<array<double>>").alias("y"))
+    first = place("kb", "strip") if causal else F.lit(0).cast("long")
+    sent = keys.join(spans, ["s", "h"]).where(first <= place("last_q", "strip"))
+    sent = sent.select("s", "h", F.explode(F.sequence(first, place("last_q", "strip"))).alias("qs"), place("kb", "run_of").alias("run"), "kb", field("p").alias("p"), F.array().cast("array<long>").alias("lane"), field("x").alias("x"), field("y").alias("y"))
+    dealt = asked.unionByName(sent).repartition("s", "h", "qs", "run").sortWithinPartitions("s", "h", "qs", "run", "kb")
+    schema = T.StructType([T.StructField("s", key), *[T.StructField(n, T.LongType()) for n in ("h", "lane", "p")], *[T.StructField(n, T.DoubleType()) for n in ("best", "weight")], T.StructField("total", T.ArrayType(T.DoubleType()))])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, state = None, None
-
-        def done() -> pa.RecordBatch:
-            s, h, p, lane, x = held
-            best, weight, total = state or (np.full(len(p), -np.inf), np.zeros(len(p)), np.zeros((len(p), 0)))
-            n = len(p)
-            cells = [pa.array([s] * n, s.type if hasattr(s, "type") else None), pa.array([h] * n, pa.int64()), pa.array(lane, pa.int64()), pa.array(p, pa.int64()), pa.array([int(state is not None)] * n, pa.int64())]
-            return pa.RecordBatch.from_arrays([*cells, pa.array(best), pa.array(weight), pa.array(list(total), pa.list_(pa.float64()))], names=["s", "h", "lane", "p", "seen", "best", "weight", "total"])
+        last, asking, parts = None, [], []  # parts: [key, positions, lanes, queries, state] of some queries each
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for s, h, p, lane, x, state in gathered() if asking else parts:
+                best, weight, total = state or (np.full(len(p), -np.inf), np.zeros(len(p)), np.zeros((len(p), 0)))
+                n = len(p)
+                cells = [pa.array([s.as_py()] * n, s.type), pa.array([h] * n, pa.int64()), pa.array(lane, pa.int64()), pa.array(p, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cells, pa.array(best), pa.array(weight), pa.array(list(total), pa.list_(pa.float64()))], names=["s", "h", "lane", "p", "best", "weight", "total"])
+
+        def gathered() -> list:
+            """Query blocks of a strip in order of position, put together or cut to ``ROWS`` queries."""
+            s, h = last[:2]
+            blocks = sorted(asking, key=lambda b: b[0][0])
+            p, lane, x = (np.concatenate([b[i] for b in blocks]) for i in range(3))
+            return [[s, h, p[a : a + ROWS], lane[a : a + ROWS], x[a : a + ROWS], None] for a in range(0, len(p), ROWS)]
 
         for batch in batches:
-            s, h, kb = batch.column("s"), batch.column("h").to_pylist(), batch.column("kb").to_pylist()
+            s, (h, qs, of, kb) = batch.column("s"), (batch.column(n).to_pylist() for n in ("h", "qs", "run", "kb"))
             p, lane = batch.column("p"), batch.column("lane")
             for i in range(batch.num_rows):
+                at = s[i], h[i], qs[i], of[i]
+                if at != last:
+                    if last is not None:
+                        yield from done()
+                    last, asking, parts = at, [], []
                 if kb[i] < 0:
-                    if held is not None:
-                        yield done()
-                    held = s[i], h[i], np.array(p[i].values), np.array(lane[i].values), _matrix(batch.column("x"), i)
-                    state = None
+                    asking.append((p[i].values.to_numpy(), lane[i].values.to_numpy(), _matrix(batch.column("x"), i)))
                     continue
-                x = held[4]
-                scores = x @ _matrix(batch.column("x"), i).T / np.sqrt(x.shape[1])
-                if causal and p[i].values[-1].as_py() > held[2][0]:
-                    scores = np.where(np.array(p[i].values) <= held[2][:, None], scores, -np.inf)
-                state = fold(state, scores, _matrix(batch.column("y"), i))
-        if held is not None:
-            yield done()
+                if asking:
+                    parts, asking = gathered(), []
+                here, x, y = p[i].values.to_numpy(), _matrix(batch.column("x"), i), _matrix(batch.column("y"), i)
+                for part in parts:
+                    own, q = part[2], part[4]
+                    if causal and here[0] > own[-1]:
+                        continue  # none of these queries sees the block
+                    scores = q @ x.T / np.sqrt(q.shape[1])
+                    if causal and here[-1] > own[0]:
+                        scores = np.where(here <= own[:, None], scores, -np.inf)
+                    part[5] = fold(part[5], scores, y)
+        if last is not None:
+            yield from done()
 
     merged = merge_runs(dealt.mapInArrow(stream, schema), ["s", "h", "lane", "p"])
     heads = [(F.col("h") * kv_repeat + F.col("lane")).cast(q.schema[head].dataType).alias(head)] if head else []
