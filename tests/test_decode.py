@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,42 @@ def test_long_sequence_in_a_table(spark):
     got = {r["pos"]: r["out"] for r in decode.decode_stream(rows, W, layers=LAYERS, heads=HEADS, kv_heads=KV).collect()}
     x = np.sin(np.arange(n)[:, None] * np.arange(1, WIDTH + 1))
     assert np.allclose([got[p] for p in range(n)], K.backbone(x, W, LAYERS, HEADS, KV))
+
+
+def batches_of(rows, schema, size):
+    return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema).to_batches(max_chunksize=size)
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_sequences_side_by_side(monkeypatch, size):
+    """Lengths that differ, sequences that are read as they come, and caches that go to a file."""
+    for name, value in (("SIDE_BY_SIDE", 20), ("LONG", 8), ("HELD_BYTES", 600)):
+        monkeypatch.setattr(decode, name, value)
+    x = {(s, b): rng.normal(size=(n, WIDTH)) for s, n in enumerate((3, 5, 3, 30, 1, 5, 7, 8)) for b in range(2)}
+    rows = [(*k, p, v.tolist()) for k, seq in x.items() for p, v in enumerate(seq)]
+    schema = pa.schema([("sample_id", pa.int64()), ("branch", pa.int64()), ("pos", pa.int64()), ("vec", pa.list_(pa.float64()))])
+    got = [r for b in decode._decoded(iter(batches_of(rows, schema, size)), W, LAYERS, HEADS, KV, 4, 3) for r in b.to_pylist()]
+    out = {(r["sample_id"], r["branch"], r["pos"]): r["out"] for r in got}
+    assert len(got) == len(out) == len(rows)
+    for k, seq in x.items():
+        assert np.allclose([out[*k, p] for p in range(len(seq))], K.backbone(seq, W, LAYERS, HEADS, KV))
+
+
+def test_loops_side_by_side(monkeypatch):
+    monkeypatch.setattr(decode, "SIDE_BY_SIDE", 30)
+    token, embed = head()
+    x = {s: rng.normal(size=(3, n, WIDTH)) for s, n in enumerate((2, 5, 2, 5, 5, 2, 2))}
+    rows = [(s, None, None, None, 1) for s in x] + [(s, b, p, v.tolist(), 1 + s % 2 if p == b == 0 else None) for s in x for b in range(3) for p, v in enumerate(x[s][b])]
+    rows = sorted([*rows, (50, None, None, None, 2)], key=lambda r: [-1 if c is None else c for c in r[:3]])
+    schema = pa.schema([("sample_id", pa.int64()), ("branch", pa.int64()), ("pos", pa.int64()), ("vec", pa.list_(pa.float64())), ("make", pa.int64())])
+    got = {(r["sample_id"], r["step"]): r["token"] for b in decode._generated(iter(batches_of(rows, schema, 4)), W, LAYERS, HEADS, KV, token, embed, 2) for r in b.to_pylist()}
+    assert sorted(got) == [(s, n) for s in x for n in range(2 + s % 2)]
+    for s in x:
+        assert np.allclose([got[s, n] for n in range(2 + s % 2)], by_hand(x[s], 2 + s % 2, s))
+
+
+def test_a_table_needs_no_state_store(spark):
+    """Keyed state cost a table several milliseconds and calls for each sequence."""
+    rows = spark.createDataFrame([(1, 0, 0, [0.1] * WIDTH)], "sample_id long, branch long, pos long, vec array<double>")
+    plan = decode.decode_stream(rows, W, layers=LAYERS, heads=HEADS, kv_heads=KV)._jdf.queryExecution().executedPlan().toString()
+    assert "TransformWithState" not in plan and "MapInArrow" in plan

@@ -36,14 +36,14 @@ def _matrix(column: pa.Array, at: int) -> np.ndarray:
 
 
 def fold(state: tuple[np.ndarray, np.ndarray, np.ndarray] | None, scores: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(greatest score, weight, weighted values) of each query with one more block; scores of unseen keys are -inf."""
-    top = scores.max(axis=1, initial=-np.inf)
+    """(greatest score, weight, weighted values) of each query with one more block; scores of unseen keys are -inf; axes before the last two are sequences side by side."""
+    top = scores.max(axis=-1, initial=-np.inf)
     best = top if state is None else np.maximum(state[0], top)
-    e = np.exp(scores - np.where(np.isfinite(best), best, 0)[:, None])
-    weight, total = e.sum(axis=1), e @ values
+    e = np.exp(scores - np.where(np.isfinite(best), best, 0)[..., None])
+    weight, total = e.sum(axis=-1), e @ values
     if state is not None:
         shrink = np.exp(np.where(np.isfinite(best), state[0], -np.inf) - np.where(np.isfinite(best), best, 0))
-        weight, total = weight + state[1] * shrink, total + state[2] * shrink[:, None]
+        weight, total = weight + state[1] * shrink, total + state[2] * shrink[..., None]
     return best, weight, total
 
 
