@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.operators import modules, permutation, training
+from tokenloom.plans import extras
 from tokenloom.sources import image_sink
 
 
@@ -138,3 +139,9 @@ def test_training_loss_guards(spark):
         loss(spark, [(1, 0, 5, 0, [1.0, 2.0])], [], [])
     with pytest.raises(Exception, match="LM loss is"):
         loss(spark, [(1, 0, 5, 0, [float("inf"), 2.0]), (1, 1, 6, 1, [1.0, 2.0])], [], [])
+
+
+def test_pixels_are_taken_apart_after_the_join(spark, sf):
+    """Sorting and joining a row a pixel took memory by the number of pixels."""
+    lines = extras.image_files(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(i for i, line in enumerate(lines) if "posexplode" in line) < next(i for i, line in enumerate(lines) if "Join" in line)

@@ -62,8 +62,8 @@ def image_files(spark, sf):
     name = F.concat(F.lit("img-"), (F.floor(F.col("vec_id") / 2) * 2).cast("string"), F.lit(".png"))
     images = latents(spark, sf).select(F.col("vec_id").alias("id"), name.alias("path"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("ch"), F.transform("v", lambda x: F.floor((x + 1) * 127.5).cast("int")).alias("data"))
     names = image_sink.save_images(images, folder)
-    back = files.decoded_images(spark, folder).select(F.regexp_extract("img_id", "[^/]+$", 0).alias("name"), F.posexplode("data").alias("i", "pixel"))
-    return names.join(back, "name").select(F.col("id").alias("vec_id"), "name", "i", "pixel")
+    back = files.decoded_images(spark, folder).select(F.regexp_extract("img_id", "[^/]+$", 0).alias("name"), "data")
+    return names.join(back, "name").select(F.col("id").alias("vec_id"), "name", F.posexplode("data").alias("i", "pixel"))  # a row an image is sorted, not one a pixel
 
 
 _TURNED = {2: ("y", "15 - x"), 3: ("3 - y", "15 - x"), 4: ("3 - y", "x"), 5: ("x", "y"), 6: ("x", "3 - y"), 7: ("15 - x", "3 - y"), 8: ("15 - x", "y")}
