@@ -109,6 +109,23 @@ def test_odd_rows(spark):
     assert toxicity.score(no_documents(spark), toxicity.fit(no_documents(spark), labels), keep=["doc_id"]).count() == 0
 
 
+def test_all_rows_are_learned_from(spark, monkeypatch):
+    """A sample of four texts; words, languages and counts of the others must be in the model all the same."""
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 300)
+    seen = []
+    refine = toxicity.refine
+    monkeypatch.setattr(toxicity, "refine", lambda model, texts: seen.append((model.languages, texts.count())) or refine(model, texts))
+    docs = corpus(6, 900)
+    table = spark.createDataFrame([d[:3] for d in docs], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d[0], d[3]) for d in docs], "doc_id long, toxic int")
+    model = toxicity.fit(table, labels, sample_docs=2)
+    assert seen[0][1] == 900 and sorted(model.languages) == sorted(STEMS)
+    words = {w for d in docs for w in d[1].rstrip(".").split() if sum(w in e[1].rstrip(".").split() for e in docs[:60]) > 1}
+    _, offset, rows = toxicity.features(sorted(words), model.bits)
+    assert model.table[rows[offset[:-1]]].any(axis=1).mean() > 0.95
+    assert abs(model.share - np.mean([d[3] for d in docs])) < 1e-9
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     toxic = {d["doc_id"]: d["toxic"] for d in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
