@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from fixtures import no_documents, odd_documents, rows
 
 from tokenloom.llm import queries, toxicity
@@ -126,6 +127,51 @@ def test_all_rows_are_learned_from(spark, monkeypatch):
     assert abs(model.share - np.mean([d[3] for d in docs])) < 1e-9
 
 
+def test_only_labelled_texts_are_sent(spark):
+    """Without a broadcast of all labels, 20 of 400 long texts are labelled; the others must stay where they are."""
+    rng = random.Random(8)
+    docs = [(i, " ".join("%x" % rng.getrandbits(48) for _ in range(1500)), "en") for i in range(400)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(20 * i, i % 2) for i in range(20)], "doc_id long, toxic int")
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        toxicity.fit(table, labels, bits=8)
+        sent = written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sent < sum(len(d[1]) for d in docs) / 4
+
+
+def test_labelled_texts_are_exact(spark, monkeypatch):
+    """Copies with and without labels, an id with two texts, and marks so few that most rows pass them."""
+    rows = [(i, f"text {i % 70}") for i in range(300)] + [(5, "other text"), (None, "text 3"), (None, "none")]
+    texts = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "xxhash64(text) AS h")
+    keys = texts.where("id % 7 = 0 OR id = 5").groupBy("h").agg(F.lit(1).alias("y"), F.lit("en").alias("lang"), F.min("id").alias("id"))
+    want = sorted({(t, 1, "en") for i, t in rows if i is not None and (i % 7 == 0 or i == 5)})
+    for bits in (1 << 26, 64):
+        monkeypatch.setattr(toxicity, "MARK_BITS", bits)
+        got = toxicity.labelled_texts(texts, keys, keys.count())
+        assert sorted((r["text"], r["y"], r["lang"]) for r in got.collect()) == want
+
+
+def test_texts_read_together_are_read_alike(monkeypatch):
+    model = toxicity.learn([t[1:2] + (t[3], t[2]) for t in corpus(0, 60)], bits=14)
+    texts = [t[1] for t in corpus(1, 40)] + [None, "", "x"]
+    want = [toxicity.Reader(model).read(t) for t in texts]
+    monkeypatch.setattr(toxicity, "PIECE_WORDS", 150)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 300)
+    got = list(toxicity.Reader(model).read_all(texts))
+    assert len(got) == len(texts)
+    assert all(np.allclose(a, c, atol=1e-5) and b == d for (a, b), (c, d) in zip(want, got, strict=True))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     toxic = {d["doc_id"]: d["toxic"] for d in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
