@@ -360,3 +360,29 @@ def test_shards_send_scores_in_double_precision():
     p0 = hpyp.parent_probability(np.array([2]), np.array([1]), 2.0, 1.0, 1.0, d)[0]
     want = math.log10((3 - d * 2 + (hpyp.STRENGTH + d * 2) * p0) / (hpyp.STRENGTH + 3))
     assert math.isclose(common.load(out.column("data")[0].as_py())[3][0], want, rel_tol=1e-14)
+
+
+def test_a_task_adds_up_its_shards(monkeypatch):
+    """Twenty of two blocks come back as one row a block, in memory or in files."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    want = {b: np.zeros((3, 400)) for b in (7, 9)}
+    parts = []
+    for i in range(20):
+        block, at = (7, 9)[i % 2], np.sort(rng.choice(40 * (i + 1), 30, replace=False) % 400)
+        at = np.unique(at)
+        cols = [rng.integers(0, 9, len(at)), -rng.random(len(at)), -rng.random(len(at))]
+        for k in range(3):
+            want[block][k, at] += cols[k]
+        parts.append((block, common.dump(np.diff(at, prepend=0).astype(np.uint32), cols[0].astype(np.uint32), *cols[1:])))
+    batch = pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts]), pa.array([d for _, d in parts], pa.binary())], names=["block", "data"])
+    for room in (1 << 23, 100):
+        monkeypatch.setattr(hpyp, "ROOM", room)
+        out = list(hpyp._added_up(lambda batches: batches)(iter([batch])))
+        assert sorted(b.column("block")[0].as_py() for b in out) == [7, 9]
+        for b in out:
+            gaps, *cols = common.load(b.column("data")[0].as_py())
+            got = np.zeros((3, 400))
+            got[:, np.cumsum(gaps)] = cols
+            assert np.allclose(got, want[b.column("block")[0].as_py()], rtol=1e-12)

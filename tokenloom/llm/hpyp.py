@@ -17,11 +17,12 @@ the score, whose mean over tokens gives the perplexity.
 
 Every draw takes its random number from a hash of word, context and sweep, and all sums that pass
 between tasks are of integers, so scores do not depend on partitions, shards or executors (but for
-the order in which a document's logarithms are added, which follows from the size of the input alone).
+the order in which a document's logarithms are added).
 
 Distribution: documents are packed in blocks; each block sends the occurrences of its words to
 shards by word hash (packed, so a frequent word is a run of small numbers, not rows).  A shard holds
-everything about its words, seats them, and returns sums per document.  Only the numbers of
+everything about its words, seats them, and gives sums per document, which a task adds up over all its shards before they
+are sent.  Only the numbers of
 customers and tables of each context pass between shards: a shard sends those of its contexts to
 ranges of context hashes, which add them up and send each shard the totals of its own contexts, so
 nobody holds all contexts; the ranges also number the contexts, and later exchanges send small
@@ -47,6 +48,7 @@ from __future__ import annotations
 
 import functools
 import math
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -65,6 +67,8 @@ SHARD_CHARS = 6_000_000  # text for each shard
 CELL_CHARS = 10_000_000  # text whose occurrences of a shard's words are held together
 CELLS = 1 << 20  # most cells of a shard
 TASKS = 4  # tasks to a shard that gather cells, so few of them meet in one
+ADDERS = 48  # tasks that score; each adds up what its shards give to a document
+ROOM = 1 << 23  # numbers
 STRENGTH = 0.3
 BURN_IN, SAMPLES = 2, 2
 SMALL = 256  # customers up to which the law of tables is tabulated
@@ -568,6 +572,48 @@ def _score(sums: np.ndarray, totals: np.ndarray):
     return run
 
 
+class _Room:
+    """Zeros: the first ``ROOM`` numbers in memory, more in files of the task."""
+
+    def __init__(self) -> None:
+        self.free = np.zeros(ROOM)
+
+    def zeros(self, n: int) -> np.ndarray:
+        if n > len(self.free):
+            with tempfile.TemporaryFile() as f:
+                f.truncate(8 * max(n, ROOM))
+                self.free = np.memmap(f, float, "r+", shape=max(n, ROOM))
+        out, self.free = self.free[:n], self.free[n:]
+        return out
+
+
+def _added_up(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``_score`` of many shards, with one sum for each document: what is sent does not grow with the number of shards."""
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room, held = _Room(), {}
+        single = (b.slice(i, 1) for b in batches for i in range(b.num_rows))
+        for got in run(single):
+            block, (gaps, *cols) = got.column("block")[0].as_py(), load(got.column("data")[0].as_py())
+            at = np.cumsum(gaps.astype(np.int64))
+            n, own = int(at[-1]) + 1, held.get(block)
+            if own is None or own.shape[1] < n:
+                new = room.zeros(len(cols) * (n if own is None else 2 * n)).reshape(len(cols), -1)
+                if own is not None:
+                    new[:, : own.shape[1]] = own
+                held[block] = own = new
+            for total, x in zip(own, cols, strict=True):
+                total[at] += x
+        for block, own in held.items():
+            at = np.flatnonzero(own.any(axis=0))  # of other documents there is nothing to add
+            if not len(at):
+                continue
+            part = dump(np.diff(at, prepend=0).astype(np.uint32), own[0][at].astype(np.uint32), own[1][at], own[2][at])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part], pa.binary())], names=["block", "data"])
+
+    return together
+
+
 def _finish(train_tokens: int):
     names = ["id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -599,7 +645,7 @@ def score(docs: DataFrame, learned: Column, *, id_col: str = "doc_id", text_col:
     whole = own.select("shard", "words")
     if several:  # a single cell's table is the shard's
         cells = stash(cells, "shard-cells", shards)
-        merged = stash(map_groups(whole.join(cells, "shard", "left_semi"), ["shard"], _merge, "shard bigint, words binary"), "shard-words")
+        merged = bucketed(map_groups(whole.join(cells, "shard", "left_semi"), ["shard"], _merge, "shard bigint, words binary"), "shard", shards)
         whole = bucketed(whole.join(cells, "shard", "left_anti").unionByName(merged), "shard", shards)  # every exchange reads it
 
     sums = _total(whole, "words", table_sums)
@@ -624,8 +670,8 @@ def score(docs: DataFrame, learned: Column, *, id_col: str = "doc_id", text_col:
         known = known.withColumn("whole", F.lit(None).cast("binary"))  # the same
     scored = own.select("shard", "words", "data").join(known, "shard")
     free_shuffles(spark)
-    parts = scored.select("words", "whole", "data", "seats", "held", "sat").mapInArrow(_score(sums, totals), "block bigint, data binary")
-    parts = parts.groupBy("block").agg(F.collect_list("data").alias("parts"))  # bounded: one of each shard that the block has words for
+    parts = scored.select("words", "whole", "data", "seats", "held", "sat").coalesce(ADDERS).mapInArrow(_added_up(_score(sums, totals)), "block bigint, data binary")
+    parts = parts.groupBy("block").agg(F.collect_list("data").alias("parts"))  # one of each adder at most
     heads = held.where("shard < 0").select((-1 - F.col("shard")).alias("block"), F.col("data").alias("head"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, learned boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return heads.join(parts, "block", "left").select("head", "parts").mapInArrow(_finish(int(sums[_N])), schema)
